@@ -75,7 +75,7 @@ def get_array(path: str) -> np.ndarray:
         return np.load(io.BytesIO(f.read()))
 
 
-def buckets(df: DataFrame, each: int = 4 << 20, least: int = 64) -> int:
+def buckets(df: DataFrame, each: int = 16 << 20, least: int = 64) -> int:
     """How many buckets to deal an input into, by the bytes that Spark's statistics give its files, so that a bucket's share stays the same at every size."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(size, 1 << 50) // each)
@@ -176,3 +176,59 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+# -- sorted runs ---------------------------------------------------------------------------------------------
+
+#: Keys that a task gathers before it sends them on.
+RUN = 3_000_000
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Sorted numbers as their compressed differences."""
+    import zstandard
+
+    gaps = np.diff(values, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """Numbers that are mostly small."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+
+
+def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Buckets by the leading bits, so that sorted hashes are sorted by bucket."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def lean(counts: np.ndarray) -> np.ndarray:
+    """In the smallest type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
