@@ -37,7 +37,7 @@ class Classifier:
         total, weights = F.lit(float(self.bias)), iter(self.weights.tolist())
         for name, cuts in self.cuts.items():
             for cut in cuts:
-                total = total + F.when(FEATURES[name] > cut, F.lit(next(weights))).otherwise(F.lit(0.0))
+                total = total + F.when(F.expr(FEATURES[name]) > cut, F.lit(next(weights))).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
 
@@ -75,7 +75,7 @@ def fit(positive: dict[str, np.ndarray], unlabelled: dict[str, np.ndarray], prio
 
 def train(stats: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Classifier:
     """From the rows of training_part() only. Without positives the score is the prior of 0.5 everywhere."""
-    own = stats.where(training_part()).select("doc_id", *(c.alias(k) for k, c in FEATURES.items())).withColumn("h", F.xxhash64("doc_id"))
+    own = stats.where(training_part()).select("doc_id", *(F.expr(c).alias(k) for k, c in FEATURES.items())).withColumn("h", F.xxhash64("doc_id"))
     marked = labels.where("quality is not null and doc_id is not null").where(training_part()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n, ones = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0))).first()
     prior = min(max(ones / n, 0.02), 0.98) if n else 0.5

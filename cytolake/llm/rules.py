@@ -30,7 +30,7 @@ class Condition:
     threshold: float
 
     def column(self) -> Column:
-        c = FEATURES[self.feature]
+        c = F.expr(FEATURES[self.feature])
         return c > self.threshold if self.above else c <= self.threshold
 
     def __str__(self) -> str:
@@ -105,7 +105,7 @@ def verdict(rules: list[list[Condition]]) -> tuple[Column, Column]:
 def training_rows(stats: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS):
     """Features and quality of at most `limit` labelled rows, those of least hash."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(marked, "doc_id").select("quality", *(c.alias(k) for k, c in FEATURES.items()), F.xxhash64("doc_id").alias("h"))
+    rows = stats.join(marked, "doc_id").select("quality", *(F.expr(c).alias(k) for k, c in FEATURES.items()), F.xxhash64("doc_id").alias("h"))
     got = rows.orderBy("h", *FEATURES).limit(limit).toPandas()
     return {k: got[k].to_numpy(float) for k in FEATURES}, got["quality"].to_numpy()
 

@@ -156,7 +156,7 @@ class Rolling:
         have = cls._powers.get(seed)
         if have is None or len(have[0]) < n:
             n = max(n, CHUNK + 2)
-            base = (0x9E3779B97F4A7C15 + 0xD1342543DE82EF94 * seed) | 1
+            base = ((0x9E3779B97F4A7C15 + 0xD1342543DE82EF94 * seed) | 1) & 0xFFFFFFFFFFFFFFFF
             with np.errstate(over="ignore"):
                 up = np.full(n, base, np.uint64)
                 up[0] = 1

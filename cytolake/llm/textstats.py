@@ -109,12 +109,12 @@ def text_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data")).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in STATS))
 
 
-def _share(a: str, b: str):
+def _share(a: str, b: str) -> str:
     """Of doubles; 0 where there is nothing to divide by."""
-    return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    return f"coalesce(try_divide(cast({a} as double), cast({b} as double)), 0D)"
 
 
-#: What is learned from, as expressions over STATS.
+#: What is learned from, as SQL expressions over STATS.
 FEATURES = {
     "symbols_per_word": _share("n_symbols", "n_words"),
     "dup_lines_share": _share("n_dup_lines", "n_lines"),
@@ -130,6 +130,6 @@ FEATURES = {
     "frequent_share": _share("n_frequent", "n_words"),
     "words_per_line": _share("n_words", "n_lines"),
     "short_lines_share": _share("n_short_lines", "n_lines"),
-    "log_words": F.log1p(F.col("n_words").cast("double")),
-    "log_longest": F.log1p(F.col("longest_word").cast("double")),
+    "log_words": "log1p(cast(n_words as double))",
+    "log_longest": "log1p(cast(longest_word as double))",
 }
