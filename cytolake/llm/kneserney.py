@@ -14,6 +14,7 @@ The end of a text is a token, and also the context of a first word. Hashes have
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,7 +184,7 @@ def train(docs: DataFrame) -> Model:
         if documents:
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([str(documents).encode()], pa.binary())], names=["b", "keys", "counts"])
 
-    def store_words(key, batches):
+    def store_words(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = key[0].as_py()
         if b < 0:
             distinct, total = 0, sum(int(c) for batch in batches for c in batch["counts"].to_pylist())
@@ -217,7 +218,7 @@ def train(docs: DataFrame) -> Model:
         keys, counts = merged(parts)
         yield _sent(keys, counts, bucket_of(mixed(keys), n), n)
 
-    def store_pairs(key, batches):
+    def store_pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = key[0].as_py()
         keys, counts = _gathered(batches)
         put_array(f"{path}/pairs-{b}.npy", keys)
@@ -234,7 +235,7 @@ def train(docs: DataFrame) -> Model:
 
     facts = written(texts.mapInArrow(count_pairs, _SENT).groupBy("b").applyInArrow(store_pairs, "kind int, r int, ids binary, facts binary"), f"{path}/facts")
 
-    def store_facts(key, batches):
+    def store_facts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, r = key[0].as_py(), key[1].as_py()
         width = {0: 6, 1: 4, 2: 1}[kind]
         table = np.zeros((RANGE if kind else 1, width), np.int64)
