@@ -22,9 +22,14 @@ PART = 4096
 WEIGHTS = (5, 2, 1)
 
 
+def sized(text: str):
+    """Words of a text column; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source and size in words of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sized("text").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: int = 3) -> DataFrame:
