@@ -1,4 +1,530 @@
-"""The registry of queries and their SQL."""
+"""The registry of queries over the driver's tables, and their SQL.
+
+Each query applies one operator to stand-ins made of whole tables (plans/standins.py). Doubles are rounded to six places
+on both sides, since engines add in different orders. Model operators have no SQL; tests hold them to brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.columns import fold, wilson, z_of
+from .operators import intervals, models, reads, significance, sites
+from .plans import standins as s
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+SAMPLES = (1, 2, 3, 4, 5, 6, 7)
+
+
+def _r(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded."""
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+_Z = z_of(sites.ALPHA)
+_LEVEL = "CAST(n_meth AS DOUBLE) / n_reads"
+
+
+def _bound(sign: str, p: str = "n_meth", n: str = "n_reads", z: float = _Z) -> str:
+    level, n = f"(CAST({p} AS DOUBLE) / {n})", f"CAST({n} AS DOUBLE)"
+    return f"(({level} + {z * z!r} / (2 * {n})) {sign} {z!r} * sqrt({level} * (1 - {level}) / {n} + {z * z!r} / (4 * {n} * {n}))) / (1 + {z * z!r} / {n})"
+
+
+_LOW, _HIGH = f"greatest(0.0, {_bound('-')})", f"least(1.0, {_bound('+')})"
+
+
+# -- sites ---------------------------------------------------------------------------------------------------
+
+_SYMMETRIC = f"""WITH {s.SITES}, m AS (
+  SELECT *, coalesce(strand = '+' AND lead(strand) OVER w = '-' AND lead(pos) OVER w = pos + 1, false) AS a,
+         coalesce(strand = '-' AND lag(strand) OVER w = '+' AND lag(pos) OVER w = pos - 1, false) AS b,
+         lead(n_reads) OVER w AS r2, lead(n_meth) OVER w AS m2
+  FROM sites WINDOW w AS (PARTITION BY chrom ORDER BY pos, strand))
+SELECT chrom, pos, context, n_reads + CASE WHEN a THEN r2 ELSE 0 END AS n_reads, n_meth + CASE WHEN a THEN m2 ELSE 0 END AS n_meth, a AS paired FROM m WHERE NOT b"""
+
+
+@query(_SYMMETRIC)
+def symmetric_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.symmetric(s.sites(spark, sf_dir))
+
+
+@query(f"""WITH {s.SITES}, t AS (SELECT chrom, pos, strand, CASE WHEN pos % 3 = 0 THEN context || 'x' ELSE context END AS context, n_reads, n_meth FROM sites), m AS (
+  SELECT *, coalesce(strand = '+' AND lead(strand) OVER w = '-' AND lead(pos) OVER w = pos + 1, false) AS a,
+         coalesce(strand = '-' AND lag(strand) OVER w = '+' AND lag(pos) OVER w = pos - 1, false) AS b,
+         lead(n_reads) OVER w AS r2, lead(n_meth) OVER w AS m2, lead(context) OVER w AS c2
+  FROM t WINDOW w AS (PARTITION BY chrom ORDER BY pos, strand)), o AS (
+  SELECT chrom, pos, CASE WHEN a AND c2 LIKE '%x' AND context NOT LIKE '%x' THEN context || 'x' ELSE context END AS context, n_reads + CASE WHEN a THEN r2 ELSE 0 END AS n_reads, n_meth + CASE WHEN a THEN m2 ELSE 0 END AS n_meth, a AS paired
+  FROM m WHERE NOT b)
+SELECT * FROM o WHERE context NOT LIKE '%x'""")
+def symmetric_sites_with_mut(spark, sf_dir):
+    marked = s.sites(spark, sf_dir).withColumn("context", F.when(F.col("pos") % 3 == 0, F.concat("context", F.lit("x"))).otherwise(F.col("context")))
+    return sites.symmetric(marked, mutated=False)
+
+
+@query(f"""WITH {s.SITES}, t AS (SELECT context, n_reads, n_meth, CASE WHEN n_reads > 0 THEN {_LEVEL} END AS level, CASE WHEN n_reads > 0 THEN {_LOW} > 0.5 ELSE false END AS up, CASE WHEN n_reads > 0 THEN {_HIGH} < 0.5 ELSE false END AS down FROM sites),
+g AS (SELECT coalesce(context, 'cytosines') AS context, count(*) AS total_sites, CAST(count(*) FILTER (n_reads > 0) AS BIGINT) AS sites_covered, max(n_reads) AS max_depth, CAST(0 AS BIGINT) AS mutations,
+  CAST(sum(n_meth) AS BIGINT) AS total_c, CAST(sum(n_reads - n_meth) AS BIGINT) AS total_t, CAST(sum(n_reads) AS BIGINT) AS coverage, count(*) FILTER (up) AS called_meth, count(*) FILTER (down) AS called_unmeth, sum(level) AS lv
+  FROM t GROUP BY GROUPING SETS ((context), ()))
+SELECT context, total_sites, sites_covered, max_depth, mutations, total_c, total_t, coverage, called_meth, called_unmeth, round(coverage / total_sites, 6) AS mean_depth, round(coverage / sites_covered, 6) AS mean_depth_covered,
+  round(lv / sites_covered, 6) AS mean_meth, round(total_c / coverage, 6) AS mean_meth_weighted, round(called_meth / (called_meth + called_unmeth), 6) AS fractional_meth FROM g""")
+def levels_by_context(spark, sf_dir):
+    return _r(sites.levels(s.sites(spark, sf_dir)))
+
+
+@query(f"WITH {s.SITES} SELECT chrom, pos, strand, round({_LOW}, 6) AS low, round({_HIGH}, 6) AS high FROM sites WHERE n_reads > 0")
+def wilson_calls(spark, sf_dir):
+    low, high = wilson("n_meth", "n_reads", sites.ALPHA)
+    return _r(s.sites(spark, sf_dir).where("n_reads > 0").select("chrom", "pos", "strand", low.alias("low"), high.alias("high")))
+
+
+_ROI = f"""WITH {s.SITES}, {s.REGIONS}, hits AS (
+  SELECT r.*, n_reads, n_meth, CASE WHEN n_reads > 0 THEN {_LOW} > 0.5 ELSE false END AS up, CASE WHEN n_reads > 0 THEN {_HIGH} < 0.5 ELSE false END AS down
+  FROM regions r JOIN sites s ON s.chrom = r.chrom AND pos >= start AND pos < "end"), f AS (
+  SELECT chrom, start, "end", name, count(*) AS n_sites, count(*) FILTER (n_reads > 0) AS n_covered, CAST(sum(n_meth) AS BIGINT) AS n_meth, CAST(sum(n_reads) AS BIGINT) AS n_reads, count(*) FILTER (up) AS called_meth, count(*) FILTER (down) AS called_unmeth
+  FROM hits GROUP BY ALL)
+"""
+
+
+@query(_ROI + "SELECT *, round(CAST(n_meth AS DOUBLE) / n_reads, 6) AS level FROM f WHERE n_reads > 0")
+def roi_stats(spark, sf_dir):
+    return _r(sites.roi_stats(s.sites(spark, sf_dir), s.regions(spark, sf_dir)))
+
+
+@query(_ROI + """SELECT chrom, start, "end", name, coalesce(n_sites, 0) AS n_sites, coalesce(n_covered, 0) AS n_covered, coalesce(n_meth, 0) AS n_meth, coalesce(n_reads, 0) AS n_reads, coalesce(called_meth, 0) AS called_meth, coalesce(called_unmeth, 0) AS called_unmeth,
+  CASE WHEN n_reads > 0 THEN round(CAST(n_meth AS DOUBLE) / n_reads, 6) END AS level FROM regions LEFT JOIN f USING (chrom, start, "end", name)""")
+def roi_stats_all_regions(spark, sf_dir):
+    return _r(sites.roi_stats(s.sites(spark, sf_dir), s.regions(spark, sf_dir), all_regions=True))
+
+
+@query(f"""WITH {s.SITES}, {s.CROSSING} SELECT * FROM sites s WHERE EXISTS (SELECT 1 FROM crossing r WHERE r.chrom = s.chrom AND s.pos >= r.start AND s.pos < r."end")""")
+def select_sites(spark, sf_dir):
+    return sites.select_sites(s.sites(spark, sf_dir), s.crossing(spark, sf_dir))
+
+
+@query(f"WITH {s.SITES} SELECT * FROM sites")
+def merge_counts_sum(spark, sf_dir):
+    return sites.merge_sum(s.samples(spark, sf_dir))
+
+
+@query("WITH " + s.SAMPLES + " SELECT chrom, pos, strand, " + ", ".join(f"CAST(coalesce(sum(n_reads) FILTER (sample = {k}), 0) AS BIGINT) AS s{k}_r, CAST(coalesce(sum(n_meth) FILTER (sample = {k}), 0) AS BIGINT) AS s{k}_m" for k in SAMPLES) + " FROM samples GROUP BY ALL")
+def merge_counts_table(spark, sf_dir):
+    return sites.merge_table(s.samples(spark, sf_dir), SAMPLES)
+
+
+@query("WITH " + s.SAMPLES + " SELECT chrom, pos, strand, " + ", ".join(f"round(max({_LEVEL}) FILTER (sample = {k} AND n_reads > 20), 6) AS s{k}" for k in SAMPLES) + " FROM samples GROUP BY ALL")
+def merge_fraction_table(spark, sf_dir):
+    return _r(sites.merge_fraction(s.samples(spark, sf_dir), SAMPLES, 20))
+
+
+def _tracks(spark, sf_dir):
+    t = s.sites(spark, sf_dir)
+    return [t.where(F.col("strand") == x).select("chrom", F.expr("pos div 2").alias("start"), F.col("n_reads").alias("value")) for x in "+-"]
+
+
+@query(f"""WITH {s.SITES}, a AS (SELECT chrom, pos // 2 AS start, n_reads AS v FROM sites WHERE strand = '+'), b AS (SELECT chrom, pos // 2 AS start, n_reads AS v FROM sites WHERE strand = '-')
+SELECT chrom, start, coalesce(a.v, 0) AS a, coalesce(b.v, 0) AS b FROM a FULL JOIN b USING (chrom, start)""")
+def outer_merge_tracks(spark, sf_dir):
+    return sites.outer_merge(*_tracks(spark, sf_dir))
+
+
+def _index(spark, sf_dir):
+    p = s.table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    return p.select(F.concat(F.lit("chr"), (key % 5).cast("string")).alias("chrom"), (2 * key).alias("pos"), F.concat(F.lit("to"), (key % 3).cast("string")).alias("to_chrom"), F.expr("p_partkey div 2 + 1").alias("to_pos"), F.when(key % 2 == 0, "+").otherwise("-").alias("to_strand"), key.alias("line"))
+
+
+_INDEX = "idx AS (SELECT 'chr' || CAST(p_partkey % 5 AS VARCHAR) AS chrom, 2 * p_partkey AS pos, 'to' || CAST(p_partkey % 3 AS VARCHAR) AS to_chrom, p_partkey // 2 + 1 AS to_pos, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS to_strand FROM part)"
+_LIFTED = f"""WITH {s.SITES}, {_INDEX}, lifted AS (
+  SELECT to_chrom AS chrom, to_pos - CASE WHEN to_strand = '-' THEN 1 ELSE 0 END AS pos, '+' AS strand, context, n_reads, n_meth FROM sites JOIN idx USING (chrom, pos))
+"""
+
+
+def _lifted(spark, sf_dir):
+    return sites.liftover(s.sites(spark, sf_dir), _index(spark, sf_dir), plus_strand=True)
+
+
+@query(_LIFTED + "SELECT * FROM lifted")
+def liftover(spark, sf_dir):
+    return _lifted(spark, sf_dir)
+
+
+@query(f"WITH {s.SITES}, {_INDEX} SELECT * FROM sites s WHERE NOT EXISTS (SELECT 1 FROM idx i WHERE i.chrom = s.chrom AND i.pos = s.pos)")
+def unlifted_anti(spark, sf_dir):
+    return sites.unlifted(s.sites(spark, sf_dir), _index(spark, sf_dir))
+
+
+@query(_LIFTED + "SELECT chrom, pos, strand, min(context) AS context, CAST(sum(n_reads) AS BIGINT) AS n_reads, CAST(sum(n_meth) AS BIGINT) AS n_meth FROM lifted GROUP BY chrom, pos, strand")
+def lift_collapse(spark, sf_dir):
+    return sites.lift_filter(_lifted(spark, sf_dir))
+
+
+@query(_LIFTED + "SELECT chrom, pos, strand, min(context) AS context, CAST(sum(n_reads) AS BIGINT) AS n_reads, CAST(sum(n_meth) AS BIGINT) AS n_meth FROM lifted GROUP BY chrom, pos, strand HAVING count(*) = 1")
+def lift_unique(spark, sf_dir):
+    return sites.lift_filter(_lifted(spark, sf_dir), unique=True)
+
+
+@query(f"WITH {s.SITES} SELECT chrom, pos, strand, round(CASE WHEN {_LEVEL} <= 0.5 THEN 2 * {_LEVEL} ELSE 2 * (1 - {_LEVEL}) END, 6) AS folded FROM sites WHERE n_reads > 0")
+def partial_fold(spark, sf_dir):
+    return _r(s.sites(spark, sf_dir).where("n_reads > 0").select("chrom", "pos", "strand", fold(F.col("n_meth") / F.col("n_reads")).alias("folded")))
+
+
+@query(f"""WITH {s.SITES}, o AS (SELECT chrom, greatest(0, (pos + 99) // 100 - 1) AS bin, sum(n_reads) AS r, sum(n_meth) AS m FROM sites GROUP BY ALL),
+e AS (SELECT chrom, min(bin) FILTER (r > 0) AS lo, max(bin) AS hi FROM o GROUP BY chrom), d AS (SELECT chrom, unnest(range(lo, hi + 1)) AS bin FROM e)
+SELECT chrom, bin, CAST(coalesce(r, 0) AS BIGINT) AS n_reads, CAST(coalesce(m, 0) AS BIGINT) AS n_meth, bin * 100 AS start, (bin + 1) * 100 AS "end" FROM d LEFT JOIN o USING (chrom, bin)""")
+def fixed_bins_dense(spark, sf_dir):
+    return sites.bins(s.sites(spark, sf_dir), 100)
+
+
+_NEED = sites.reads_for_interval()
+
+
+@query(f"""WITH {s.SITES}, c AS (SELECT CAST(unnest([10, 20, 50, 100, 200]) AS BIGINT) AS size), b AS (SELECT size, chrom, greatest(0, (pos + size - 1) // size - 1) AS bin, sum(n_reads) AS r FROM sites, c GROUP BY ALL HAVING sum(n_reads) > 0)
+SELECT size, count(*) AS n_covered, count(*) FILTER (r >= {_NEED}) AS n_pass, round(count(*) FILTER (r >= {_NEED}) / count(*), 6) AS share FROM b GROUP BY size""")
+def bin_size_pass_fraction(spark, sf_dir):
+    return _r(sites.bin_size_pass(s.sites(spark, sf_dir), [10, 20, 50, 100, 200], _NEED))
+
+
+@query(f"WITH {s.COLLAPSED} SELECT chrom, pos, CAST(sum(n_reads) OVER w AS BIGINT) AS reads_upto, CAST(sum(n_meth) OVER w AS BIGINT) AS meth_upto FROM collapsed WINDOW w AS (PARTITION BY chrom ORDER BY pos)")
+def cumulative_coverage(spark, sf_dir):
+    w = Window.partitionBy("chrom").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return s.collapsed(spark, sf_dir).select("chrom", "pos", F.sum("n_reads").over(w).alias("reads_upto"), F.sum("n_meth").over(w).alias("meth_upto"))
+
+
+@query(f"""WITH {s.COLLAPSED}, p AS (SELECT a.chrom, a.pos, b.n_reads AS r, b.n_meth AS m, 1 - power((b.pos - a.pos) / 51.0, 2) AS w FROM collapsed a JOIN collapsed b ON a.chrom = b.chrom AND b.pos BETWEEN a.pos - 50 AND a.pos + 50)
+SELECT chrom, pos, round(sum(w * m) / sum(w * r), 6) AS smooth FROM p GROUP BY ALL""")
+def smoothed_levels(spark, sf_dir):
+    return _r(sites.smoothed(s.collapsed(spark, sf_dir), 50).select("chrom", "pos", "smooth"))
+
+
+def _probes(spark, sf_dir):
+    e = s.table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("g"), F.col("label").cast("string")).alias("sample"), F.posexplode("embedding").alias("k", "v")).select("sample", F.concat(F.lit("chr"), (F.col("k") % 5).cast("string")).alias("chrom"), F.col("k").cast("bigint").alias("pos"), F.round(F.col("v").cast("double"), 4).alias("value"))
+
+
+@query(f"""WITH {s.REGIONS}, flat AS (SELECT 'g' || CAST(label AS VARCHAR) AS sample, unnest(range(0, len(embedding))) AS k, unnest(embedding) AS v FROM embeddings),
+probes AS (SELECT sample, 'chr' || CAST(k % 5 AS VARCHAR) AS chrom, k AS pos, round(CAST(v AS DOUBLE), 4) AS value FROM flat)
+SELECT sample, name, count(*) AS n_probes, round(avg(value), 6) AS mean FROM probes p JOIN regions r ON p.chrom = r.chrom AND pos >= start AND pos < "end" GROUP BY ALL""")
+def probe_feature_means(spark, sf_dir):
+    return _r(sites.probe_means(_probes(spark, sf_dir), s.regions(spark, sf_dir)))
+
+
+# -- intervals -----------------------------------------------------------------------------------------------
+
+_UNION = """u0 AS (SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM crossing),
+u1 AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS k FROM u0),
+merged AS (SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS n FROM u1 GROUP BY chrom, k)"""
+
+
+@query(f"WITH {s.CROSSING}, {_UNION} SELECT * FROM merged")
+def interval_union(spark, sf_dir):
+    return intervals.union(s.crossing(spark, sf_dir))
+
+
+_GAPS = """tails AS (SELECT chrom, max("end") + 50 AS t FROM crossing GROUP BY chrom), g AS (
+  SELECT chrom, coalesce(lag("end") OVER (PARTITION BY chrom ORDER BY start), 0) AS start, start AS "end" FROM (SELECT chrom, start, "end" FROM merged UNION ALL SELECT chrom, t, t FROM tails)),
+gaps AS (SELECT * FROM g WHERE start < "end")"""
+
+
+@query(f"WITH {s.CROSSING}, {_UNION}, {_GAPS} SELECT * FROM gaps")
+def interval_complement(spark, sf_dir):
+    r = s.crossing(spark, sf_dir)
+    return intervals.complement(r, r.groupBy("chrom").agg((F.max("end") + 50).alias("end")))
+
+
+@query(f"""WITH {s.CROSSING}, {s.REGIONS}, {_UNION}, far AS (SELECT chrom, start, "end" FROM merged UNION ALL SELECT chrom, 1000000000, 1000000000 FROM (SELECT DISTINCT chrom FROM regions UNION SELECT DISTINCT chrom FROM crossing)),
+g AS (SELECT chrom, coalesce(lag("end") OVER (PARTITION BY chrom ORDER BY start), 0) AS gs, start AS ge FROM far),
+own AS (SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM regions),
+own1 AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS k FROM own), a AS (SELECT chrom, min(start) AS start, max("end") AS "end" FROM own1 GROUP BY chrom, k)
+SELECT a.chrom, greatest(a.start, gs) AS start, least(a."end", ge) AS "end" FROM a JOIN g ON a.chrom = g.chrom AND a.start < ge AND gs < a."end" AND gs < ge""")
+def interval_difference(spark, sf_dir):
+    return intervals.difference(s.regions(spark, sf_dir), s.crossing(spark, sf_dir))
+
+
+@query(f"""WITH {s.CROSSING}, {s.REGIONS} SELECT a.chrom, a.start AS a_start, a."end" AS a_end, a.name AS a_name, b.start AS b_start, b."end" AS b_end, b.name AS b_name
+FROM regions a JOIN crossing b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" """)
+def interval_overlaps(spark, sf_dir):
+    return intervals.overlaps(s.regions(spark, sf_dir), s.crossing(spark, sf_dir))
+
+
+@query(f"""WITH {s.CROSSING}, ev AS (SELECT chrom, start AS x, 1 AS d FROM crossing UNION ALL SELECT chrom, "end", -1 FROM crossing), st AS (SELECT chrom, x, sum(d) AS d FROM ev GROUP BY ALL),
+sw AS (SELECT chrom, x AS start, lead(x) OVER w AS "end", CAST(sum(d) OVER (PARTITION BY chrom ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM st WINDOW w AS (PARTITION BY chrom ORDER BY x)) SELECT * FROM sw WHERE depth > 0""")
+def interval_overlap_fragments(spark, sf_dir):
+    return intervals.fragments(s.crossing(spark, sf_dir))
+
+
+_SEGMENTS = s.STEPS + """, j AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 86400 THEN 0 ELSE 1 END AS new FROM steps WINDOW w AS (PARTITION BY chrom ORDER BY pos)),
+seg AS (SELECT chrom, pos, id, value, event_type, sum(new) OVER (PARTITION BY chrom ORDER BY pos RANGE UNBOUNDED PRECEDING) AS segment FROM j)"""
+
+
+@query(f'WITH {_SEGMENTS} SELECT chrom, CAST(segment AS BIGINT) AS segment, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM seg GROUP BY chrom, segment')
+def desert_segments(spark, sf_dir):
+    return intervals.segment_by_gap(s.steps(spark, sf_dir), 86400).groupBy("chrom", "segment").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {s.COLLAPSED}, b AS (SELECT *, 2 * n_meth < n_reads AS low, sum(CASE WHEN 2 * n_meth < n_reads THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM collapsed)
+SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, round(sum(1 - CAST(n_meth AS DOUBLE) / n_reads), 6) AS score FROM b WHERE low GROUP BY chrom, k""")
+def state_islands(spark, sf_dir):
+    return _r(intervals.domains(s.collapsed(spark, sf_dir).where("n_reads > 0"), 2 * F.col("n_meth") < F.col("n_reads"), ("chrom",), 1 - F.col("n_meth") / F.col("n_reads")))
+
+
+@query(f"""WITH {s.CROSSING}, {_UNION}, e AS (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY chrom ORDER BY start) > 5 THEN 1 ELSE 0 END AS new FROM merged), f AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY start ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT chrom, min(start) AS start, max("end") AS "end", min(n) AS score, count(*) AS n FROM f GROUP BY chrom, k""")
+def merge_within_gap(spark, sf_dir):
+    return intervals.merge_near(intervals.union(s.crossing(spark, sf_dir)).withColumnRenamed("n", "score"), 5)
+
+
+# -- significance --------------------------------------------------------------------------------------------
+
+_P = "p AS (SELECT chrom, pos, (CAST((meth_a * 31 + unmeth_b * 17 + pos * 7) % 1000 AS DOUBLE) + 1) / 100000.0 AS p, meth_a, unmeth_a, meth_b, unmeth_b FROM two_groups)"
+
+
+def _pvalues(spark, sf_dir):
+    x = ((F.col("meth_a") * 31 + F.col("unmeth_b") * 17 + F.col("pos") * 7) % 1000).cast("double")
+    return s.two_groups(spark, sf_dir).withColumn("p", (x + 1) / 100000.0)
+
+
+_BH = "r AS (SELECT *, least(1.0, p * count(*) OVER () / rank_) AS raw FROM (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS rank_ FROM p)), q AS (SELECT *, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING) AS q FROM r)"
+
+
+@query(f"WITH {s.TWO_GROUPS}, {_P}, {_BH} SELECT chrom, pos, p, round(q, 9) AS q FROM q")
+def bh_fdr(spark, sf_dir):
+    return significance.bh(_pvalues(spark, sf_dir)).select("chrom", "pos", "p", F.round("q", 9).alias("q"))
+
+
+@query(f"""WITH {s.TWO_GROUPS}, {_P}, o AS (SELECT p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n FROM p), f AS (SELECT min(p) AS first FROM o WHERE p >= 0.01 * i / n)
+SELECT max(p) AS cutoff FROM p, f WHERE first IS NULL OR p < first""")
+def stepup_cutoff(spark, sf_dir):
+    return significance.stepup_cutoff(_pvalues(spark, sf_dir), 0.01)
+
+
+@query(f"""WITH {s.TWO_GROUPS}, o AS (SELECT chrom, pos, CAST(meth_a AS DOUBLE) AS score FROM two_groups), z AS (SELECT CAST(meth_b AS DOUBLE) AS score, count(*) AS n FROM two_groups GROUP BY ALL)
+SELECT o.chrom, o.pos, o.score, round(coalesce((SELECT sum(n) FROM z WHERE z.score > o.score), 0) / (SELECT sum(n) FROM z), 6) AS p FROM o""")
+def empirical_pvalue(spark, sf_dir):
+    t = s.two_groups(spark, sf_dir)
+    return _r(significance.empirical_p(t.select("chrom", "pos", F.col("meth_a").cast("double").alias("score")), t.select(F.col("meth_b").cast("double").alias("score"))).select("chrom", "pos", "score", "p"))
+
+
+@query(f"""WITH {s.COLLAPSED}, b AS (SELECT (b.pos - a.pos - 2) // 10 AS bin, a.n_meth % 97 AS x, b.n_meth % 97 AS y FROM collapsed a JOIN collapsed b ON a.chrom = b.chrom AND b.pos - a.pos BETWEEN 2 AND 101),
+t AS (SELECT bin, count(*) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(y * y) AS DOUBLE) AS syy, CAST(sum(x * y) AS DOUBLE) AS sxy FROM b GROUP BY bin)
+SELECT bin, n, round(CASE WHEN n > 1 AND (n * sxx - sx * sx) * (n * syy - sy * sy) > 0 THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) ELSE 0.0 END, 6) AS corr FROM t""")
+def distance_bin_corr(spark, sf_dir):
+    return _r(significance.distance_correlation(s.collapsed(spark, sf_dir), F.col("n_meth") % 97, 2, 102, 10))
+
+
+@query(f"WITH {s.COLLAPSED} SELECT chrom, pos, n_reads, n_meth, count(*) OVER w AS n_near, CAST(sum(n_reads) OVER w AS BIGINT) AS near_sum FROM collapsed WINDOW w AS (PARTITION BY chrom ORDER BY pos RANGE BETWEEN 40 PRECEDING AND 40 FOLLOWING)")
+def band_neighbours(spark, sf_dir):
+    return significance.band_neighbours(s.collapsed(spark, sf_dir), 40)
+
+
+def _lc(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+
+
+_DIFF = "d AS (SELECT chrom, pos, meth_a, unmeth_a, meth_b, unmeth_b, CAST(meth_b + 1 AS DOUBLE) AS ma, CAST(unmeth_b + 1 AS DOUBLE) AS ua, CAST(meth_a + 1 AS DOUBLE) AS mb, CAST(unmeth_a + 1 AS DOUBLE) AS ub FROM two_groups)"
+_SUM = f"x AS (SELECT *, unnest(range(CAST(greatest(0, mb - ua) AS BIGINT), CAST(mb AS BIGINT))) AS k FROM d), sc AS (SELECT chrom, pos, meth_a, unmeth_a, meth_b, unmeth_b, least(1.0, sum(exp({_lc('(mb + ub - 1)', 'k')} + {_lc('(ma + ua - 1)', '(ma + mb - 1 - k)')} - {_lc('(ma + ua + mb + ub - 2)', '(ma + mb - 1)')}))) AS score FROM x GROUP BY ALL)"
+
+
+@query(f"WITH {s.TWO_GROUPS}, {_DIFF}, {_SUM} SELECT chrom, pos, meth_a, unmeth_a, meth_b, unmeth_b, round(coalesce(score, 0.0), 6) AS score FROM d LEFT JOIN sc USING (chrom, pos, meth_a, unmeth_a, meth_b, unmeth_b)")
+def methdiff_exact(spark, sf_dir):
+    return _r(significance.methdiff(s.two_groups(spark, sf_dir)))
+
+
+@query(f"""WITH {s.TWO_GROUPS}, {s.REGIONS}, {_P} SELECT r.chrom, r.start, r."end", count(p.pos) AS n_sites, count(*) FILTER (p.p < 0.005) AS n_sig FROM regions r LEFT JOIN p ON p.chrom = r.chrom AND p.pos >= r.start AND p.pos < r."end" GROUP BY ALL""")
+def dmr_counts(spark, sf_dir):
+    return significance.dmr_counts(s.regions(spark, sf_dir), _pvalues(spark, sf_dir).withColumn("score", F.col("p")), 0.005)
+
+
+@query(f"""WITH {s.TWO_GROUPS}, {_P}, i AS (SELECT *, p < 0.005 AS ok, sum(CASE WHEN p < 0.005 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM p)
+SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, count(*) FILTER (p < 0.005) AS n_sig, round(CAST(sum(meth_a) AS DOUBLE) / sum(meth_a + unmeth_a) - CAST(sum(meth_b) AS DOUBLE) / sum(meth_b + unmeth_b), 6) AS diff FROM i WHERE ok GROUP BY chrom, k""")
+def significant_islands(spark, sf_dir):
+    t = _pvalues(spark, sf_dir).withColumns({"q": F.col("p"), "cov_a": F.col("meth_a") + F.col("unmeth_a"), "cov_b": F.col("meth_b") + F.col("unmeth_b")})
+    return _r(significance.significant_islands(t, 0.005))
+
+
+# -- reads ---------------------------------------------------------------------------------------------------
+
+_PAIRS = s.EPIREADS + """, two AS (SELECT chrom, cpg, states, unnest(range(0, length(states) - 1)) AS i FROM epireads), st AS (SELECT chrom, cpg + i AS cpg, substr(states, CAST(i + 1 AS INTEGER), 2) AS s FROM two),
+pairs AS (SELECT chrom, cpg, count(*) FILTER (s = 'CC') AS cc, count(*) FILTER (s = 'CT') AS ct, count(*) FILTER (s = 'TC') AS tc, count(*) FILTER (s = 'TT') AS tt FROM st WHERE s IN ('CC', 'CT', 'TC', 'TT') GROUP BY chrom, cpg)"""
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+def pair_state_table(spark, sf_dir):
+    return reads.pair_states(s.epireads(spark, sf_dir))
+
+
+@query(f"""WITH {_PAIRS}, k AS (SELECT *, unnest(range(greatest(0, cc - tt), least(cc + ct, cc + tc) + 1)) AS j FROM pairs),
+w AS (SELECT chrom, cpg, cc, ct, tc, tt, {_lc('(cc + ct)', 'j')} + {_lc('(tc + tt)', '(cc + tc - j)')} AS l, {_lc('(cc + ct)', 'cc')} + {_lc('(tc + tt)', 'tc')} AS h, {_lc('(cc + ct + tc + tt)', '(cc + tc)')} AS t FROM k)
+SELECT chrom, cpg, cc, ct, tc, tt, round(least(1.0, sum(exp(l - t)) FILTER (l <= h + 1e-9)), 6) AS p FROM w GROUP BY ALL""")
+def fisher_pairs(spark, sf_dir):
+    return _r(reads.pair_states(s.epireads(spark, sf_dir)).withColumn("p", significance.fisher("cc", "ct", "tc", "tt")))
+
+
+_BASES = s.GENOME + """, g AS (SELECT chrom, seq, unnest(range(0, length(seq))) AS pos FROM genome),
+gb AS (SELECT chrom, pos, substr(seq, CAST(pos + 1 AS INTEGER), 1) AS b, CASE WHEN pos > 1 THEN substr(seq, CAST(pos - 1 AS INTEGER), 1) END AS b2, CASE WHEN pos > 0 THEN substr(seq, CAST(pos AS INTEGER), 1) END AS b1,
+  nullif(substr(seq, CAST(pos + 2 AS INTEGER), 1), '') AS a1, nullif(substr(seq, CAST(pos + 3 AS INTEGER), 1), '') AS a2 FROM g),
+cyt AS (SELECT chrom, pos, CASE b WHEN 'C' THEN '+' ELSE '-' END AS strand,
+  CASE WHEN b = 'C' THEN CASE WHEN a1 = 'G' THEN 'CpG' WHEN a1 IN ('A', 'C', 'T') AND a2 IN ('A', 'C', 'T') THEN 'CHH' WHEN a1 IN ('A', 'T') AND a2 = 'G' THEN 'CXG' ELSE 'CCG' END
+       ELSE CASE WHEN b1 = 'C' THEN 'CpG' WHEN b1 IN ('A', 'G', 'T') AND b2 IN ('A', 'G', 'T') THEN 'CHH' WHEN b1 IN ('A', 'T') AND b2 = 'C' THEN 'CXG' ELSE 'CCG' END END AS context
+  FROM gb WHERE b IN ('C', 'G'))"""
+
+
+@query(f"WITH {_BASES} SELECT * FROM cyt")
+def context_tags(spark, sf_dir):
+    return reads.cytosines(s.genome(spark, sf_dir))
+
+
+@query(f"WITH {_BASES} SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS cpg FROM gb WHERE b = 'C' AND a1 = 'G'")
+def cpg_ordinal(spark, sf_dir):
+    return reads.cpg_index(s.genome(spark, sf_dir))
+
+
+_READS = s.ALIGNED + """, rb AS (SELECT read, chrom, strand, start, length(seq) AS n, seq, unnest(range(0, length(seq))) AS i FROM aligned),
+rbase AS (SELECT read, chrom, strand, CASE WHEN strand = '+' THEN start + i ELSE start + n - 1 - i END AS pos, i, substr(seq, CAST(i + 1 AS INTEGER), 1) AS base FROM rb)"""
+
+
+@query(f"""WITH {_BASES}, {_READS.replace(s.GENOME + ", ", "")}, c AS (SELECT chrom, pos, {", ".join(f"count(*) FILTER (strand = '{x}' AND base = '{b}') AS {n}{b}" for x, n in (("+", "p"), ("-", "n")) for b in "CTG")}, count(*) FILTER (strand = '+' AND base <> 'N') AS pa, count(*) FILTER (strand = '-' AND base <> 'N') AS na FROM rbase GROUP BY ALL)
+SELECT chrom, pos, strand, CASE WHEN 2 * coalesce(CASE strand WHEN '+' THEN nG ELSE pG END, 0) < coalesce(CASE strand WHEN '+' THEN na ELSE pa END, 0) THEN context || 'x' ELSE context END AS context,
+  coalesce(CASE strand WHEN '+' THEN pC + pT ELSE nC + nT END, 0) AS n_reads, coalesce(CASE strand WHEN '+' THEN pC ELSE nC END, 0) AS n_meth FROM cyt LEFT JOIN c USING (chrom, pos)""")
+def pileup(spark, sf_dir):
+    return reads.pileup(s.aligned(spark, sf_dir), s.genome(spark, sf_dir))
+
+
+@query(f"""WITH {_BASES}, {_READS.replace(s.GENOME + ", ", "")}, h AS (SELECT i + 1 AS base, strand, rbase.base AS b FROM rbase JOIN cyt USING (chrom, pos, strand) WHERE rbase.base <> 'N' AND context <> 'CpG'),
+t AS (SELECT base, count(*) FILTER (strand = '+' AND b = 'C') AS p_unconv, count(*) FILTER (strand = '+' AND b = 'T') AS p_conv, count(*) FILTER (strand = '-' AND b = 'C') AS n_unconv, count(*) FILTER (strand = '-' AND b = 'T') AS n_conv, count(*) FILTER (b NOT IN ('C', 'T')) AS errors FROM h GROUP BY base)
+SELECT *, round(p_conv / nullif(p_conv + p_unconv, 0), 6) AS p_rate, round(n_conv / nullif(n_conv + n_unconv, 0), 6) AS n_rate, round((p_conv + n_conv) / nullif(p_conv + n_conv + p_unconv + n_unconv, 0), 6) AS rate, round(errors / nullif(errors + p_conv + n_conv + p_unconv + n_unconv, 0), 6) AS error_rate FROM t""")
+def conversion_by_position(spark, sf_dir):
+    return _r(reads.conversion(s.aligned(spark, sf_dir), s.genome(spark, sf_dir)))
+
+
+@query("""SELECT CAST(l_linenumber AS BIGINT) AS base, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS conv, CAST(sum(CAST(l_quantity AS BIGINT) + l_suppkey % 7) AS BIGINT) AS total, CAST(sum(l_partkey % 3) AS BIGINT) AS errors,
+  round(CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / sum(CAST(l_quantity AS BIGINT) + l_suppkey % 7), 6) AS rate, round(CAST(sum(l_partkey % 3) AS DOUBLE) / sum(l_partkey % 3 + CAST(l_quantity AS BIGINT) + l_suppkey % 7), 6) AS error_rate FROM lineitem GROUP BY l_linenumber""")
+def merge_rates(spark, sf_dir):
+    q = F.col("l_quantity").cast("bigint")
+    return _r(reads.merge_rates(s.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("base"), q.alias("conv"), (q + F.col("l_suppkey") % 7).alias("total"), (F.col("l_partkey") % 3).alias("errors"))))
+
+
+def _mapped(spark, sf_dir):
+    return s.table(spark, sf_dir, "lineitem").select(F.concat("l_orderkey", F.lit("."), "l_linenumber").alias("read"), F.concat(F.lit("chr"), (F.col("l_suppkey") % 5).cast("string")).alias("chrom"), (F.col("l_partkey") % 997).alias("start"), F.when(F.col("l_returnflag") == "A", "+").otherwise("-").alias("strand"), F.repeat(F.lit("A"), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("seq"))
+
+
+_MAPPED = "mapped AS (SELECT 'chr' || CAST(l_suppkey % 5 AS VARCHAR) AS chrom, l_partkey % 997 AS start, l_partkey % 997 + l_linenumber % 3 + 1 AS \"end\", CASE WHEN l_returnflag = 'A' THEN '+' ELSE '-' END AS strand, l_linenumber % 3 + 1 AS size FROM lineitem)"
+
+
+@query(f'WITH {_MAPPED} SELECT chrom, start, "end", strand, max(size) AS size, count(*) AS n FROM mapped GROUP BY chrom, start, "end", strand')
+def dedup_reads(spark, sf_dir):
+    return reads.dedup_reads(_mapped(spark, sf_dir)).select("chrom", "start", "end", "strand", F.length("seq").alias("size"), "n")
+
+
+@query(f'WITH {_MAPPED}, c AS (SELECT count(*) AS copies FROM mapped GROUP BY chrom, start, "end", strand) SELECT copies, count(*) AS n FROM c GROUP BY copies')
+def dup_histogram(spark, sf_dir):
+    return reads.dup_histogram(_mapped(spark, sf_dir))
+
+
+def _ends(spark, sf_dir):
+    b = s.bases(spark, sf_dir)
+    return b.select("read", F.col("seq").alias("seq1"), F.when(F.col("read") % 3 == 0, F.translate("seq", "TG", "CA")).otherwise(F.reverse("seq")).alias("seq2"))
+
+
+_ENDS = s.BASES + ", ends AS (SELECT read, seq AS seq1, CASE WHEN read % 3 = 0 THEN translate(seq, 'TG', 'CA') ELSE reverse(seq) END AS seq2 FROM bases)"
+_SAME = """i AS (SELECT read, seq1, seq2, unnest(range(1, length(seq1) + 1)) AS k FROM ends), ab AS (SELECT read, substr(seq1, CAST(k AS INTEGER), 1) AS a, substr(seq2, CAST(k AS INTEGER), 1) AS b FROM i),
+same AS (SELECT read, count(*) FILTER (a = b OR a = 'T' AND b = 'C' OR a = 'G' AND b = 'A') / count(*) AS same FROM ab GROUP BY read)"""
+
+
+@query(f"WITH {_ENDS}, {_SAME} SELECT read, round(same, 6) AS same, same > 0.95 AS hairpin FROM same")
+def hairpin_filter(spark, sf_dir):
+    return _r(reads.hairpins(_ends(spark, sf_dir)).select("read", "same", "hairpin"))
+
+
+@query(f"WITH {_ENDS}, {_SAME} SELECT count(*) AS n, CAST(sum(CASE WHEN same > 0.95 THEN 1 ELSE 0 END) AS BIGINT) AS n_hairpin, round(avg(same) FILTER (same > 0.95), 6) AS mean_bad, round(avg(same) FILTER (same <= 0.95), 6) AS mean_good FROM same")
+def hairpin_summary(spark, sf_dir):
+    return _r(reads.hairpin_stats(_ends(spark, sf_dir)))
+
+
+def _n(c: str, b: str) -> str:
+    return f"(length({c}) - length(replace({c}, '{b}', '')))"
+
+
+@query(f"""WITH {_ENDS}, t AS (SELECT count(*) AS n, CAST(sum(CASE WHEN {_n('seq1', 'T')} > {_n('seq1', 'A')} AND {_n('seq2', 'A')} > {_n('seq2', 'T')} THEN 1 ELSE 0 END) AS BIGINT) AS n_rich FROM ends)
+SELECT n, n_rich, round(n_rich / n, 6) AS share, CASE WHEN n_rich / n >= 0.8 THEN 'original' WHEN n_rich / n <= 0.2 THEN 'pbat' WHEN n_rich / n BETWEEN 0.4 AND 0.6 THEN 'random' ELSE 'inconclusive' END AS protocol FROM t""")
+def protocol_guess(spark, sf_dir):
+    return _r(reads.guess_protocol(_ends(spark, sf_dir)))
+
+
+@query(f"""WITH {s.EPIREADS}, e AS (SELECT chrom, cpg, states, unnest(range(0, length(states))) AS i FROM epireads), lv AS (SELECT chrom, cpg + i AS cpg, avg(CASE substr(states, CAST(i + 1 AS INTEGER), 1) WHEN 'C' THEN 1.0 ELSE 0.0 END) AS level FROM e WHERE substr(states, CAST(i + 1 AS INTEGER), 1) <> 'N' GROUP BY ALL),
+win AS (SELECT chrom, cpg, states, unnest(range(greatest(0, cpg - 3), cpg + length(states))) AS w FROM epireads), pt AS (SELECT chrom, w, greatest(w, cpg) - w AS o, substr(states, CAST(greatest(w, cpg) - cpg + 1 AS INTEGER), CAST(least(w + 4, cpg + length(states)) - greatest(w, cpg) AS INTEGER)) AS s, count(*) AS n FROM win GROUP BY ALL),
+k AS (SELECT p.*, unnest(range(0, 16)) AS k FROM pt p SEMI JOIN (SELECT DISTINCT chrom, unnest([cpg - 3, cpg - 2, cpg - 1, cpg]) AS w FROM lv) USING (chrom, w)),
+pr AS (SELECT k.chrom, k.w, k.k, k.n, {" * ".join(f"(CASE WHEN {i} >= o AND {i} < o + length(s) AND substr(s, CAST({i} - o + 1 AS INTEGER), 1) <> 'N' THEN CASE WHEN (substr(s, CAST({i} - o + 1 AS INTEGER), 1) = 'C') = ((k.k >> {i}) % 2 = 1) THEN 1.0 ELSE 0.0 END ELSE CASE WHEN (k.k >> {i}) % 2 = 1 THEN coalesce(l{i}.level, 0.5) ELSE 1 - coalesce(l{i}.level, 0.5) END END)" for i in range(4))} AS p
+  FROM k {" ".join(f"LEFT JOIN lv l{i} ON l{i}.chrom = k.chrom AND l{i}.cpg = k.w + {i}" for i in range(4))}),
+st AS (SELECT chrom, w, k, sum(p * n) AS p, sum(n) AS n FROM pr GROUP BY ALL)
+SELECT chrom, w AS "window", CAST(max(n) AS BIGINT) AS n_reads, round(sum(CASE WHEN p > 0 THEN -(p / n) * log2(p / n) ELSE 0.0 END) / 4, 6) AS entropy FROM st GROUP BY chrom, w""")
+def sliding_entropy(spark, sf_dir):
+    return _r(reads.entropy(s.epireads(spark, sf_dir)))
+
+
+# -- models: no SQL ------------------------------------------------------------------------------------------
+
+
+@query()
+def hmr_domains(spark, sf_dir):
+    return _r(models.hypomethylated_regions(s.collapsed(spark, sf_dir), desert=60), 4)
+
+
+@query()
+def hmr_rep_domains(spark, sf_dir):
+    t = s.samples(spark, sf_dir).withColumn("pos", F.expr("pos div 2 * 2"))
+    cell = lambda c, k: F.coalesce(F.sum(F.when(F.col("sample") % 2 == k, F.col(c))), F.lit(0))
+    two = t.groupBy("chrom", "pos").agg(F.array(cell("n_reads", 0), cell("n_reads", 1)).alias("reads"), F.array(cell("n_meth", 0), cell("n_meth", 1)).alias("meth"))
+    return _r(models.hypomethylated_regions(two, desert=60, replicates=2), 4)
+
+
+@query()
+def pmd_domains(spark, sf_dir):
+    return _r(models.partial_domains(sites.bins(s.sites(spark, sf_dir), 20), 20), 4)
+
+
+@query()
+def hypermr_domains(spark, sf_dir):
+    return _r(models.hyper_domains(s.collapsed(spark, sf_dir), desert=60), 4)
+
+
+@query()
+def amr_windows(spark, sf_dir):
+    return _r(models.amr_windows(s.epireads(spark, sf_dir)), 4)
+
+
+def _designed(spark, sf_dir):
+    t = s.samples(spark, sf_dir).withColumn("pos", F.expr("pos div 2 * 2")).groupBy("chrom", "pos", "sample").agg(F.sum("n_reads").alias("n_reads"), F.sum("n_meth").alias("n_meth"))
+    rows = t.groupBy("chrom", "pos").agg(F.collect_list(F.struct("sample", "n_reads", "n_meth")).alias("counts"))
+    return models.regression(rows, {k: (1, int(k > 3)) for k in SAMPLES}, 1)
+
+
+@query()
+def regression_pvalues(spark, sf_dir):
+    return _r(_designed(spark, sf_dir), 4)
+
+
+@query()
+def adjusted_pvalues(spark, sf_dir):
+    p = _designed(spark, sf_dir).where("p >= 0").cache()
+    corr = significance.distance_correlation(p, significance.probit(1 - F.col("p")), 1, 41, 10)
+    return _r(significance.bh(significance.combined(p.select("chrom", "pos", "p"), corr, 40, 10), "combined_p"), 4)
+
+
+@query()
+def mlml_levels(spark, sf_dir):
+    t = s.samples(spark, sf_dir).withColumn("pos", F.expr("pos div 2 * 2")).withColumn("assay", F.col("sample") % 3)
+    cell = lambda k, x: F.coalesce(F.sum(F.when(F.col("assay") == k, x)), F.lit(0)).cast("double")
+    m, u = F.col("n_meth"), F.col("n_reads") - F.col("n_meth")
+    return _r(models.joint_levels(t.groupBy("chrom", "pos").agg(cell(0, m).alias("h"), cell(0, u).alias("g"), cell(1, m).alias("u"), cell(1, u).alias("t"), cell(2, m).alias("m"), cell(2, u).alias("l"))), 4)
