@@ -83,8 +83,9 @@ def viterbi(model: Hmm, logs: np.ndarray) -> np.ndarray:
     return np.array(states[::-1])
 
 
-def _packed(rows: DataFrame, packs: int) -> DataFrame:
-    """rows: chrom, segment, pos, meth and reads (arrays over replicates), in packs of whole segments."""
+def _packed(rows: DataFrame, packs: int | None) -> DataFrame:
+    """rows: chrom, segment, pos, meth and reads (arrays over replicates), in packs of whole segments; as many as shuffle partitions unless given."""
+    packs = packs or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.withColumn("pack", F.pmod(F.xxhash64("chrom", "segment"), F.lit(packs)))
 
 
@@ -95,9 +96,9 @@ def _arrays(pdf: pd.DataFrame):
     return pdf, np.array(pdf["meth"].tolist(), float), np.array(pdf["reads"].tolist(), float), lengths
 
 
-def train(rows: DataFrame, model: Hmm, iterations: int = 10, tolerance: float = 1e-10, packs: int = 64) -> Hmm:
+def train(rows: DataFrame, model: Hmm, iterations: int = 10, tolerance: float = 1e-10, packs: int | None = None) -> Hmm:
     """Baum-Welch. Each iteration sends one row of sums per pack to the driver, which fits the emissions."""
-    packed = _packed(rows, packs)
+    packed = _packed(rows, packs).persist()
     reps, k = len(model.emission[0]), len(model.start)
     for _ in range(iterations):
         now = model
@@ -116,7 +117,7 @@ def train(rows: DataFrame, model: Hmm, iterations: int = 10, tolerance: float =
 
         got = packed.groupBy("pack").applyInPandas(step, "sums array<double>").agg(*[F.sum(F.col("sums")[i]) for i in range(3 * len(model.emission) * reps + k * k + 1)]).first()
         if got[0] is None:
-            return model
+            break
         got = list(got)
         emission = tuple(tuple(kernels.fit_beta(*got[3 * (g * reps + r) : 3 * (g * reps + r) + 3]) for r in range(reps)) for g in range(len(model.emission)))
         counts = np.array(got[3 * len(model.emission) * reps : -1]).reshape(k, k)
@@ -129,10 +130,11 @@ def train(rows: DataFrame, model: Hmm, iterations: int = 10, tolerance: float =
         model = replace(model, start=tuple(start), trans=tuple(map(tuple, trans.tolist())), emission=emission)
         if moved < tolerance:
             break
+    packed.unpersist()
     return model
 
 
-def decode(rows: DataFrame, model: Hmm, packs: int = 64, most_likely_path: bool = False) -> DataFrame:
+def decode(rows: DataFrame, model: Hmm, packs: int | None = None, most_likely_path: bool = False) -> DataFrame:
     """chrom, segment, pos, state, post (of state 0): by posterior, or by the likeliest path."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -291,46 +293,75 @@ def amrs(scored: DataFrame, width: int = 10, gap: int = 10, cutoff: float = 0.01
 # -- regression ----------------------------------------------------------------------------------------------
 
 
-def _fit_regression(x: np.ndarray, k: np.ndarray, n: np.ndarray, steps: int = 200) -> float:
-    """Greatest log-likelihood of beta-binomial counts with a logit-linear mean and one dispersion; by damped scoring on numeric slopes."""
-    use = n > 0
-    x, k, n = x[use], k[use], n[use]
-
-    def minus(theta):
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ theta[:-1], -30, 30))), 1e-9, 1 - 1e-9)
-        phi = np.clip(1 / (1 + np.exp(-np.clip(theta[-1], -30, 30))), 1e-9, 1 - 1e-9)
-        m = (1 - phi) / phi
-        return -(kernels.betabinomial_logpmf(k, n, p * m, (1 - p) * m)).sum()
-
-    theta = np.zeros(x.shape[1] + 1)
-    theta[-1] = -2.5
-    value, size = minus(theta), len(theta)
-    inverse, grad = np.eye(size), None
+def _fit_regressions(x: np.ndarray, k: np.ndarray, n: np.ndarray, steps: int = 150) -> np.ndarray:
+    """Greatest log-likelihoods of beta-binomial counts with a logit-linear mean and one dispersion, of many sites at once.
 
-    def slope(t):
-        h = 1e-5
-        return np.array([(minus(t + h * e) - minus(t - h * e)) / (2 * h) for e in np.eye(size)])
-
-    grad = slope(theta)
+    x: sites x samples x factors; k, n: sites x samples, n = 0 for a sample without the site. Quasi-Newton steps, each
+    site with its own curvature and step length.
+    """
+    sites, _, factors = x.shape
+    size, seen = factors + 1, n > 0
+
+    def minus(theta, rows):
+        p, m, a, b = parts_of(theta, rows)
+        return -(kernels.betabinomial_logpmf(k[rows], n[rows], a, b) * seen[rows]).sum(axis=1)
+
+    def parts_of(theta, rows):
+        p = np.clip(1 / (1 + np.exp(-np.clip(np.einsum("ijk,ik->ij", x[rows], theta[:, :-1]), -30, 30))), 1e-9, 1 - 1e-9)
+        m = np.exp(-np.clip(theta[:, -1:], -15, 15)) * np.ones_like(p)
+        return p, m, p * m, (1 - p) * m
+
+    def slope(theta, rows):
+        p, m, a, b = parts_of(theta, rows)
+        both = kernels.digamma((n[rows] + m).ravel()).reshape(p.shape)
+        own = kernels.digamma(m.ravel()).reshape(p.shape)
+        da = kernels.digamma((k[rows] + a).ravel()).reshape(p.shape) - both - kernels.digamma(a.ravel()).reshape(p.shape) + own
+        db = kernels.digamma((n[rows] - k[rows] + b).ravel()).reshape(p.shape) - both - kernels.digamma(b.ravel()).reshape(p.shape) + own
+        eta = (da - db) * m * p * (1 - p) * seen[rows]
+        last = -((p * da + (1 - p) * db) * m * seen[rows]).sum(axis=1, keepdims=True)
+        return -np.concatenate([np.einsum("ijk,ij->ik", x[rows], eta), last], axis=1)
+
+    theta = np.zeros((sites, size))
+    theta[:, -1] = -2.5
+    rows = np.arange(sites)
+    value, grad = minus(theta, rows), slope(theta, rows)
+    inverse = np.tile(np.eye(size), (sites, 1, 1))
     for _ in range(steps):
-        move, rate = -inverse @ grad, 1.0
-        if move @ grad > 0:
-            inverse, move = np.eye(size), -grad
-        while rate > 1e-8 and not (new := minus(theta + rate * move)) < value - 1e-4 * rate * -(move @ grad):
-            rate /= 2
-        if rate <= 1e-8:
-            break
-        step, fresh = rate * move, slope(theta + rate * move)
-        y = fresh - grad
-        theta, value, grad, sy = theta + step, new, fresh, step @ y
-        if sy > 1e-12:
-            r = np.eye(size) - np.outer(step, y) / sy
-            inverse = r @ inverse @ r.T + np.outer(step, step) / sy
-        if np.abs(grad).max() < 1e-5:
+        if not len(rows):
             break
+        g = grad[rows]
+        move = -np.einsum("ijk,ik->ij", inverse[rows], g)
+        down = (move * g).sum(axis=1)
+        uphill = down >= 0
+        inverse[rows[uphill]], move[uphill] = np.eye(size), -g[uphill]
+        down = (move * g).sum(axis=1)
+        rate, open_ = np.minimum(1.0, 5 / np.maximum(np.abs(move).max(axis=1), 1e-12)), np.ones(len(rows), bool)
+        new = value[rows].copy()
+        for _ in range(40):
+            at = np.flatnonzero(open_)
+            if not len(at):
+                break
+            new[at] = minus(theta[rows[at]] + rate[at, None] * move[at], rows[at])
+            fine = new[at] <= value[rows[at]] + 1e-4 * rate[at] * down[at]
+            open_[at[fine]] = False
+            rate[at[~fine]] /= 2
+        step = np.where(open_, 0.0, rate)[:, None] * move
+        fresh = slope(theta[rows] + step, rows)
+        y, sy = fresh - g, (step * (fresh - g)).sum(axis=1)
+        good = np.flatnonzero(sy > 1e-12)
+        if len(good):
+            r = np.eye(size) - np.einsum("ij,ik->ijk", step[good], y[good]) / sy[good, None, None]
+            inverse[rows[good]] = np.einsum("iab,ibc,idc->iad", r, inverse[rows[good]], r) + np.einsum("ij,ik->ijk", step[good], step[good]) / sy[good, None, None]
+        theta[rows] += step
+        value[rows], grad[rows] = np.where(open_, value[rows], new), fresh
+        rows = rows[~open_ & (np.abs(fresh).max(axis=1) > 1e-5)]
     return -value
 
 
+def _fit_regression(x: np.ndarray, k: np.ndarray, n: np.ndarray) -> float:
+    return float(_fit_regressions(x[None], k[None], n[None])[0])
+
+
 def regression(rows: DataFrame, design: dict[int, tuple], factor: int) -> DataFrame:
     """p of a likelihood-ratio test of one factor per site: chrom, pos, p, cov_a, meth_a (factor off), cov_b, meth_b (on).
 
@@ -338,20 +369,25 @@ def regression(rows: DataFrame, design: dict[int, tuple], factor: int) -> DataFr
     a side has no reads or all counts are methylated or none is.
     """
 
+    names = sorted(design)
+    table = np.array([design[s] for s in names], float)
+    on = table[:, factor] == 1
+
     def run(frames):
         for pdf in frames:
-            out = []
-            for chrom, pos, counts in zip(pdf["chrom"], pdf["pos"], pdf["counts"]):
-                counts = sorted(counts, key=lambda c: c["sample"])
-                x = np.array([design[c["sample"]] for c in counts], float)
-                n, k = np.array([c["n_reads"] for c in counts], float), np.array([c["n_meth"] for c in counts], float)
-                on = x[:, factor] == 1
-                p = -1.0
-                if n[on].sum() and n[~on].sum() and 0 < k.sum() < n.sum():
-                    full, null = _fit_regression(x, k, n), _fit_regression(np.delete(x, factor, axis=1), k, n)
-                    p = kernels.chi2_sf(max(0.0, 2 * (full - null)), 1)
-                out.append((chrom, pos, p, int(n[~on].sum()), int(k[~on].sum()), int(n[on].sum()), int(k[on].sum())))
-            yield pd.DataFrame(out, columns=["chrom", "pos", "p", "cov_a", "meth_a", "cov_b", "meth_b"])
+            n, k = np.zeros((len(pdf), len(names))), np.zeros((len(pdf), len(names)))
+            for row, counts in enumerate(pdf["counts"]):
+                for c in counts:
+                    at = names.index(c["sample"])
+                    n[row, at] += c["n_reads"]
+                    k[row, at] += c["n_meth"]
+            a, b = n[:, ~on].sum(axis=1), n[:, on].sum(axis=1)
+            use = np.flatnonzero((a > 0) & (b > 0) & (k.sum(axis=1) > 0) & (k.sum(axis=1) < n.sum(axis=1)))
+            p = np.full(len(pdf), -1.0)
+            x = np.tile(table, (len(use), 1, 1))
+            gain = _fit_regressions(x, k[use], n[use]) - _fit_regressions(np.delete(x, factor, axis=2), k[use], n[use])
+            p[use] = [kernels.chi2_sf(max(0.0, 2 * g), 1) for g in gain]
+            yield pd.DataFrame({"chrom": pdf["chrom"], "pos": pdf["pos"], "p": p, "cov_a": a.astype("int64"), "meth_a": k[:, ~on].sum(axis=1).astype("int64"), "cov_b": b.astype("int64"), "meth_b": k[:, on].sum(axis=1).astype("int64")})
 
     return rows.select("chrom", "pos", "counts").mapInPandas(run, "chrom string, pos long, p double, cov_a long, meth_a long, cov_b long, meth_b long")
 
