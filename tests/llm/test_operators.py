@@ -62,6 +62,8 @@ def test_suffixes(docs):
     got = [tuple(r) for r in suffixes.remove_repeats(unique).collect()]
     assert sorted(map(str, got)) == sorted(map(str, _removed(unique)))
     assert sum(r[2] for r in got) > 2000
+    few = [tuple(r) for r in suffixes.remove_repeats(unique, crowded=2).collect()]
+    assert sorted(map(str, few)) == sorted(map(str, got))
     assert suffixes.remove_repeats(docs.limit(0)).collect() == []
 
 
