@@ -17,7 +17,7 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the vectorised kernels take at once. A longer document is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 # -- the shared folder -------------------------------------------------------------------------------------
@@ -37,9 +37,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """The rows as a table in the shared folder: it cuts the lineage and outlives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -181,7 +181,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 # -- sorted runs ---------------------------------------------------------------------------------------------
 
 #: Keys that a task gathers before it sends them on.
-RUN = 3_000_000
+RUN = 2_000_000
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
