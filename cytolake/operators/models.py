@@ -242,11 +242,8 @@ def sharpened(regions: DataFrame, sites: DataFrame, size: int) -> DataFrame:
 def allele_test(reads: list[tuple[int, str]], iterations: int = 10, bic: bool = False) -> float:
     """Score of two epialleles against one for reads (offset, states): a p-value, or with bic the difference of criteria (negative favours two)."""
     width = max(at + len(s) for at, s in reads)
-    x = np.full((len(reads), width), np.nan)
-    for row, (at, s) in enumerate(reads):
-        for i, c in enumerate(s):
-            if c in "CT":
-                x[row, at + i] = c == "C"
+    letters = np.frombuffer("".join(("." * at + s).ljust(width, ".") for at, s in reads).encode(), np.uint8).reshape(-1, width)
+    x = np.where(letters == ord("C"), 1.0, np.where(letters == ord("T"), 0.0, np.nan))
     seen, ones = ~np.isnan(x), np.nan_to_num(x)
     eps = 1e-10
     one = (ones.sum(axis=0) + eps) / (seen.sum(axis=0) + 2 * eps)
@@ -280,6 +277,23 @@ def amr_windows(reads: DataFrame, width: int = 10, min_coverage: int = 4, iterat
     return grouped.select("chrom", "window", "n_reads", test("reads").alias("score"))
 
 
+def amr_test(reads: DataFrame, regions: DataFrame, iterations: int = 10, bic: bool = False) -> DataFrame:
+    """chrom, start, end, n_reads, score of given regions over CpG ordinals, by the reads that reach into them."""
+    from .intervals import overlaps
+
+    spans = reads.select("chrom", F.col("cpg").alias("start"), (F.col("cpg") + F.length("states")).alias("end"), "states")
+    met = overlaps(regions.select("chrom", "start", "end"), spans)
+    low, high = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
+    part = F.struct((low - F.col("a_start")).cast("int").alias("at"), F.substr(F.col("b_states"), (low - F.col("b_start") + 1).cast("int"), (high - low).cast("int")).alias("states"))
+    grouped = met.select("chrom", "a_start", "a_end", part.alias("r")).where("r.states rlike '[CT]'").groupBy("chrom", "a_start", "a_end").agg(F.count(F.lit(1)).alias("n_reads"), F.collect_list("r").alias("reads"))
+
+    @F.pandas_udf(DoubleType())
+    def test(rows: pd.Series) -> pd.Series:
+        return pd.Series([allele_test([(r["at"], r["states"]) for r in some], iterations, bic) for some in rows])
+
+    return grouped.select("chrom", F.col("a_start").alias("start"), F.col("a_end").alias("end"), "n_reads", test("reads").alias("score"))
+
+
 def amrs(scored: DataFrame, width: int = 10, gap: int = 10, cutoff: float = 0.01) -> DataFrame:
     """Windows under the step-up cutoff as regions over CpG ordinals: overlapping and near ones joined, short ones dropped."""
     from .intervals import merge_near

@@ -504,6 +504,37 @@ def amr_windows(spark, sf_dir):
     return _r(models.amr_windows(s.epireads(spark, sf_dir)), 4)
 
 
+@query()
+def amr_regions(spark, sf_dir):
+    return _r(models.amrs(models.amr_windows(s.epireads(spark, sf_dir)).persist()), 4)
+
+
+@query()
+def amr_given_regions(spark, sf_dir):
+    r = s.table(spark, sf_dir, "part").select(F.concat(F.lit("chr"), (F.col("p_partkey") % 3).cast("string")).alias("chrom"), (8 * F.expr("p_partkey div 3")).alias("start"), (8 * F.expr("p_partkey div 3") + 8).alias("end"))
+    return _r(models.amr_test(s.epireads(spark, sf_dir), r), 4)
+
+
+@query()
+def pmd_boundaries(spark, sf_dir):
+    t = s.sites(spark, sf_dir)
+    return _r(models.sharpened(models.partial_domains(sites.bins(t, 20), 20), t, 20), 4)
+
+
+@query(f"""WITH {s.BASES}, m AS (SELECT read // 2 AS pair, 'g' AS chrom, read % 2 * 50 + read % 7 AS start, seq FROM bases), p AS (SELECT pair, count(*) AS k FROM m GROUP BY pair)
+SELECT CASE WHEN k = 2 THEN 2 ELSE 1 END AS mates, count(DISTINCT pair) AS pairs FROM m JOIN p USING (pair) GROUP BY ALL""")
+def mate_merge_counts(spark, sf_dir):
+    b = s.bases(spark, sf_dir)
+    m = b.select(F.concat(F.expr("read div 2"), F.lit("/"), F.col("read") % 2).alias("name"), F.lit("g").alias("chrom"), (F.col("read") % 2 * 50 + F.col("read") % 7).alias("start"), F.lit("+").alias("strand"), "seq")
+    return reads.merge_mates(m, longest=1 << 40).groupBy("mates").agg(F.countDistinct("pair").alias("pairs"))
+
+
+@query(f"""WITH {s.COLLAPSED} SELECT chrom, pos, n_reads, n_meth, CASE WHEN lag(chrom) OVER w IS NOT NULL THEN pos - lag(pos) OVER w END AS gap FROM collapsed WINDOW w AS (PARTITION BY chrom ORDER BY pos)""")
+def site_distances(spark, sf_dir):
+    w = Window.partitionBy("chrom").orderBy("pos")
+    return s.collapsed(spark, sf_dir).withColumn("gap", F.col("pos") - F.lag("pos").over(w)).select("chrom", "pos", "n_reads", "n_meth", "gap")
+
+
 def _designed(spark, sf_dir):
     t = s.samples(spark, sf_dir).withColumn("pos", F.expr("pos div 2 * 2")).groupBy("chrom", "pos", "sample").agg(F.sum("n_reads").alias("n_reads"), F.sum("n_meth").alias("n_meth"))
     rows = t.groupBy("chrom", "pos").agg(F.collect_list(F.struct("sample", "n_reads", "n_meth")).alias("counts"))
