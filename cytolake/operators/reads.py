@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import base_count, context_tag, flipped, protocol, ratio, revcomp
 
-CHUNK = 4096
+#: Bases of a piece of a sequence; short, as a letter of a string is found by counting from its start. Then places that are ranked together.
+CHUNK, PART = 128, 4096
 
 
 def genome_bases(genome: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -138,7 +139,7 @@ def reverse_strand(reads: DataFrame) -> DataFrame:
 
 def cpg_index(genome: DataFrame) -> DataFrame:
     """chrom, pos, cpg: the ordinal of each CpG on its chromosome; counted per chunk first."""
-    at = genome_bases(genome).where("base = 'C' and a1 = 'G'").select("chrom", "pos", F.expr(f"pos div {CHUNK}").alias("part"))
+    at = genome_bases(genome).where("base = 'C' and a1 = 'G'").select("chrom", "pos", F.expr(f"pos div {PART}").alias("part"))
     before = at.groupBy("chrom", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("chrom").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     within = at.withColumn("k", F.row_number().over(Window.partitionBy("chrom", "part").orderBy("pos")))
     return within.join(before, ["chrom", "part"]).select("chrom", "pos", (F.col("before") + F.col("k") - 1).cast("bigint").alias("cpg"))
