@@ -150,18 +150,18 @@ def decode(rows: DataFrame, model: Hmm, packs: int | None = None, most_likely_pa
     return _packed(rows, packs).groupBy("pack").applyInPandas(run, "chrom string, segment long, pos long, state long, post double")
 
 
+def _ordered(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds k: 1, 2, ... over all rows in the order of a hash of the place. Windows run over buckets and over the buckets' sums, not over all rows."""
+    hashed = rows.withColumn("h", F.xxhash64(F.lit(seed), "chrom", "pos")).withColumn("b", F.shiftright("h", 52))
+    sums = hashed.groupBy("b").agg(F.count(F.lit(1)).alias("total"))
+    before = sums.select("b", F.coalesce(F.sum("total").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("b").orderBy("h", "chrom", "pos"))
+    return hashed.withColumn("within", within).join(before, "b").withColumn("k", F.col("before") + F.col("within"))
+
+
 def shuffled(rows: DataFrame) -> DataFrame:
-    """The same places with counts of other places: a permutation by hash within buckets of the order, the same at every partitioning."""
-    w = Window.partitionBy("b").orderBy("h", "chrom", "pos")
-    v = Window.partitionBy("b").orderBy("chrom", "pos")
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(408), "chrom", "pos")).withColumn("b", F.pmod("h", F.lit(256)))
-    values = hashed.select("b", F.row_number().over(w).alias("k"), "meth", "reads")
-    places = hashed.select("b", F.row_number().over(v).alias("k"), "chrom", "segment", "pos")
-    # the next bucket's values: no place keeps its own
-    counts = values.withColumn("b", F.pmod(F.col("b") + 1, F.lit(256)))
-    left = places.join(counts, ["b", "k"], "left")
-    fill = rows.agg(F.max_by("meth", F.xxhash64("pos", "chrom")).alias("m0"), F.max_by("reads", F.xxhash64("pos", "chrom")).alias("r0"))
-    return left.crossJoin(F.broadcast(fill)).select("chrom", "segment", "pos", F.coalesce("meth", "m0").alias("meth"), F.coalesce("reads", "r0").alias("reads"))  # fill has one row
+    """The same places with all their counts permuted: places and counts stand in the orders of two hashes, the same at every partitioning."""
+    return _ordered(rows, 409).select("k", "chrom", "segment", "pos").join(_ordered(rows, 408).select("k", "meth", "reads"), "k").drop("k")
 
 
 def observations(sites: DataFrame, desert: int, replicates: int = 1) -> DataFrame:
