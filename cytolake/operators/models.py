@@ -172,10 +172,23 @@ def observations(sites: DataFrame, desert: int, replicates: int = 1) -> DataFram
     return segment_by_gap(covered.select("chrom", "pos", "meth", "reads"), desert)
 
 
-def hypomethylated_regions(sites: DataFrame, desert: int = 1000, iterations: int = 10, cutoff: float = 0.01, replicates: int = 1, partial: bool = False, model: Hmm | None = None) -> DataFrame:
-    """chrom, start, end, n, score, p of regions of low methylation: runs of state 0 that random order rarely matches."""
+def significant_runs(rows: DataFrame, model: Hmm, cutoff: float = 0.01, replicates: int = 1) -> DataFrame:
+    """chrom, segment, start, end, n, score, p of the runs of state 0 whose unmethylated shares sum to what random order rarely reaches."""
     from .significance import empirical_p, stepup_cutoff
 
+    def runs(r):
+        unmeth = F.aggregate(F.zip_with("meth", "reads", lambda m, n: F.when(n > 0, 1 - m / n).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x) / replicates
+        scored = decode(r, model).join(r.select("chrom", "pos", unmeth.alias("u")), ["chrom", "pos"])
+        return domains(scored, F.col("state") == 0, score=F.col("u"))
+
+    found, null = runs(rows), runs(shuffled(rows))
+    scored = empirical_p(found, null)
+    limit = stepup_cutoff(scored, cutoff).first()[0]
+    return scored.where(F.col("p") <= (limit if limit is not None else -1.0))
+
+
+def hypomethylated_regions(sites: DataFrame, desert: int = 1000, iterations: int = 10, cutoff: float = 0.01, replicates: int = 1, partial: bool = False, model: Hmm | None = None) -> DataFrame:
+    """chrom, start, end, n, score, p of regions of low methylation: runs of state 0 that random order rarely matches."""
     rows = observations(sites, desert, replicates)
     if partial:
         fold = F.zip_with("meth", "reads", lambda m, r: r - F.abs(2 * m - r))
@@ -185,15 +198,7 @@ def hypomethylated_regions(sites: DataFrame, desert: int = 1000, iterations: int
         model = Hmm((0.5, 0.5), ((0.75, 0.25), (0.25, 0.75)), (((0.33 * mean, 0.67 * mean),) * replicates, ((0.67 * mean, 0.33 * mean),) * replicates), (0, 1))
         model = train(rows, model, iterations)
 
-    def runs(r):
-        unmeth = F.aggregate(F.zip_with("meth", "reads", lambda m, n: F.when(n > 0, 1 - m / n).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x) / replicates
-        scored = decode(r, model).join(r.select("chrom", "pos", unmeth.alias("u")), ["chrom", "pos"])
-        return domains(scored, F.col("state") == 0, score=F.col("u"))
-
-    found, null = runs(rows), runs(shuffled(rows))
-    scored = empirical_p(found, null)
-    limit = stepup_cutoff(scored, cutoff).first()[0]
-    return scored.where(F.col("p") <= (limit if limit is not None else -1.0)).drop("segment")
+    return significant_runs(rows, model, cutoff, replicates).drop("segment")
 
 
 def hyper_domains(sites: DataFrame, desert: int = 1000, iterations: int = 10, min_meth: float = 4.0, path: bool = False) -> DataFrame:
@@ -207,15 +212,21 @@ def hyper_domains(sites: DataFrame, desert: int = 1000, iterations: int = 10, mi
     return domains(states, F.col("state") > 0, score=F.col("level")).where(F.col("score") >= min_meth).drop("segment")
 
 
-def partial_domains(binned: DataFrame, size: int, iterations: int = 10) -> DataFrame:
-    """Partially methylated domains from bins (chrom, bin, n_reads, n_meth): chrom, start, end, n, score; near ones joined, ends moved to where the levels change most."""
+def partial_domains(binned: DataFrame, size: int, iterations: int = 10, cutoff: float = 0.01, sites: DataFrame | None = None, model: Hmm | None = None) -> DataFrame:
+    """Partially methylated domains from bins (chrom, bin, n_reads, n_meth): chrom, start, end, n, score.
+
+    Runs of state 0 that random order rarely matches; with sites, their ends are moved to where the levels change most; then near ones are joined.
+    """
     from .intervals import merge_near
 
     rows = observations(binned.withColumn("pos", F.col("bin")), 5)
-    model = Hmm((0.5, 0.5), ((0.99, 0.01), (0.01, 0.99)), (((1.0, 3.0),), ((3.0, 1.0),)), (0, 1))
-    model = train(rows, model, iterations, tolerance=1e-5)
-    found = domains(decode(rows, model), F.col("state") == 0)
-    return merge_near(found.select("chrom", (F.col("start") * size).alias("start"), (F.col("end") * size).alias("end"), "score"), 2 * size)
+    if model is None:
+        model = Hmm((0.5, 0.5), ((0.99, 0.01), (0.01, 0.99)), (((1.0, 3.0),), ((3.0, 1.0),)), (0, 1))
+        model = train(rows, model, iterations, tolerance=1e-5)
+    found = significant_runs(rows, model, cutoff).select("chrom", (F.col("start") * size).alias("start"), (F.col("end") * size).alias("end"), F.col("n").cast("double").alias("score"), "n")
+    if sites is not None:
+        found = sharpened(found, sites, size)
+    return merge_near(found.select("chrom", "start", "end", "score"), 2 * size)
 
 
 def sharpened(regions: DataFrame, sites: DataFrame, size: int) -> DataFrame:

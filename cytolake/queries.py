@@ -518,7 +518,7 @@ def amr_given_regions(spark, sf_dir):
 @query()
 def pmd_boundaries(spark, sf_dir):
     t = s.sites(spark, sf_dir)
-    return _r(models.sharpened(models.partial_domains(sites.bins(t, 20), 20), t, 20), 4)
+    return _r(models.partial_domains(sites.bins(t, 20), 20, sites=t), 4)
 
 
 @query(f"""WITH {s.BASES}, m AS (SELECT read // 2 AS pair, 'g' AS chrom, read % 2 * 50 + read % 7 AS start, seq FROM bases), p AS (SELECT pair, count(*) AS k FROM m GROUP BY pair)
