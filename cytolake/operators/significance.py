@@ -158,6 +158,12 @@ def combined(rows: DataFrame, correlations: DataFrame, reach: int, step: int) ->
     return tested.withColumn("combined_p", normal_upper(statistic(F.col("near.pos"), F.col("near.z")))).drop("near", "z")
 
 
+def adjusted(rows: DataFrame, correlations: DataFrame, reach: int, step: int) -> DataFrame:
+    """Adds combined_p and its q to all rows (chrom, pos, p); both are null where p is outside [0, 1], of untested rows."""
+    tested = bh(combined(rows.where("p between 0 and 1").select("chrom", "pos", "p"), correlations, reach, step), "combined_p")
+    return rows.join(tested.select("chrom", "pos", "combined_p", "q"), ["chrom", "pos"], "left")
+
+
 def significant_islands(rows: DataFrame, cutoff: float) -> DataFrame:
     """Runs of neighbouring rows (chrom, pos, p, q, cov_a, meth_a, cov_b, meth_b) with 0 <= q < cutoff that hold some p < cutoff: chrom, start, end, n, n_sig, diff."""
     from .intervals import islands

@@ -548,9 +548,9 @@ def regression_pvalues(spark, sf_dir):
 
 @query()
 def adjusted_pvalues(spark, sf_dir):
-    p = _designed(spark, sf_dir).where("p >= 0").cache()
-    corr = significance.distance_correlation(p, significance.probit(1 - F.col("p")), 1, 41, 10)
-    return _r(significance.bh(significance.combined(p.select("chrom", "pos", "p"), corr, 40, 10), "combined_p"), 4)
+    rows = _designed(spark, sf_dir).select("chrom", "pos", "p").cache()
+    corr = significance.distance_correlation(rows.where("p >= 0"), significance.probit(1 - F.col("p")), 1, 41, 10)
+    return _r(significance.adjusted(rows, corr, 40, 10).select("combined_p", "chrom", "pos", "p", "q"), 4)
 
 
 @query()

@@ -2,7 +2,7 @@
 
 import random
 
-from cytolake.operators import models
+from cytolake.operators import models, significance
 
 MODEL = models.Hmm((0.5, 0.5), ((0.9, 0.1), (0.1, 0.9)), (((2.0, 4.0),), ((4.0, 2.0),)), (0, 1))
 
@@ -60,3 +60,12 @@ def test_partial_domains_are_held_against_the_null(spark):
             merged.append([20 * start, 20 * end])
     got = models.partial_domains(binned, 20, model=MODEL).orderBy("start").collect()
     assert [[r.start, r.end] for r in got] == merged
+
+
+def test_untested_rows_stay_and_end_islands(spark):
+    counts = [10, 9, 10, 1]
+    rows = spark.createDataFrame([("a", k, 1e-6 if k != 3 else -1.0, *counts) for k in range(7)], "chrom string, pos long, p double, cov_a long, meth_a long, cov_b long, meth_b long")
+    corr = spark.createDataFrame([(0, 0.1)], "bin long, corr double")
+    got = significance.adjusted(rows, corr, 1, 10)
+    assert [(r.pos, r.p, r.q is None, r.combined_p is None) for r in got.orderBy("pos").collect()] == [(k, -1.0 if k == 3 else 1e-6, k == 3, k == 3) for k in range(7)]
+    assert sorted((r.start, r.end) for r in significance.significant_islands(got, 0.01).collect()) == [(0, 3), (4, 7)]
