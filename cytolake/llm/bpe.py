@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, small_batches
+from .shared import as_bytes, scratch, written
 
 #: Stretches of text that a worker remembers, pairs of tokens, and bytes after which agreed tokens are emitted.
 WORDS, PAIRS, EMIT = 250_000, 400_000, 256
@@ -234,7 +234,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     if path is None:
         path, own = default_vocabulary()
         pattern = pattern or own
-    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if keep_ids else "")
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     fields += [("ids", pa.list_(pa.int64())), ("decoded", pa.string())] if keep_ids else []
@@ -255,4 +254,5 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             columns = list(zip(*rows)) or [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data")).mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data"))
+    return written(rows.mapInArrow(run, schema), scratch(docs.sparkSession, "bpe") + "/documents")

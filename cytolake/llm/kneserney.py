@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import RUN, Rolling, as_bytes, bucket_of, buckets, chunks, get_array, lean, lower, merged, mixed, pack, pack_counts, put_array, scratch, small_batches, unpack, unpack_counts, words, written
+from .shared import RUN, Rolling, as_bytes, bucket_of, buckets, chunks, get_array, lean, lower, merged, mixed, pack, pack_counts, put_array, scratch, unpack, unpack_counts, words, written
 
 RANGE = 1 << 18
 _SENT = "b int, keys binary, counts binary"
@@ -164,7 +164,6 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Counts the texts. Null and empty texts count one end each."""
     spark = docs.sparkSession
-    small_batches(spark)
     path, n = scratch(spark, "kneser-ney"), buckets(docs)
     texts = docs.select(as_bytes().alias("data"))
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, scratch, small_batches, written
+from .shared import as_bytes, scratch, written
 
 WIDTH, SHARD = 192, 128 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -193,7 +193,6 @@ def media_columns(docs: DataFrame) -> DataFrame:
     Repeated rows: a row each. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     root = scratch(spark, "media")
     shards = f"{root}/shards"
     rows = written(pack(docs, shards), f"{root}/rows")

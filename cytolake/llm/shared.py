@@ -5,6 +5,9 @@ from __future__ import annotations
 import io
 import tempfile
 import uuid
+from collections import OrderedDict
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,32 +20,56 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the vectorised kernels take at once. A longer document is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 # -- the shared folder -------------------------------------------------------------------------------------
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that spark.checkpoint.dir names; that is set here only where it is unset."""
+    """A new folder in the one that spark.checkpoint.dir names; where it is unset, one is made for a local master, and others fail."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             base = made.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     base = base if ":" in base.split("/")[0] else "file://" + base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20):
+    """While this lasts, Arrow batches are bounded by rows and by bytes, so that a worker holds little whatever the texts' lengths. The caller's settings come back."""
+    mine = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k, None) for k in mine}
+    try:
+        for k, v in mine.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
-    """The rows as a table in the shared folder: it cuts the lineage and outlives lost executors."""
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
+    """The rows as a table in the shared folder: it cuts the lineage and outlives lost executors. Workers get small batches."""
+    with small_batches(df.sparkSession):
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def summed(df: DataFrame, *columns: str) -> list[int]:
+    """Sums of number columns of all rows; for jobs whose rows are a few for each bucket."""
+    with small_batches(df.sparkSession):
+        row = df.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in columns]).first()
+    return list(row)
+
+
 def dropped(path: str) -> None:
     """Removes a folder of scratch(), once nothing reads it any more."""
     system, at = fs.FileSystem.from_uri(path)
@@ -75,10 +102,87 @@ def get_array(path: str) -> np.ndarray:
         return np.load(io.BytesIO(f.read()))
 
 
-def buckets(df: DataFrame, each: int = 16 << 20, least: int = 64) -> int:
-    """How many buckets to deal an input into, by the bytes that Spark's statistics give its files, so that a bucket's share stays the same at every size."""
+class Opened:
+    """Arrays of the shared folder by name, opened when first asked for. At most `most` stay open: the one asked for longest ago goes first."""
+
+    def __init__(self, path: str, most: int = 256):
+        self.path, self.most, self.open = path, most, OrderedDict()
+
+    def __call__(self, name: str) -> np.ndarray | None:
+        """None where there is no such array."""
+        if name not in self.open:
+            while len(self.open) >= self.most:
+                self.open.popitem(last=False)
+            try:
+                self.open[name] = get_array(f"{self.path}/{name}.npy")
+            except FileNotFoundError:
+                self.open[name] = None
+        self.open.move_to_end(name)
+        return self.open[name]
+
+
+class Stored:
+    """Rows of longs that stored() wrote, the first of them a key, sorted by key within buckets of the key's leading bits."""
+
+    def __init__(self, path: str, n: int, names: tuple[str, ...] = ("key",), most: int = 256):
+        self.n, self.at, self.opened = n, {c: k for k, c in enumerate(names)}, Opened(path, most)
+
+    def find(self, keys: np.ndarray, same: dict[str, np.ndarray] | None = None, value: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the asked rows (keys: uint64) are there with the same numbers in all named columns, and their value."""
+        hit, out = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        order = np.argsort(keys)
+        cuts = np.searchsorted(bucket_of(keys[order], self.n), np.arange(self.n + 1))
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            rows = self.opened(str(b))
+            if rows is None or not rows.shape[1]:
+                continue
+            known, mine = rows[0].view(np.uint64), order[cuts[b] : cuts[b + 1]]
+            at = np.searchsorted(known, keys[mine])
+            while len(mine):  # rows of one key stand together
+                there = np.flatnonzero(at < len(known))
+                mine, at = mine[there], at[there]
+                equal = known[at] == keys[mine]
+                mine, at = mine[equal], at[equal]
+                good = np.ones(len(mine), bool)
+                for c, asked in (same or {}).items():
+                    good &= rows[self.at[c]][at] == asked[mine]
+                hit[mine[good]] = True
+                if value:
+                    out[mine[good]] = rows[self.at[value]][at[good]]
+                mine, at = mine[~good], at[~good] + 1
+        return hit, out
+
+    def of(self, key: np.uint64) -> np.ndarray:
+        """All rows of one key, a column for each row."""
+        rows = self.opened(str(int(bucket_of(np.array([key], np.uint64), self.n)[0])))
+        if rows is None:
+            return np.zeros((len(self.at), 0), np.int64)
+        known = rows[0].view(np.uint64)
+        return rows[:, np.searchsorted(known, key) : np.searchsorted(known, key, side="right")]
+
+
+def bucket_column(key, n: int):
+    """bucket_of() as a column."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(key, 32) * F.lit(n).cast("long"), 32).cast("int")
+
+
+def stored(rows: DataFrame, n: int, path: str) -> None:
+    """Stores rows of longs, the first column their key, for Stored: a file for each bucket that holds some."""
+    names = rows.columns
+
+    def store(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        order = np.argsort(table[names[0]].to_numpy().view(np.uint64), kind="stable")
+        put_array(f"{path}/{key[0].as_py()}.npy", np.stack([table[c].to_numpy()[order] for c in names]))
+        yield pa.RecordBatch.from_arrays([pa.array([len(order)], pa.int64())], names=["n"])
+
+    summed(rows.withColumn("b", bucket_column(F.col(names[0]), n)).groupBy("b").applyInArrow(store, "n long"), "n")
+
+
+def buckets(df: DataFrame, each: int = 16 << 20, least: int = 64, most: int = 1 << 16) -> int:
+    """How many buckets to deal an input into, by the bytes that Spark's statistics give its files: a bucket's share stays the same up to `most` buckets, a terabyte."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(size, 1 << 50) // each)
+    return min(most, max(least, min(size, 1 << 50) // each))
 
 
 # -- texts as buffers ----------------------------------------------------------------------------------------
@@ -89,11 +193,6 @@ def as_bytes(column: str = "text"):
     return F.expr(f"coalesce(cast(`{column}` as binary), X'')")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of long texts stay small in the workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
 def chunks(column: pa.Array, limit: int = CHUNK):
     """Yields (first row, end row, bytes, offsets) over a binary column, without copies; offsets start at 0."""
     if isinstance(column, pa.ChunkedArray):
@@ -117,6 +216,17 @@ _low = np.arange(256, dtype=np.uint8)
 _low[65:91] += 32
 
 
+def pieces(column: pa.Array, overlap: int, limit: int = CHUNK):
+    """chunks() whose long documents come in pieces, each with the `overlap` bytes that follow it. Yields also where in its document a piece begins."""
+    for first, end, data, offsets in chunks(column, limit):
+        if len(data) <= 2 * limit:
+            yield first, end, 0, data, offsets
+            continue
+        for at in range(0, max(1, len(data) - overlap), limit):
+            part = data[at : at + limit + overlap]
+            yield first, end, at, part, np.array([0, len(part)])
+
+
 def words(data: np.ndarray, offsets: np.ndarray):
     """Starts and ends of the words of a chunk, and how many each document has."""
     if not len(data):

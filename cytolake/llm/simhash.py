@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import as_bytes, chunks, scratch, small_batches, written
+from .shared import as_bytes, chunks, scratch, written
 
 PIVOTS, SMALL, RADIUS = 16, 64, 3
 _BLOCKS = [11, 11, 11, 11, 10, 10]
@@ -49,7 +49,6 @@ def _signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (long): bit i is set if it is set in over half of the shingles' XXH64. Null and blank texts: 0."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         import xxhash

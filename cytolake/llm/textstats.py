@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, as_bytes, chunks, lower, mixed, small_batches, words
+from .shared import Rolling, as_bytes, chunks, lower, mixed, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -101,7 +101,6 @@ def text_stats(docs: DataFrame, keep: bool = False) -> DataFrame:
 
     Null texts count nothing.
     """
-    small_batches(docs.sparkSession)
     head = "__row" if keep else "doc_id"
 
     def run(batches):

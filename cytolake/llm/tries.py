@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, small_batches
+from .shared import as_bytes, scratch, written
 
 MARK, REMEMBERED = "▁", 250_000
 
@@ -105,7 +105,6 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     a worker holds one batch's distinct words and a bounded store of words that it has met.
     """
     path = path or default_vocabulary()
-    small_batches(docs.sparkSession)
 
     def run(batches):
         trie, known = load(path), {}
@@ -125,4 +124,5 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 scores.append(math.fsum([s for _, s in got]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(list(map(len, texts)), pa.int64()), pa.array(tokens, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "n_tokens", "log_prob"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, log_prob double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data"))
+    return written(rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long, log_prob double"), scratch(docs.sparkSession, "tokens") + "/documents")
