@@ -27,9 +27,14 @@ def sized(text: str):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sized("text").alias("size"))
+def shuffled(seed: int):
+    """The number by which rows are shuffled; equal rows have equal ones."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
+def sizes(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """doc_id, source, size in words and order of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sized("text").alias("size"), shuffled(seed).alias("order"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: int = 3) -> DataFrame:
@@ -52,21 +57,20 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: int = 3) -> DataFr
     return by.withColumn("target", F.least("cap", level * F.col("weight"))).select("s", "source", "source_size", "n_docs", "weight", "target")
 
 
-def _parts(n):
-    """Parts of about PART rows, a power of two, for n rows."""
-    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n / PART, F.lit(1.0))))).cast("long")
+def _part(order, n):
+    """Which of the parts of about PART rows, a power of two of them, a row of a source with n rows belongs to."""
+    return F.shiftrightunsigned(order, 24) % F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n / PART, F.lit(1.0))))).cast("long")
 
 
-def laid_out(sized: DataFrame, goals: DataFrame, seed: int = 1) -> DataFrame:
+def laid_out(sized: DataFrame, goals: DataFrame) -> DataFrame:
     """Each row of sizes() with s, start (words of its source before it) and row, a number unique within s and part."""
-    shuffle = F.xxhash64(F.lit(seed), "doc_id", "source", "size")
     rows = sized.join(goals.select("s", F.col("source").alias("own"), "n_docs"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
-    rows = rows.withColumn("order", shuffle).withColumn("part", F.shiftrightunsigned("order", 24) % _parts(F.col("n_docs")))
+    rows = rows.withColumn("part", _part(F.col("order"), F.col("n_docs")))
     in_part = Window.partitionBy("s", "part").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.groupBy("s", "part").agg(F.sum("size").alias("part_size"))
     before = sums.withColumn("before", F.coalesce(F.sum("part_size").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("part_size")
     within = rows.withColumn("row", F.row_number().over(in_part)).withColumn("within", F.sum("size").over(in_part) - F.col("size"))
-    return within.join(before, ["s", "part"]).select("doc_id", "source", "size", "s", "part", "row", (F.col("before") + F.col("within")).alias("start"))
+    return within.join(before, ["s", "part"]).select("doc_id", "source", "size", "s", "part", "order", "row", (F.col("before") + F.col("within")).alias("start"))
 
 
 def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -114,9 +118,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed: int
     equal doc_id, source and size may change places; each is a row of its own. Empty tables give empty results.
     """
     root = scratch(docs.sparkSession, "mixing")
-    sized = written(sizes(docs), f"{root}/sizes")
+    sized = written(sizes(docs, seed), f"{root}/sizes")
     goals = written(targets(sized, weights), f"{root}/targets")
-    rows = written(laid_out(sized, goals, seed), f"{root}/rows")
+    rows = written(laid_out(sized, goals), f"{root}/rows")
     plan = written(schedule(goals, block), f"{root}/schedule")
     cut = pieces(rows, block)
     # a block's slots: how often it is taken, and how much of it each time
@@ -129,3 +133,25 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed: int
 def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
     return mix(docs, weights)[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeated_documents(docs: DataFrame, weights: tuple = WEIGHTS, seed: int = 1) -> DataFrame:
+    """The rows of docs as often as the mix begins to take them, three times at most.
+
+    A source's rows are taken in their shuffled order, over and over, until its target is met. So all of them are taken
+    equally often, and those up to one place in the order once more. The place is kept per source, and a row tells by its
+    own number whether it stands before it: no text is shuffled. Rows without words are never taken. Rows that are equal
+    in doc_id, source and text stand at one place and are taken alike.
+    """
+    root = scratch(docs.sparkSession, "mixing")
+    sized = written(sizes(docs, seed), f"{root}/sizes")
+    goals = written(targets(sized, weights), f"{root}/targets").where("source_size > 0")
+    quota = goals.select("s", F.expr("cast(round(target) as long) div source_size").alias("epochs"), F.expr("cast(round(target) as long) % source_size").alias("rest"))
+    ends = laid_out(sized, goals).join(quota, "s").where("start < rest and size > 0").groupBy("s").agg(F.max(F.struct("part", "order")).alias("end"))
+    per = written(goals.join(quota, "s").join(ends, "s", "left").select(F.col("source").alias("__source"), F.col("n_docs").alias("__n"), F.col("epochs").alias("__epochs"), F.col("end").alias("__end")), f"{root}/sources")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col("source").cast("string").alias("__own"), shuffled(seed).alias("__order"), F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)).alias("__some"))
+    own = own.where("__some").join(per, F.col("__own").eqNullSafe(F.col("__source")))
+    place = F.struct(_part(F.col("__order"), F.col("__n")).alias("part"), F.col("__order").alias("order"))
+    times = F.col("__epochs") + F.when(F.col("__end").isNotNull() & (place <= F.col("__end")), 1).otherwise(0)
+    taken = own.withColumn("__times", times).where("__times > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__copy")).select("__row.*")

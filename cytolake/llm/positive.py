@@ -96,7 +96,7 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) ->
 
 
 def accepted(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> DataFrame:
-    """The rows, with all their columns, that the classifier predicts to be of quality 1. No text is shuffled."""
-    stats = written(text_stats(docs), scratch(docs.sparkSession, "classifier") + "/stats")
+    """The rows, with all their columns, that the classifier predicts to be of quality 1. The texts are read once and not shuffled."""
+    stats = written(text_stats(docs, keep=True), scratch(docs.sparkSession, "classifier") + "/stats").withColumn("doc_id", F.col("__row.doc_id").cast("long"))
     model = train(stats, labels, limit)
-    return text_stats(docs, keep=True).where(model.score() >= 0.5).select("__row.*")
+    return stats.where(model.score() >= 0.5).select("__row.*")

@@ -342,3 +342,49 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
 def lean(counts: np.ndarray) -> np.ndarray:
     """In the smallest type that holds them."""
     return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+def repeated(rows: DataFrame, hashes, n: int, path: str, run: int = 400_000) -> None:
+    """Stores for Stored the numbers that come more than once in all that hashes(batch) yields (arrays of uint64).
+
+    Tasks send what they have in compressed sorted runs of about `run` numbers, dealt by leading bits.
+    """
+
+    def parse(batches):
+        def sent(parts):
+            keys, counts = merged(parts)
+            cuts = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
+            out = [(b, pack(keys[i:j]), np.packbits(counts[i:j] > 1).tobytes()) for b, i, j in zip(range(n), cuts, cuts[1:]) if i < j]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], names=["b", "hashes", "twice"])
+
+        parts, size = [], 0
+        for batch in batches:
+            for some in hashes(batch):
+                parts.append(np.unique(some, return_counts=True))
+                size += len(parts[-1][0])
+                if size > run:
+                    yield sent(parts)
+                    parts, size = [], 0
+        yield sent(parts)
+
+    def store(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, again, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), [], 0
+
+        def settle():
+            nonlocal seen, again, waiting, size
+            both = np.sort(np.concatenate([seen, *(h for h, _ in waiting)]))
+            again = np.unique(np.concatenate([again, both[1:][both[1:] == both[:-1]], *(h[t] for h, t in waiting)]))
+            seen, waiting, size = np.unique(both), [], 0
+
+        for batch in batches:
+            for packed, twice in zip(batch["hashes"], batch["twice"]):
+                keys = unpack(packed.as_py())
+                waiting.append((keys, np.unpackbits(np.frombuffer(twice.as_py(), np.uint8), count=len(keys)).astype(bool)))
+                size += len(keys)
+                if size > max(1 << 18, len(seen) // 2):
+                    settle()
+        settle()
+        put_array(f"{path}/{key[0].as_py()}.npy", again[None, :].view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([len(again)], pa.int64())], names=["n"])
+
+    summed(rows.mapInArrow(parse, "b int, hashes binary, twice binary").groupBy("b").applyInArrow(store, "n long"), "n")

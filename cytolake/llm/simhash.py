@@ -76,9 +76,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Hamming distances of each fingerprint to each pivot."""
-    pivots = np.random.default_rng(64).integers(0, 2**64, PIVOTS, dtype=np.uint64)
-    return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
+    """Hamming distances of each fingerprint to each pivot. Fingerprints of several 64-bit words are rows."""
+    fps = fps.reshape(len(fps), -1)
+    pivots = np.random.default_rng(64).integers(0, 2**64, (PIVOTS, fps.shape[1]), dtype=np.uint64)
+    return sum(np.bitwise_count(fps[:, k, None] ^ pivots[None, :, k]).astype(np.int16) for k in range(fps.shape[1]))
 
 
 def _links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
