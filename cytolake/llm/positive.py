@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch, written
+from .shared import buckets, dropped, looked_up, name_of, scratch, stored, written
 from .textstats import FEATURES, text_stats
 
 #: Positives and unlabelled rows that are learned from at most, each those of least hash; the bound on what the driver gathers.
@@ -96,7 +96,11 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) ->
 
 
 def accepted(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> DataFrame:
-    """The rows, with all their columns, that the classifier predicts to be of quality 1. The texts are read once and not shuffled."""
-    stats = written(text_stats(docs, keep=True), scratch(docs.sparkSession, "classifier") + "/stats").withColumn("doc_id", F.col("__row.doc_id").cast("long"))
+    """The rows, with all their columns, that the classifier predicts to be of quality 1. Counts of texts are made once; the names of the rows that go are stored and looked up, so no text is copied or shuffled."""
+    root, n = scratch(docs.sparkSession, "classifier"), buckets(docs)
+    named = docs.select("doc_id", "text", *name_of(docs))
+    stats = written(text_stats(named, keep=("doc_id", "key", "id", "sub")), f"{root}/stats")
     model = train(stats, labels, limit)
-    return stats.where(model.score() >= 0.5).select("__row.*")
+    stored(stats.where(model.score() < 0.5).select("key", "id", "sub").distinct().withColumn("number", F.lit(1).cast("long")), n, f"{root}/gone")
+    dropped(f"{root}/stats")
+    return docs.where(looked_up(docs, n, f"{root}/gone") == 0)

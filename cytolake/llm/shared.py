@@ -10,10 +10,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: ASCII white space, as in the word pattern [^\x20\x09-\x0D]+.
 SPACES = np.zeros(256, bool)
@@ -388,3 +390,30 @@ def repeated(rows: DataFrame, hashes, n: int, path: str, run: int = 400_000) ->
         yield pa.RecordBatch.from_arrays([pa.array([len(again)], pa.int64())], names=["n"])
 
     summed(rows.mapInArrow(parse, "b int, hashes binary, twice binary").groupBy("b").applyInArrow(store, "n long"), "n")
+
+
+# -- rows by name --------------------------------------------------------------------------------------------
+
+
+def name_of(docs: DataFrame) -> list:
+    """key, id and sub, which name a row: a null doc_id comes after all others, by a hash of the text; sub tells texts under one doc_id apart; key is a hash of both."""
+    sub = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    late = F.lit(1 << 62) + sub.bitwiseAND(F.lit((1 << 61) - 1))
+    id_ = F.coalesce(F.col("doc_id").cast("long"), late)
+    return [F.xxhash64(id_, sub).alias("key"), id_.alias("id"), sub.alias("sub")]
+
+
+def looked_up(docs: DataFrame, n: int, path: str):
+    """A column: what stored() has under path for a row's name (key, id, sub and a number), 0 where it has nothing.
+
+    Only names go to the workers; texts stay where they are.
+    """
+
+    @F.pandas_udf(LongType())
+    def number(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = Stored(path, n, ("key", "id", "sub", "number"))
+        for key, id_, sub in parts:
+            _, found = known.find(key.to_numpy().view(np.uint64), {"id": id_.to_numpy(), "sub": sub.to_numpy()}, "number")
+            yield pd.Series(found)
+
+    return number(*name_of(docs))

@@ -96,22 +96,17 @@ def _frequent() -> np.ndarray:
     return np.array([Rolling(w, 3).of(np.array([0]), np.array([len(w)]))[0] for w in known])
 
 
-def text_stats(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id and STATS (long) of every row; with keep, __row (all columns of docs as a struct) and STATS.
-
-    Null texts count nothing.
-    """
-    head = "__row" if keep else "doc_id"
+def text_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep and STATS (long) of every row. Null texts count nothing."""
 
     def run(batches):
         for batch in batches:
             parts = [_chunk_stats(data, offsets) for _, _, data, offsets in chunks(batch["__data"])]
             columns = [np.concatenate([p[k] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for k in STATS]
-            yield pa.RecordBatch.from_arrays([batch[head], *map(pa.array, columns)], names=[head, *STATS])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *map(pa.array, columns)], names=[*keep, *STATS])
 
-    rows = docs.select((F.struct(*[docs[c] for c in docs.columns]) if keep else F.col("doc_id").cast("long")).alias(head), as_bytes().alias("__data"))
-    kind = rows.schema[head].dataType.simpleString()
-    return rows.mapInArrow(run, f"{head} {kind}, " + ", ".join(f"{k} long" for k in STATS))
+    rows = docs.select(*[F.col(c).cast("long").alias(c) for c in keep], as_bytes().alias("__data"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*keep, *STATS)))
 
 
 def _share(a: str, b: str) -> str:
