@@ -35,8 +35,8 @@ def half_up(x) -> Column:
 
 
 def fold(p: Column) -> Column:
-    """Partial methylation: 0 at both ends, 1 in the middle, as twice the distance from the nearer end."""
-    return F.when(p <= 0.5, 2 * p).otherwise(2 * (1 - p))
+    """Levels folded so that partial ones are low: 1 at both ends and 0 in the middle."""
+    return F.when(p <= 0.5, 1 - 2 * p).otherwise(1 - 2 * (1 - p))
 
 
 def flipped(states: Column) -> Column:
@@ -65,3 +65,23 @@ def context_tag(two_before: Column, before: Column, base: Column, after: Column,
     minus = F.when(before == "C", "CpG").when(before.isin("A", "G", "T") & two_before.isin("A", "G", "T"), "CHH").when(before.isin("A", "T") & (two_before == "C"), "CXG").otherwise("CCG")
     null_safe = lambda c: F.coalesce(c, F.lit("CCG"))
     return F.when(base == "C", null_safe(plus)).when(base == "G", null_safe(minus)).otherwise("N")
+
+
+def strip_suffix(name: Column, size: int) -> Column:
+    """A read's name without its last letters; a name that is no longer than that stays."""
+    return F.when(F.length(name) > size, F.substr(name, F.lit(1), (F.length(name) - size).cast("int"))).otherwise(name)
+
+
+def strip_extension(path: Column) -> Column:
+    """The last part of a path without its folder and what follows the last dot."""
+    base = F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.when(F.instr(base, ".") > 1, F.regexp_replace(base, r"\.[^.]*$", "")).otherwise(base)
+
+
+def site_type(context: Column, kind: str) -> Column:
+    """Whether a context, with or without the mark of a mutation, is of a kind: all, CpG, CHH, CXG, CCG, CHG (both of the latter) or CH (all but CpG)."""
+    plain = F.regexp_replace(context, "x$", "")
+    sets = {"CHG": ["CXG", "CCG"], "CH": ["CHH", "CXG", "CCG"]}
+    if kind not in ("all", "CpG", "CHH", "CXG", "CCG", *sets):
+        raise ValueError(f"no such kind of site: {kind}")
+    return F.lit(True) if kind == "all" else plain.isin(sets.get(kind, [kind]))

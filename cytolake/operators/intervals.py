@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import settled
+
 BUCKET = 1 << 14
 
 
@@ -40,32 +42,81 @@ def overlaps(a: DataFrame, b: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.where(F.col("__b") == F.expr(f"greatest(a_start, b_start) div {bucket}")).drop("__b")
 
 
-def _by_chrom(*order: str):
-    return Window.partitionBy("chrom").orderBy(*order)
+# -- in order along a chromosome, in blocks -------------------------------------------------------------------
+# What runs along a whole chromosome is done within blocks of positions and then over the blocks, of which there are few,
+# so that no task sorts a chromosome.
+
+
+def blocked(rows: DataFrame, at: str = "pos", size: int = BUCKET) -> DataFrame:
+    """Adds __b, the block of positions that a row is in."""
+    return rows.withColumn("__b", F.expr(f"`{at}` div {size}"))
+
+
+def _before(rows: DataFrame, keys: tuple, agg: Column, over) -> DataFrame:
+    """keys, __b and __before: what the blocks before hold, by `agg` within a block and `over` of its results."""
+    w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy(*keys, "__b").agg(agg.alias("__of")).select(*keys, "__b", over(F.col("__of")).over(w).alias("__before"))
+
+
+def _windows(keys: tuple, order: tuple):
+    w = Window.partitionBy(*keys, "__b").orderBy(*order)
+    return w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_sum(rows: DataFrame, value: Column, into: str, keys: tuple = ("chrom",), order: tuple = ("pos",)) -> DataFrame:
+    """Adds the sum of a value up to and with this row. rows: blocked()."""
+    r = rows.withColumn("__v", value)
+    upto, _ = _windows(keys, order)
+    met = r.join(_before(r, keys, F.sum("__v"), F.sum), [*keys, "__b"])
+    return met.withColumn(into, F.coalesce("__before", F.lit(0)) + F.sum("__v").over(upto)).drop("__v", "__before")
+
+
+def running_max(rows: DataFrame, value: str, into: str, keys: tuple = ("chrom",), order: tuple = ("pos",)) -> DataFrame:
+    """Adds the greatest value of the rows before this one; null for the first. rows: blocked()."""
+    _, below = _windows(keys, order)
+    met = rows.join(_before(rows, keys, F.max(value), F.max), [*keys, "__b"])
+    return met.withColumn(into, F.greatest("__before", F.max(value).over(below))).drop("__before")
+
+
+def neighbour(rows: DataFrame, value: str, into: str, ahead: bool = False, keys: tuple = ("chrom",), order: tuple = ("pos",)) -> DataFrame:
+    """Adds the value of the row before this one, or of the one after; null at the end. rows: blocked()."""
+    w = Window.partitionBy(*keys, "__b").orderBy(*order)
+    blocks = Window.partitionBy(*keys).orderBy("__b")
+    edge = F.min_by(value, F.struct(*order)) if ahead else F.max_by(value, F.struct(*order))
+    shift = F.lead if ahead else F.lag
+    edges = rows.groupBy(*keys, "__b").agg(edge.alias("__of")).select(*keys, "__b", shift("__of").over(blocks).alias("__near"))
+    return rows.join(edges, [*keys, "__b"]).withColumn(into, F.coalesce(shift(value).over(w), F.col("__near"))).drop("__near")
+
+
+def haloed(rows: DataFrame, reach: int, at: str = "pos", size: int | None = None) -> DataFrame:
+    """Each row in every block that its reach touches: adds __b, and __own in the block that the row itself is in. For windows by range within (chrom, __b)."""
+    size = size or max(BUCKET, 16 * reach)
+    spread = F.sequence(F.expr(f"greatest(0, `{at}` - {reach}) div {size}"), F.expr(f"(`{at}` + {reach}) div {size}"))
+    return rows.withColumn("__b", F.explode(spread)).withColumn("__own", F.col("__b") == F.expr(f"`{at}` div {size}"))
 
 
 def union(regions: DataFrame) -> DataFrame:
     """Regions that overlap or touch become one: chrom, start, end, n."""
-    w = _by_chrom("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = regions.select("chrom", "start", "end").withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
-    return marked.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("chrom", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("k")
+    order = ("start", "end")
+    seen = settled(running_max(blocked(settled(regions.select("chrom", "start", "end"), "regions"), "start"), "end", "before", order=order))
+    numbered = running_sum(seen, F.coalesce((F.col("start") > F.col("before")).cast("int"), F.lit(1)), "k", order=order)
+    return numbered.groupBy("chrom", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("k")
 
 
-def merge_near(regions: DataFrame, gap: int) -> DataFrame:
-    """Disjoint regions at most `gap` apart become one, with the least score: chrom, start, end, score, n."""
-    w = _by_chrom("start")
-    new = F.coalesce((F.col("start") - F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) > gap).cast("int"), F.lit(1))
-    return regions.withColumn("new", new).withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("chrom", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).drop("k")
+def merge_near(regions: DataFrame, gap: int, names: bool = False) -> DataFrame:
+    """Disjoint regions at most `gap` apart become one, with the least score: chrom, start, end, score, n; with names, name: theirs one after the other."""
+    seen = running_max(blocked(regions, "start"), "end", "before", order=("start",))
+    new = F.coalesce((F.col("start") - F.col("before") > gap).cast("int"), F.lit(1))
+    name = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "name"))), lambda x: x["name"]), "").alias("name")] if names else []
+    return running_sum(seen, new, "k", order=("start",)).groupBy("chrom", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("score").alias("score"), F.count(F.lit(1)).alias("n"), *name).drop("k")
 
 
 def complement(regions: DataFrame, ends: DataFrame) -> DataFrame:
     """What the regions leave of [0, end) of each chromosome of ends (chrom, end), also of those without a region."""
-    merged = union(regions).select("chrom", "start", "end")
-    tails = ends.select("chrom", F.col("end").alias("start"), F.col("end"))
-    rows = merged.unionByName(tails)
-    gap = F.coalesce(F.max("end").over(_by_chrom("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("gap", gap).where("gap < start").select("chrom", F.col("gap").alias("start"), F.col("start").alias("end"))
+    merged = settled(union(regions).select("chrom", "start", "end"), "union")
+    rows = merged.unionByName(ends.select("chrom", F.col("end").alias("start"), F.col("end")))
+    seen = running_max(blocked(rows, "start"), "end", "before", order=("start", "end"))
+    return seen.withColumn("gap", F.coalesce("before", F.lit(0))).where("gap < start").select("chrom", F.col("gap").alias("start"), F.col("start").alias("end"))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -85,25 +136,24 @@ def difference(a: DataFrame, b: DataFrame, compat: bool = False) -> DataFrame:
 def fragments(regions: DataFrame) -> DataFrame:
     """The stretches between neighbouring region borders that lie in some region: chrom, start, end, depth."""
     events = regions.select("chrom", F.col("start").alias("at"), F.lit(1).alias("d")).unionByName(regions.select("chrom", F.col("end").alias("at"), F.lit(-1).alias("d")))
-    steps = events.groupBy("chrom", "at").agg(F.sum("d").alias("d"))
-    w = _by_chrom("at")
-    swept = steps.withColumn("depth", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", F.lead("at").over(w))
+    steps = blocked(events.groupBy("chrom", "at").agg(F.sum("d").alias("d")), "at")
+    swept = neighbour(running_sum(steps, F.col("d"), "depth", order=("at",)), "at", "end", True, order=("at",))
     return swept.where("depth > 0").select("chrom", F.col("at").alias("start"), "end", "depth")
 
 
 def segment_by_gap(rows: DataFrame, gap: int, keys: tuple = ("chrom",), at: str = "pos") -> DataFrame:
-    """Adds segment (1, 2, ... within the keys): a new one begins after a step of more than `gap`."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    new = F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("int"), F.lit(1))
-    return rows.withColumn("__new", new).withColumn("segment", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    """Adds segment (1, 2, ... within the keys): a new one begins after a step of more than `gap`. Rows at one place are of one segment."""
+    placed = blocked(rows.select(*keys, at).distinct(), at)
+    before = neighbour(placed, at, "__last", keys=keys, order=(at,))
+    new = F.coalesce((F.col(at) - F.col("__last") > gap).cast("int"), F.lit(1))
+    numbered = running_sum(before, new, "segment", keys, (at,)).select(*keys, at, "segment")
+    return rows.join(numbered, [*keys, at]).select(*rows.columns, "segment")
 
 
 def islands(rows: DataFrame, inside: Column, keys: tuple = ("chrom",), at: str = "pos") -> DataFrame:
     """The rows where the condition holds, with island: a number per run of neighbouring such rows within the keys."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    marked = rows.withColumn("__in", F.coalesce(inside, F.lit(False)))
-    breaks = F.sum((~F.col("__in")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("island", breaks).where("__in").drop("__in")
+    marked = blocked(rows.withColumn("__in", F.coalesce(inside, F.lit(False))), at)
+    return running_sum(marked, (~F.col("__in")).cast("int"), "island", keys, (at,)).where("__in").drop("__in", "__b")
 
 
 def domains(rows: DataFrame, inside: Column, keys: tuple = ("chrom", "segment"), score: Column | None = None) -> DataFrame:

@@ -1,27 +1,48 @@
-"""Operators on reads, genomes and epireads."""
+"""Operators on reads, genomes and epireads.
+
+A genome is rows of (chrom, seq), or of pieces (chrom, piece, before, seq) as sources.read_genome() makes them, of PIECE
+bases each with up to two neighbours on either side, so that no row needs to hold a chromosome.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.columns import base_count, context_tag, flipped, protocol, ratio, revcomp
 
-#: Bases of a piece of a sequence; short, as a letter of a string is found by counting from its start. Then places that are ranked together.
-CHUNK, PART = 128, 4096
+#: Bases of a piece of a genome, and places that are ranked together.
+PIECE, PART = 4096, 4096
+#: Blocks whose counts a task holds at once.
+HELD = 128
+
 
+def pieces(genome: DataFrame, size: int = PIECE) -> DataFrame:
+    """chrom, piece, before, seq: binary pieces of `size` bases in capital letters, with `before` (0 or 2) bases of the one before and up to two of the next."""
+    if "piece" in genome.columns:
+        return genome
+    whole = genome.where("seq <> ''").select("chrom", F.upper("seq").cast("binary").alias("seq"))
+    n = F.octet_length("seq")
+    cut = lambda k: F.struct(k.alias("piece"), F.when(k > 0, 2).otherwise(0).alias("before"), F.when(k > 0, F.substring(F.col("seq"), k * size - 1, F.lit(size + 4))).otherwise(F.substring(F.col("seq"), F.lit(1), F.lit(size + 2))).alias("seq"))
+    return whole.select("chrom", F.inline(F.transform(F.sequence(F.lit(0), F.expr(f"cast((octet_length(seq) - 1) div {size} as int)")), cut)))
 
-def genome_bases(genome: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """chrom, pos, base with its neighbours (b2, b1 before; a1, a2 after; null past the ends): whole sequences, cut into chunks that overlap by two."""
-    starts = F.sequence(F.lit(0), F.length("seq") - 1, F.lit(chunk))
-    cut = genome.where("seq <> ''").select("chrom", F.col("seq"), F.explode(starts).alias("from"))
-    part = F.substr(F.col("seq"), F.col("from") + 1, F.lit(chunk))
-    before = F.when(F.col("from") > 0, F.substr(F.col("seq"), F.col("from") - 1, F.lit(2))).otherwise(F.lit("  "))
-    after = F.rpad(F.substr(F.col("seq"), F.col("from") + 1 + chunk, F.lit(2)), 2, " ")
-    wide = cut.select("chrom", "from", F.upper(part).alias("part"), F.upper(F.concat(before, part, after)).alias("wide"))
-    at = wide.select("chrom", "from", "wide", F.explode(F.sequence(F.lit(0), F.length("part") - 1)).alias("i"))
-    letter = lambda k: F.nullif(F.substr(F.col("wide"), F.col("i") + k, F.lit(1)), F.lit(" "))
-    return at.select("chrom", (F.col("from") + F.col("i")).cast("bigint").alias("pos"), letter(3).alias("base"), letter(1).alias("b2"), letter(2).alias("b1"), letter(4).alias("a1"), letter(5).alias("a2"))
+
+def genome_bases(genome: DataFrame, size: int = 256) -> DataFrame:
+    """chrom, pos, base with its neighbours (b2, b1 before; a1, a2 after; null past the ends). Letters are cut from short binary pieces, which takes no counting."""
+    p = pieces(genome, size)
+    size = size if "piece" not in genome.columns else PIECE
+    own = F.least(F.lit(size), F.octet_length("seq") - F.col("before"))
+    at = p.select("chrom", "piece", "before", "seq", F.explode(F.sequence(F.lit(0), own - 1)).alias("i"))
+    place = lambda k: F.col("i") + F.col("before") + k
+    letter = lambda k: F.when((place(k) >= 1) & (place(k) <= F.octet_length("seq")), F.substring(F.col("seq"), place(k), F.lit(1)).cast("string"))
+    return at.select("chrom", (F.col("piece").cast("bigint") * size + F.col("i")).alias("pos"), letter(1).alias("base"), letter(-1).alias("b2"), letter(0).alias("b1"), letter(2).alias("a1"), letter(3).alias("a2"))
 
 
 def cytosines(genome: DataFrame) -> DataFrame:
@@ -32,10 +53,80 @@ def cytosines(genome: DataFrame) -> DataFrame:
 
 def read_bases(reads: DataFrame) -> DataFrame:
     """read, chrom, strand, pos, i, base: a row per base of mapped reads (read, chrom, start, strand, seq); of - reads, i counts from the right end."""
-    letters = F.filter(F.split("seq", ""), lambda c: c != "")
-    rows = reads.select("read", "chrom", "strand", "start", F.length("seq").alias("n"), F.posexplode(letters).alias("i", "base"))
+    rows = reads.select("read", "chrom", "strand", "start", F.length("seq").alias("n"), F.posexplode(F.split(F.upper("seq"), "")).alias("i", "base")).where("base <> ''")
     pos = F.when(F.col("strand") == "+", F.col("start") + F.col("i")).otherwise(F.col("start") + F.col("n") - 1 - F.col("i"))
-    return rows.select("read", "chrom", "strand", pos.cast("bigint").alias("pos"), "i", F.upper("base").alias("base"))
+    return rows.select("read", "chrom", "strand", pos.cast("bigint").alias("pos"), "i", "base")
+
+
+# -- pileup: counts as arrays over blocks of a chromosome ---------------------------------------------------------
+
+#: Rows of a block's counts: C, T, G and all but N of + reads, then of - reads.
+_CODE = np.full(256, 3, np.int64)
+_CODE[[ord(c) for c in "CTGctg"]] = [0, 1, 2, 0, 1, 2]
+_CODE[[ord(c) for c in "Nn"]] = 4
+
+
+def _block_counts(reads: DataFrame) -> DataFrame:
+    """chrom, piece, seq (null), counts: what each task's reads add to the blocks that they cover, as compressed arrays."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        held: OrderedDict[tuple, np.ndarray] = OrderedDict()
+
+        def out(keys):
+            rows = [(c, b, pack(held.pop((c, b)).tobytes())) for c, b in keys]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([None] * len(rows), pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chrom", "piece", "before", "seq", "counts"])
+
+        for batch in batches:
+            for chrom, start, strand, seq in zip(*(batch[c].to_pylist() for c in ("chrom", "start", "strand", "seq"))):
+                code = _CODE[np.frombuffer(seq, np.uint8)]
+                if strand != "+":
+                    code = code[::-1]
+                skip = max(0, -start)
+                at, low = start + skip, skip
+                while low < len(code):
+                    block, within = divmod(at, PIECE)
+                    part = code[low : low + PIECE - within]
+                    if (chrom, block) not in held:
+                        if len(held) >= HELD:
+                            yield out(list(held)[: HELD // 2])
+                        held[chrom, block] = np.zeros((8, PIECE), np.int32)
+                    counts, places = held[chrom, block], np.arange(within, within + len(part))
+                    first = 0 if strand == "+" else 4
+                    known = part < 3
+                    counts[first + part[known], places[known]] += 1
+                    counts[first + 3, places[part < 4]] += 1
+                    at, low = at + len(part), low + len(part)
+        if held:
+            yield out(list(held))
+
+    rows = reads.select("chrom", F.col("start").cast("long").alias("start"), "strand", F.col("seq").cast("binary").alias("seq"))
+    return rows.where("octet_length(seq) > 0").mapInArrow(run, "chrom string, piece long, before int, seq binary, counts binary")
+
+
+_TAGS = np.array(["CpG", "CHH", "CXG", "CCG"])
+
+
+def _sites(piece: np.ndarray, before: int, own: int):
+    """Of a piece: places of C and G, whether C, and which of the contexts; past the ends there are no bases."""
+    wide = np.zeros(own + 4, np.uint8)
+    wide[2 - before : 2 - before + len(piece)] = piece
+    of = lambda x, letters: np.isin(x, np.frombuffer(letters.encode(), np.uint8))
+    base = wide[2:-2]
+    at = np.flatnonzero(of(base, "CG"))
+    c = base[at] == ord("C")
+    one, two = np.where(c, wide[at + 3], wide[at + 1]), np.where(c, wide[at + 4], wide[at])
+    # neighbours of a G stand for their complements on its strand
+    pair = np.zeros(256, np.uint8)
+    pair[list(b"ACGT")] = list(b"TGCA")
+    one, two = np.where(c, one, pair[one]), np.where(c, two, pair[two])
+    tag = np.full(len(at), 3)
+    tag[of(one, "AT") & (two == ord("G"))] = 2
+    tag[of(one, "ACT") & of(two, "ACT")] = 1
+    tag[one == ord("G")] = 0
+    return at, c, tag
 
 
 def pileup(reads: DataFrame, genome: DataFrame, cpg_only: bool = False) -> DataFrame:
@@ -44,28 +135,47 @@ def pileup(reads: DataFrame, genome: DataFrame, cpg_only: bool = False) -> DataF
     Bases are those of the sequencing strand: of a read, C is methylated and T is not at a cytosine of its strand. A
     context gets a trailing x where the other strand's reads speak for a mutation: fewer than half of them G. Bases past
     a chromosome's end are dropped. Counts are long integers.
+
+    Tasks count into arrays over blocks of PIECE bases and only such arrays are shuffled, to meet their piece of the genome.
     """
-    b = read_bases(reads)
-    is_, sum_ = (lambda s, x: (F.col("strand") == s) & (F.col("base") == x)), (lambda c: F.sum(F.when(c, 1).otherwise(0)))
-    counts = b.groupBy("chrom", "pos").agg(
-        *[sum_(is_(s, x)).alias(f"{n}{x}") for s, n in (("+", "p"), ("-", "n")) for x in "CTG"], sum_((F.col("strand") == "+") & (F.col("base") != "N")).alias("p_all"), sum_((F.col("strand") == "-") & (F.col("base") != "N")).alias("n_all")
-    )
-    sites = cytosines(genome).join(reads.select("chrom").distinct(), "chrom", "left_semi")
-    if cpg_only:
-        sites = sites.where("context = 'CpG'")
-    own = lambda x: F.coalesce(F.when(F.col("strand") == "+", F.col(f"p{x}")).otherwise(F.col(f"n{x}")), F.lit(0))
-    other_g = F.coalesce(F.when(F.col("strand") == "+", F.col("nG")).otherwise(F.col("pG")), F.lit(0))
-    other = F.coalesce(F.when(F.col("strand") == "+", F.col("n_all")).otherwise(F.col("p_all")), F.lit(0))
-    out = sites.join(counts, ["chrom", "pos"], "left")
-    return out.select("chrom", "pos", "strand", F.when(2 * other_g < other, F.concat("context", F.lit("x"))).otherwise(F.col("context")).alias("context"), (own("C") + own("T")).alias("n_reads"), own("C").alias("n_meth"))
-
-
-def conversion(reads: DataFrame, genome: DataFrame, with_cpg: bool = False) -> DataFrame:
-    """Per place in the read: base, unconverted and converted cytosines and errors on either strand, rates (null where nothing was seen)."""
+    own = pieces(genome).join(reads.select("chrom").distinct(), "chrom", "left_semi")
+    parts = own.select("chrom", F.col("piece").cast("long").alias("piece"), F.col("before").cast("int").alias("before"), "seq", F.lit(None).cast("binary").alias("counts"))
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        total, piece, lead = np.zeros((8, PIECE), np.int64), None, 0
+        for batch in batches:
+            for before, seq, counts in zip(*(batch[c].to_pylist() for c in ("before", "seq", "counts"))):
+                if counts is not None:
+                    total += np.frombuffer(unpack(counts), np.int32).reshape(8, PIECE)
+                else:
+                    piece, lead = np.frombuffer(seq, np.uint8), before
+        if piece is None:
+            return
+        at, c, tag = _sites(piece, lead, min(PIECE, len(piece) - lead))
+        if cpg_only:
+            at, c, tag = at[tag == 0], c[tag == 0], tag[tag == 0]
+        mine, other = np.where(c, 0, 4), np.where(c, 4, 0)
+        reads_, meth = total[mine, at] + total[mine + 1, at], total[mine, at]
+        mutated = 2 * total[other + 2, at] < total[other + 3, at]
+        names = np.char.add(_TAGS[tag], np.where(mutated, "x", ""))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()] * len(at), pa.string()), pa.array(at + key[1].as_py() * PIECE), pa.array(np.where(c, "+", "-").tolist(), pa.string()), pa.array(names.tolist(), pa.string()), pa.array(reads_), pa.array(meth)],
+            names=["chrom", "pos", "strand", "context", "n_reads", "n_meth"],
+        )
+
+    rows = parts.unionByName(_block_counts(reads))
+    return rows.groupBy("chrom", "piece").applyInArrow(meet, "chrom string, pos long, strand string, context string, n_reads long, n_meth long")
+
+
+def conversion(reads: DataFrame, genome: DataFrame, with_cpg: bool = False, most: int = 1000) -> DataFrame:
+    """Per place in the read, the first `most` of them that were seen: base, unconverted and converted cytosines and errors on either strand, rates (null where nothing was seen)."""
     sites = cytosines(genome)
     if not with_cpg:
         sites = sites.where("context <> 'CpG'")
-    seen = read_bases(reads).where("base <> 'N'").join(sites.drop("context"), ["chrom", "pos", "strand"])
+    seen = read_bases(reads).where((F.col("base") != "N") & (F.col("i") < most)).join(sites.drop("context"), ["chrom", "pos", "strand"])
     n = lambda s, c: F.sum(F.when((F.col("strand") == s) & c, 1).otherwise(0))
     c, t, e = F.col("base") == "C", F.col("base") == "T", ~F.col("base").isin("C", "T")
     out = seen.groupBy((F.col("i") + 1).cast("bigint").alias("base")).agg(n("+", c).alias("p_unconv"), n("+", t).alias("p_conv"), n("-", c).alias("n_unconv"), n("-", t).alias("n_conv"), (n("+", e) + n("-", e)).alias("errors"))
@@ -93,13 +203,40 @@ def dup_histogram(reads: DataFrame) -> DataFrame:
     return reads.withColumn("end", F.col("start") + F.length("seq")).groupBy("chrom", "start", "end", "strand").agg(F.count(F.lit(1)).alias("copies")).groupBy("copies").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dup_rates(reads: DataFrame) -> DataFrame:
+    """One row: reads in and out of dedup_reads(), how many it drops, their share, and reads per place that is read twice or more."""
+    places = reads.withColumn("end", F.col("start") + F.length("seq")).groupBy("chrom", "start", "end", "strand").agg(F.count(F.lit(1)).alias("copies"))
+    some = F.when(F.col("copies") > 1, F.col("copies"))
+    out = places.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("reads_in"), F.count(F.lit(1)).alias("reads_out"), F.avg(some).alias("copies_of_duplicated"))
+    return out.select("reads_in", "reads_out", (F.col("reads_in") - F.col("reads_out")).alias("removed"), ratio(F.col("reads_in") - F.col("reads_out"), "reads_in").alias("share"), "copies_of_duplicated")
+
+
+def dedup_patterns(reads: DataFrame, genome: DataFrame) -> DataFrame:
+    """dedup_reads() that also keeps apart reads which differ in their states at CpGs (C, T or N): chrom, start, end, strand, states, read, n."""
+    states = epireads(reads, genome).select("read", "chrom", "states")
+    rows = reads.withColumn("end", F.col("start") + F.length("seq")).join(states, ["read", "chrom"], "left").withColumn("states", F.coalesce("states", F.lit("")))
+    return rows.groupBy("chrom", "start", "end", "strand", "states").agg(F.min_by("read", F.struct(F.xxhash64("read"), F.col("read"))).alias("read"), F.count(F.lit(1)).alias("n"))
+
+
+@F.pandas_udf(DoubleType())
+def _agreement(one: pd.Series, two: pd.Series) -> pd.Series:
+    """Share of the places of both that agree: equal, or T over C, or G over A."""
+    out = []
+    for a, b in zip(one, two):
+        n = min(len(a), len(b))
+        x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
+        out.append(_ALIKE[x, y].sum() / n if n else None)
+    return pd.Series(out, dtype="float64")
+
+
+_ALIKE = np.eye(256, dtype=np.int64)
+_ALIKE[ord("T"), ord("C")] = _ALIKE[ord("G"), ord("A")] = 1
+
+
 def hairpins(pairs: DataFrame, cutoff: float = 0.95) -> DataFrame:
-    """Adds same (share of places that agree under bisulfite conversion), hairpin to pairs (read, seq1, seq2)."""
-    bases = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    n = F.least(F.length("seq1"), F.length("seq2"))
-    one, two = F.slice(bases("seq1"), F.lit(1), n), F.slice(bases("seq2"), F.lit(1), n)
-    agree = F.zip_with(one, two, lambda a, b: ((a == b) | ((a == "T") & (b == "C")) | ((a == "G") & (b == "A"))).cast("int"))
-    return pairs.withColumn("same", ratio(F.aggregate(agree, F.lit(0), lambda x, y: x + y), n)).withColumn("hairpin", F.coalesce(F.col("same") > cutoff, F.lit(False)))
+    """Adds same (share of places that agree under bisulfite conversion; null for an empty end), hairpin to pairs (read, seq1, seq2). Bytes are compared in Arrow batches."""
+    same = _agreement(F.coalesce(F.col("seq1"), F.lit("")).cast("binary"), F.coalesce(F.col("seq2"), F.lit("")).cast("binary"))
+    return pairs.withColumn("same", same).withColumn("hairpin", F.coalesce(F.col("same") > cutoff, F.lit(False)))
 
 
 def hairpin_stats(pairs: DataFrame, cutoff: float = 0.95) -> DataFrame:
@@ -108,6 +245,13 @@ def hairpin_stats(pairs: DataFrame, cutoff: float = 0.95) -> DataFrame:
     return h.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hairpin").cast("bigint")).alias("n_hairpin"), F.avg(F.when(F.col("hairpin"), F.col("same"))).alias("mean_bad"), F.avg(F.when(~F.col("hairpin"), F.col("same"))).alias("mean_good"))
 
 
+def hairpin_check(pairs: DataFrame, first: int, cutoff: float = 0.95, max_rate: float = 0.1) -> DataFrame:
+    """One row: of the `first` pairs by read, n, n_hairpin, their share, and whether it is above max_rate, so that all pairs need a pass."""
+    h = hairpins(pairs.orderBy("read").limit(first), cutoff)
+    out = h.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("hairpin").cast("bigint")), F.lit(0)).alias("n_hairpin")).withColumn("share", ratio("n_hairpin", "n"))
+    return out.withColumn("needed", F.coalesce(F.col("share") > max_rate, F.lit(False)))
+
+
 def guess_protocol(pairs: DataFrame) -> DataFrame:
     """One row: pairs whose first end has more T than A and second more A than T, their share, and the library's class."""
     rich = (base_count(F.col("seq1"), "T") > base_count(F.col("seq1"), "A")) & (base_count(F.col("seq2"), "A") > base_count(F.col("seq2"), "T"))
@@ -115,6 +259,118 @@ def guess_protocol(pairs: DataFrame) -> DataFrame:
     return out.withColumn("share", ratio("n_rich", "n")).withColumn("protocol", protocol(F.col("share")))
 
 
+# -- records of mappers -------------------------------------------------------------------------------------------
+# Records have the columns of SAM: qname, flag, rname, pos (1-based), mapq, cigar, rnext, pnext, tlen, seq, qual, tags.
+
+
+def _tag(prefix: str) -> Column:
+    return F.element_at(F.filter("tags", lambda t: t.startswith(prefix)), 1)
+
+
+def _rc(flag: str | Column = "flag") -> Column:
+    return (F.col(flag) if isinstance(flag, str) else flag).bitwiseAND(F.lit(16)) != 0
+
+
+def is_a_rich() -> Column:
+    """Whether a record's CV tag says that it stands for the strand that is rich in A."""
+    return F.coalesce(_tag("CV:").endswith("A"), F.lit(False))
+
+
+def standardized(records: DataFrame, mapper: str) -> DataFrame:
+    """Records of a mapper (abismal, walt, bsmap, bismark) with a CV tag, sequences as sequenced and no qualities.
+
+    bsmap: ZS becomes CV. bismark: names end at the first _, of the tags only NM stays, XR becomes CV. A record without its mapper's tag fails.
+    """
+    from .sites import checked
+
+    if mapper in ("abismal", "walt"):
+        return records
+    if mapper not in ("bsmap", "bismark"):
+        raise ValueError(f"no such mapper: {mapper}")
+    name = "ZS:" if mapper == "bsmap" else "XR:"
+    good = checked(records, _tag(name).isNull(), f"a record has no {name[:2]} tag of {mapper}")
+    rich = F.substr(_tag(name), F.lit(7), F.lit(1)) == "-" if mapper == "bsmap" else F.substr(_tag(name), F.lit(6), F.lit(1)) == "G"
+    cv = F.array(F.when(rich, "CV:A:A").otherwise("CV:A:T"))
+    kept = F.filter("tags", lambda t: ~t.startswith(name)) if mapper == "bsmap" else F.filter("tags", lambda t: t.startswith("NM:"))
+    qname = F.col("qname") if mapper == "bsmap" else F.substring_index("qname", "_", 1)
+    return good.withColumns({"tags": F.concat(kept, cv), "seq": F.when(_rc(), revcomp(F.col("seq"))).otherwise(F.col("seq")), "qname": qname, "qual": F.lit("*")})
+
+
+def conversion_flipped(records: DataFrame) -> DataFrame:
+    """Records that are rich in A turned to the other strand: flag, sequence, qualities and CV tag."""
+    rich = is_a_rich()
+    on = lambda new, old: F.when(rich, new).otherwise(F.col(old))
+    tags = F.transform("tags", lambda t: F.when(t.startswith("CV:"), F.concat(F.substr(t, F.lit(1), F.length(t) - 1), F.lit("T"))).otherwise(t))
+    return records.withColumns({"tags": on(tags, "tags"), "seq": on(revcomp(F.col("seq")), "seq"), "qual": on(F.reverse("qual"), "qual"), "flag": on(F.col("flag").bitwiseXOR(F.lit(16)), "flag")})
+
+
+_OPS = "array<struct<n:int,op:string>>"
+
+
+def cigar_ops(cigar: Column) -> Column:
+    """A CIGAR as an array of (n, op)."""
+    return F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1)), lambda o: F.struct(F.regexp_extract(o, r"^(\d+)", 1).cast("int").alias("n"), F.regexp_extract(o, r"([A-Z=])$", 1).alias("op")))
+
+
+def _size(ops: Column, kinds: str) -> Column:
+    return F.aggregate(F.filter(ops, lambda o: o["op"].isin(*kinds)), F.lit(0), lambda a, o: a + o["n"])
+
+
+def _first_of(ops: Column, size: Column) -> Column:
+    """The operations over the first `size` bases of the reference."""
+    cut = F.aggregate(
+        ops,
+        F.struct(F.array().cast(_OPS).alias("out"), size.cast("int").alias("left")),
+        lambda acc, o: F.when(acc["left"] <= 0, acc)
+        .when(o["op"].isin(*"MDN=X"), F.struct(F.concat(acc["out"], F.array(F.struct(F.least(o["n"], acc["left"]).alias("n"), o["op"].alias("op")))).alias("out"), (acc["left"] - o["n"]).alias("left")))
+        .otherwise(F.struct(F.concat(acc["out"], F.array(F.struct(o["n"].alias("n"), o["op"].alias("op")))).alias("out"), acc["left"].alias("left"))),
+    )
+    return cut["out"]
+
+
+def _joined(ops: Column) -> Column:
+    """A CIGAR's text; equal neighbours become one."""
+    one = F.aggregate(
+        ops,
+        F.array().cast(_OPS),
+        lambda out, o: F.when(F.try_element_at(out, F.lit(-1))["op"] == o["op"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct((F.try_element_at(out, F.lit(-1))["n"] + o["n"]).alias("n"), o["op"].alias("op")))))
+        .otherwise(F.concat(out, F.array(F.struct(o["n"].alias("n"), o["op"].alias("op"))))),
+    )
+    return F.array_join(F.transform(one, lambda o: F.concat(o["n"].cast("string"), o["op"])), "")
+
+
+def merged_records(records: DataFrame, suffix: int = 1, longest: int = 10000) -> DataFrame:
+    """Standardised records with mates made to one fragment: qname (without its suffix), flag, rname, pos, cigar, seq, tags, kind, size.
+
+    Mates have names that agree but for the suffix, point at each other, and are a template's first and last. The left end is the one
+    that is not reversed. kind: gap (N between the ends), overlap (the left end is cut where the right one begins), dovetail (cut where
+    the right one ends) or single. A fragment is kept if its size is positive and below `longest`; else both ends stay single. A name
+    with more or fewer than two records stays as it is.
+    """
+    from ..functions.columns import strip_suffix
+
+    r = records.withColumn("name", strip_suffix(F.col("qname"), suffix))
+    both = r.groupBy("name", "rname").agg(F.array_sort(F.collect_list(F.struct(_rc().alias("rc"), F.col("pos").cast("bigint").alias("pos"), "flag", "qname", "rnext", F.col("pnext").cast("bigint").alias("pnext"), "cigar", "seq", "tags"))).alias("r"))
+    a, b = F.col("r")[0], F.col("r")[1]
+    ends = lambda x, y, bit: (x["flag"].bitwiseAND(F.lit(bit)) != 0) != (y["flag"].bitwiseAND(F.lit(bit)) != 0)
+    mates = (F.size("r") == 2) & ((a["rnext"] == "=") & (b["rnext"] == "=") | (a["rnext"] == b["qname"])) & (a["pnext"] == b["pos"]) & (b["pnext"] == a["pos"]) & ends(a, b, 64) & ends(a, b, 128)
+    one, two = cigar_ops(a["cigar"]), cigar_ops(b["cigar"])
+    t = both.withColumns({"mates": F.coalesce(mates, F.lit(False)), "one": one, "two": two})
+    t = t.withColumns({"one_e": a["pos"] + _size(F.col("one"), "MDN=X"), "two_e": b["pos"] + _size(F.col("two"), "MDN=X")})
+    t = t.withColumn("size", F.col("two_e") - a["pos"])
+    spacer, head, overlap = b["pos"] - F.col("one_e"), b["pos"] - a["pos"], F.col("two_e") - a["pos"]
+    ok = F.col("mates") & (F.col("size") > 0) & (F.col("size") < longest)
+    kind = F.when(spacer >= 0, "gap").when(head >= 0, "overlap").otherwise("dovetail")
+    t = t.withColumn("kind", F.when(ok, kind).otherwise("single")).withColumn("left", _first_of(F.col("one"), F.when(F.col("kind") == "overlap", head).otherwise(overlap)))
+    gap = F.concat("one", F.array(F.struct(spacer.cast("int").alias("n"), F.lit("N").alias("op"))), "two")
+    cut = F.substr(a["seq"], F.lit(1), _size(F.col("left"), "MIS=X"))
+    cigar = F.when(F.col("kind") == "gap", _joined(F.filter(gap, lambda o: o["n"] > 0))).when(F.col("kind") == "overlap", _joined(F.concat("left", "two"))).otherwise(_joined(F.col("left")))
+    seq = F.when(F.col("kind") == "gap", F.concat(a["seq"], revcomp(b["seq"]))).when(F.col("kind") == "overlap", F.concat(cut, revcomp(b["seq"]))).otherwise(cut)
+    whole = t.where("kind <> 'single'").select(F.col("name").alias("qname"), a["flag"].alias("flag"), "rname", a["pos"].alias("pos"), cigar.alias("cigar"), seq.alias("seq"), a["tags"].alias("tags"), "kind", "size")
+    single = t.where("kind = 'single'").select("rname", F.explode("r").alias("x")).select("x.qname", "x.flag", "rname", "x.pos", "x.cigar", "x.seq", "x.tags", F.lit("single").alias("kind"), _size(cigar_ops(F.col("x.cigar")), "MDN=X").cast("bigint").alias("size"))
+    return whole.unionByName(single)
+
+
 def merge_mates(reads: DataFrame, suffix: int = 1, longest: int = 10000) -> DataFrame:
     """Fragments of mates: reads (name, chrom, start, strand, seq) whose names agree but for the last letters; single reads stay.
 
@@ -123,7 +379,7 @@ def merge_mates(reads: DataFrame, suffix: int = 1, longest: int = 10000) -> Data
     """
     named = reads.withColumn("pair", F.expr(f"left(name, greatest(0, length(name) - {suffix}))")).withColumn("stop", F.col("start") + F.length("seq"))
     end = F.struct("start", "stop", "seq", "name")
-    pairs = named.groupBy("pair", "chrom").agg(F.min_by(end, F.struct("start", "name")).alias("a"), F.max_by(end, F.struct("start", "name")).alias("b"), F.first("strand").alias("strand"), F.count(F.lit(1)).alias("k"), F.collect_list(F.struct("start", "stop", "seq", "strand")).alias("all"))
+    pairs = named.groupBy("pair", "chrom").agg(F.min_by(end, F.struct("start", "name")).alias("a"), F.max_by(end, F.struct("start", "name")).alias("b"), F.min_by("strand", F.struct("start", "name")).alias("strand"), F.count(F.lit(1)).alias("k"), F.collect_list(F.struct("start", "stop", "seq", "strand")).alias("all"))
     ok = (F.col("k") == 2) & (F.greatest("a.stop", "b.stop") - F.col("a.start") < longest)
     gap = F.greatest(F.lit(0), F.col("b.start") - F.col("a.stop")).cast("int")
     rest = F.substr(F.col("b.seq"), F.greatest(F.lit(0), F.col("a.stop") - F.col("b.start")).cast("int") + 1)

@@ -9,29 +9,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import kernels
-from .intervals import points_in
+from .intervals import haloed, points_in
+
+
+def _distinct(f, *columns: pd.Series) -> pd.Series:
+    """f of the distinct rows of counts, all at once, and so of all rows."""
+    rows = np.stack([np.asarray(c, np.int64) for c in columns], axis=1)
+    if not len(rows):
+        return pd.Series([], dtype="float64")
+    some, which = np.unique(rows, axis=0, return_inverse=True)
+    return pd.Series(f(*some.T)[which.ravel()])
 
 
 @F.pandas_udf(DoubleType())
 def greater_probability(ma: pd.Series, ua: pd.Series, mb: pd.Series, ub: pd.Series) -> pd.Series:
     """P(level of A < level of B) of rows of counts, each at least 1."""
-    known: dict = {}
-    rows = list(zip(ma, ua, mb, ub))
-    for row in rows:
-        if row not in known:
-            known[row] = kernels.greater_probability(*row)
-    return pd.Series([known[r] for r in rows])
+    return _distinct(kernels.greater_probability, ma, ua, mb, ub)
 
 
 @F.pandas_udf(DoubleType())
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided exact test of 2 x 2 tables."""
-    known: dict = {}
-    rows = list(zip(a, b, c, d))
-    for row in rows:
-        if row not in known:
-            known[row] = kernels.fisher_two_sided(*row)
-    return pd.Series([known[r] for r in rows])
+    return _distinct(kernels.fisher_two_sided, a, b, c, d)
 
 
 @F.pandas_udf(DoubleType())
@@ -46,7 +45,7 @@ def normal_upper(z: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([kernels.chi2_sf(a, b) for a, b in zip(x, df)])
+    return pd.Series(kernels.chi2_sf(x, df))
 
 
 @F.pandas_udf(DoubleType())
@@ -55,9 +54,12 @@ def betabin_logpmf(k: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series) -> pd
 
 
 def register(spark) -> None:
-    """Makes the kernels callable from SQL."""
+    """Makes the kernels callable from SQL, the bounds of the Wilson interval too (wilson_lo, wilson_hi of methylated reads, reads and z)."""
     for name, f in {"exact_pop_greater": greater_probability, "fisher_2x2": fisher, "probit": probit, "normal_sf": normal_upper, "chi2_sf": chi2_upper, "betabin_logpmf": betabin_logpmf}.items():
         spark.udf.register(name, f)
+    for name, sign, cap in (("wilson_lo", "-", "greatest(0D, {})"), ("wilson_hi", "+", "least(1D, {})")):
+        bound = f"try_divide(m / n + z * z / (2 * n) {sign} z * sqrt(m / n * (1 - m / n) / n + z * z / (4 * n * n)), 1 + z * z / n)"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(m DOUBLE, n DOUBLE, z DOUBLE) RETURNS DOUBLE RETURN CASE WHEN n > 0 THEN {cap.format(bound)} END")
 
 
 def methdiff(rows: DataFrame, pseudo: int = 1) -> DataFrame:
@@ -74,34 +76,42 @@ def dmr_counts(regions: DataFrame, scores: DataFrame, cutoff: float = 0.05, lowe
     return regions.select(*keys).join(found, keys, "left").fillna(0, ["n_sites", "n_sig"])
 
 
-def _ranks(rows: DataFrame, p: str) -> tuple[DataFrame, int]:
-    """Distinct values of p with how many rows are no greater. Windows run over buckets of p and over the buckets' sums, not over all rows."""
-    counts = rows.groupBy(p).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.floor(F.col(p) * 4096))
+def _ranks(rows: DataFrame, p: str) -> DataFrame:
+    """Distinct values of p with n, their rows, rank, how many rows are no greater, and rows, all of them.
+
+    Windows run over buckets of p and over the buckets' sums, not over all rows. Buckets are even in the logarithm, so that
+    neither small nor large values crowd.
+    """
+    counts = rows.groupBy(p).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.ceil(F.log(F.greatest(F.col(p), F.lit(1e-300))) * 64))
     sums = counts.groupBy("bucket").agg(F.sum("n").alias("total"))
-    before = sums.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
+    below = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("bucket", F.coalesce(F.sum("total").over(below), F.lit(0)).alias("before"), F.sum("total").over(Window.partitionBy()).alias("rows"))
     w = Window.partitionBy("bucket").orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("within", F.sum("n").over(w)).join(before, "bucket").withColumn("rank", F.col("before") + F.col("within"))
-    return ranked.select(p, "n", "bucket", "rank"), rows.count()
+    return counts.join(before, "bucket").select(p, "n", "bucket", "rows", (F.col("before") + F.sum("n").over(w)).alias("rank"))
 
 
 def bh(rows: DataFrame, p: str = "p", into: str = "q") -> DataFrame:
     """Benjamini-Hochberg: the least p * n / rank of this and all greater p, 1 at most."""
-    ranked, n = _ranks(rows, p)
-    raw = ranked.withColumn("raw", F.least(F.lit(1.0), F.col(p) * n / F.col("rank")))
+    raw = _ranks(rows, p).withColumn("raw", F.least(F.lit(1.0), F.col(p) * F.col("rows") / F.col("rank")))
     later = raw.groupBy("bucket").agg(F.min("raw").alias("least"))
-    after = later.withColumn("after", F.coalesce(F.min("least").over(Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))).drop("least")
+    above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    after = later.select("bucket", F.coalesce(F.min("least").over(above), F.lit(1.0)).alias("after"))
     w = Window.partitionBy("bucket").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    done = raw.withColumn("here", F.min("raw").over(w)).join(after, "bucket").select(p, F.least("here", "after").alias(into))
+    done = raw.join(after, "bucket").select(p, F.least(F.min("raw").over(w), "after").alias(into))
     return rows.join(done, p)
 
 
 def stepup_cutoff(rows: DataFrame, alpha: float, p: str = "p") -> DataFrame:
-    """One row: the greatest p up to which every p is below alpha * rank / n; null if the first is not."""
+    """One row: the least p that is not below alpha * rank / n, or the greatest p if all are; null without rows. Only what is below the cutoff is significant."""
     if not 0 < alpha <= 1:
         raise ValueError("the cutoff must be in (0, 1]")
-    ranked, n = _ranks(rows, p)
-    failing = ranked.where(F.col(p) >= alpha * (F.col("rank") - F.col("n") + 1) / n).agg(F.min(p).alias("first"))
-    return ranked.crossJoin(F.broadcast(failing)).where(F.col("first").isNull() | (F.col(p) < F.col("first"))).agg(F.max(p).alias("cutoff"))  # failing has one row
+    failing = F.col(p) >= alpha * (F.col("rank") - F.col("n") + 1) / F.col("rows")
+    return _ranks(rows, p).agg(F.coalesce(F.min(F.when(failing, F.col(p))), F.max(p)).alias("cutoff"))
+
+
+def fdr_cutoff(rows: DataFrame, tests: int, alpha: float, p: str = "p") -> DataFrame:
+    """One row: the greatest p that is below alpha * rank / tests, of rows of which `tests` were made; 0 if none is."""
+    return _ranks(rows, p).agg(F.coalesce(F.max(F.when(F.col(p) < alpha * F.col("rank") / F.lit(tests), F.col(p))), F.lit(0.0)).alias("cutoff"))
 
 
 def empirical_p(observed: DataFrame, null: DataFrame, score: str = "score") -> DataFrame:
@@ -118,9 +128,11 @@ def empirical_p(observed: DataFrame, null: DataFrame, score: str = "score") -> D
 
 def distance_correlation(rows: DataFrame, value: Column, lo: int, hi: int, step: int) -> DataFrame:
     """Pearson correlation of values of neighbours on a chromosome, by bins of distance in [lo, hi): bin, n, corr (0 for one pair or none)."""
-    reach = hi - 1
-    near = F.collect_list(F.struct("pos", "v")).over(Window.partitionBy("chrom").orderBy("pos").rangeBetween(lo, reach))
-    pairs = rows.withColumn("v", value).withColumn("near", near).select("pos", "v", F.explode("near").alias("o"))
+    size = max(1 << 12, 8 * hi)
+    one = rows.select("chrom", "pos", value.alias("v"), F.expr(f"pos div {size}").alias("__b"))
+    blocks = F.sequence(F.expr(f"greatest(0, pos - {hi - 1}) div {size}"), F.expr(f"greatest(0, pos - {lo}) div {size}"))
+    two = rows.select(F.col("chrom").alias("__chrom"), F.struct("pos", value.alias("v")).alias("o"), F.explode(blocks).alias("__o"))
+    pairs = one.join(two, (F.col("chrom") == F.col("__chrom")) & (F.col("__b") == F.col("__o")) & F.expr(f"o.pos - pos between {lo} and {hi - 1}"))
     binned = pairs.withColumn("bin", F.expr(f"(o.pos - pos - {lo}) div {step}"))
     x, y = F.col("v"), F.col("o.v")
     n, sx, sy, sxx, syy, sxy = F.count(F.lit(1)), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)
@@ -133,15 +145,16 @@ def distance_correlation(rows: DataFrame, value: Column, lo: int, hi: int, step:
 
 def band_neighbours(rows: DataFrame, reach: int) -> DataFrame:
     """Adds n_near (rows within reach on either side, itself included) and near_sum of reads."""
-    w = Window.partitionBy("chrom").orderBy("pos").rangeBetween(-reach, reach)
-    return rows.withColumns({"n_near": F.count(F.lit(1)).over(w), "near_sum": F.sum("n_reads").over(w)})
+    w = Window.partitionBy("chrom", "__b").orderBy("pos").rangeBetween(-reach, reach)
+    near = haloed(rows, reach).withColumns({"n_near": F.count(F.lit(1)).over(w), "near_sum": F.sum("n_reads").over(w)})
+    return near.where("__own").select(*rows.columns, "n_near", "near_sum")
 
 
 def combined(rows: DataFrame, correlations: DataFrame, reach: int, step: int) -> DataFrame:
     """Adds combined_p to rows (chrom, pos, p): Stouffer-Liptak over the loci within reach, with correlations (bin, corr) by distance."""
     table = {r["bin"]: r["corr"] for r in correlations.collect()}  # one row for each distance bin
     tau = [float(table.get(k, 0.0)) for k in range(reach // step + 1)]
-    w = Window.partitionBy("chrom").orderBy("pos").rangeBetween(-reach, reach)
+    w = Window.partitionBy("chrom", "__b").orderBy("pos").rangeBetween(-reach, reach)
     near = F.collect_list(F.struct(F.col("pos").alias("pos"), F.col("z").alias("z"))).over(w)
 
     @F.pandas_udf(DoubleType())
@@ -154,8 +167,8 @@ def combined(rows: DataFrame, correlations: DataFrame, reach: int, step: int) ->
             out.append(np.asarray(z).sum() / np.sqrt(max(rho.sum(), 1e-9)))
         return pd.Series(out)
 
-    tested = rows.where("p >= 0").withColumn("z", probit(1 - F.col("p"))).withColumn("near", near)
-    return tested.withColumn("combined_p", normal_upper(statistic(F.col("near.pos"), F.col("near.z")))).drop("near", "z")
+    tested = haloed(rows.where("p >= 0").withColumn("z", probit(1 - F.col("p"))), reach).withColumn("near", near).where("__own")
+    return tested.withColumn("combined_p", normal_upper(statistic(F.col("near.pos"), F.col("near.z")))).select(*rows.columns, "combined_p")
 
 
 def adjusted(rows: DataFrame, correlations: DataFrame, reach: int, step: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, wilson
-from .intervals import points_in, union
+from .intervals import blocked, haloed, neighbour, points_in, running_sum, union
 
 #: The level of `levels` and `roi_stats`; with 0.95 the interval is narrow, as the reference's default has it.
 ALPHA = 0.95
@@ -17,14 +17,14 @@ def symmetric(sites: DataFrame, mutated: bool = True) -> DataFrame:
 
     A site without a mate stays as it is. With mutated=False, sites whose context ends in x are left out afterwards.
     """
-    w = Window.partitionBy("chrom").orderBy("pos", "strand")
+    w = Window.partitionBy("chrom", "__b").orderBy("pos", "strand")
     mate = lambda c, f: f(c).over(w)
     after = (F.col("strand") == "+") & (mate("strand", F.lead) == "-") & (mate("pos", F.lead) == F.col("pos") + 1)
     before = (F.col("strand") == "-") & (mate("strand", F.lag) == "+") & (mate("pos", F.lag) == F.col("pos") - 1)
     plus = lambda c: F.col(c) + F.when(F.col("after"), F.col(f"next_{c}")).otherwise(0)
-    rows = sites.withColumns({"after": F.coalesce(after, F.lit(False)), "before": F.coalesce(before, F.lit(False)), "next_n_reads": mate("n_reads", F.lead), "next_n_meth": mate("n_meth", F.lead), "next_context": mate("context", F.lead)})
+    rows = haloed(sites, 2).withColumns({"after": F.coalesce(after, F.lit(False)), "before": F.coalesce(before, F.lit(False)), "next_n_reads": mate("n_reads", F.lead), "next_n_meth": mate("n_meth", F.lead), "next_context": mate("context", F.lead)})
     other = F.when(F.col("after") & F.col("next_context").endswith("x") & ~F.col("context").endswith("x"), F.concat("context", F.lit("x"))).otherwise(F.col("context"))
-    out = rows.where("not before").select("chrom", "pos", other.alias("context"), plus("n_reads").alias("n_reads"), plus("n_meth").alias("n_meth"), F.col("after").alias("paired"))
+    out = rows.where("__own and not before").select("chrom", "pos", other.alias("context"), plus("n_reads").alias("n_reads"), plus("n_meth").alias("n_meth"), F.col("after").alias("paired"))
     return out if mutated else out.where(~F.col("context").endswith("x"))
 
 
@@ -148,11 +148,123 @@ def probe_means(probes: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def smoothed(sites: DataFrame, bandwidth: int) -> DataFrame:
-    """Adds smooth: the level around each site, weighted by reads and by an Epanechnikov kernel in distance."""
-    near = F.collect_list(F.struct("pos", "n_reads", "n_meth")).over(Window.partitionBy("chrom").orderBy("pos").rangeBetween(-bandwidth, bandwidth))
-    weight = lambda x: 1 - F.pow((x["pos"] - F.col("pos")) / (bandwidth + 1), F.lit(2))
-    total = lambda c: F.aggregate("near", F.lit(0.0), lambda acc, x: acc + weight(x) * x[c])
-    return sites.withColumn("near", near).withColumn("smooth", ratio(total("n_meth"), total("n_reads"))).drop("near")
+    """Adds smooth: the level around each site, weighted by reads and by an Epanechnikov kernel in distance.
+
+    The weighted sums come from sums of counts, of counts times the distance from the block's start, and of counts times its square, so no list of neighbours is made.
+    """
+    size = max(1 << 14, 16 * bandwidth)
+    rows = haloed(sites, bandwidth, size=size).withColumn("__x", (F.col("pos") - F.col("__b") * size).cast("double"))
+    w = Window.partitionBy("chrom", "__b").orderBy("pos").rangeBetween(-bandwidth, bandwidth)
+    x, width = F.col("__x"), (bandwidth + 1) ** 2
+
+    def total(c):
+        n = F.col(c).cast("double")
+        s0, s1, s2 = F.sum(n).over(w), F.sum(n * x).over(w), F.sum(n * x * x).over(w)
+        return s0 * width - (s2 - 2 * x * s1 + x * x * s0)
+
+    return rows.withColumn("smooth", ratio(total("n_meth"), total("n_reads"))).where("__own").select(*sites.columns, "smooth")
+
+
+def local_linear(sites: DataFrame, bandwidth: int) -> DataFrame:
+    """Adds smooth: at each site a line fitted to the levels of the sites within the bandwidth, each weighted by its reads and by an Epanechnikov kernel, as its value there, within [0, 1]; the weighted mean where all weight is at one place."""
+    rows = haloed(sites, bandwidth)
+    near = F.collect_list(F.struct("pos", "n_reads", "n_meth")).over(Window.partitionBy("chrom", "__b").orderBy("pos").rangeBetween(-bandwidth, bandwidth))
+    d = lambda x: (x["pos"] - F.col("pos")).cast("double")
+    weight = lambda x: (1 - F.pow(d(x) / (bandwidth + 1), F.lit(2)))
+    total = lambda f: F.aggregate("near", F.lit(0.0), lambda acc, x: acc + weight(x) * f(x))
+    sums = rows.withColumn("near", near).where("__own").withColumns({"s0": total(lambda x: x["n_reads"]), "s1": total(lambda x: x["n_reads"] * d(x)), "s2": total(lambda x: x["n_reads"] * d(x) * d(x)), "t0": total(lambda x: x["n_meth"]), "t1": total(lambda x: x["n_meth"] * d(x))})
+    under = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
+    line = (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / under
+    value = F.when(F.abs(under) > 1e-9, F.least(F.lit(1.0), F.greatest(F.lit(0.0), line))).otherwise(ratio("t0", "s0"))
+    return sums.withColumn("smooth", value).select(*sites.columns, "smooth")
+
+
+def cumulative(sites: DataFrame) -> DataFrame:
+    """Adds reads_upto and meth_upto: the counts of a chromosome's sites up to and with this one."""
+    both = running_sum(running_sum(blocked(sites), F.col("n_reads"), "reads_upto"), F.col("n_meth"), "meth_upto")
+    return both.drop("__b")
+
+
+def distances(sites: DataFrame) -> DataFrame:
+    """Adds gap: how far the site before is; null for a chromosome's first."""
+    return neighbour(blocked(sites), "pos", "__last").withColumn("gap", F.col("pos") - F.col("__last")).drop("__b", "__last")
+
+
+def paired(a: DataFrame, b: DataFrame, uncovered: bool = False) -> DataFrame:
+    """Sites that both methylomes have: chrom, pos, meth_a, unmeth_a, meth_b, unmeth_b. Without reads on a side they count only with `uncovered`. A place that comes twice in one of them fails."""
+
+    def side(df, x):
+        once = df.groupBy("chrom", "pos").agg(F.sum("n_meth").alias(f"meth_{x}"), F.sum("n_reads").alias("n"), F.count(F.lit(1)).alias("k"))
+        return checked(once, F.col("k") > 1, "a site comes twice").select("chrom", "pos", f"meth_{x}", (F.col("n") - F.col(f"meth_{x}")).alias(f"unmeth_{x}"))
+
+    out = side(a, "a").join(side(b, "b"), ["chrom", "pos"])
+    return out if uncovered else out.where("meth_a + unmeth_a > 0 and meth_b + unmeth_b > 0")
+
+
+def methdiff_rows(rows: DataFrame) -> DataFrame:
+    """line: a site's row of a methdiff table, of chrom, pos, strand, context, score and the four counts."""
+    columns = ["chrom", "pos", "strand", "context", "score", "meth_a", "unmeth_a", "meth_b", "unmeth_b"]
+    return rows.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("line"))
+
+
+def lock_step(*replicates: DataFrame) -> DataFrame:
+    """chrom, pos, reads, meth (arrays over the replicates). A site that some replicate lacks, or has twice, fails."""
+    k = len(replicates)
+    all_ = None
+    for i, df in enumerate(replicates):
+        df = df.select("chrom", "pos", F.lit(i).alias("i"), "n_reads", "n_meth")
+        all_ = df if all_ is None else all_.unionByName(df)
+    out = all_.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "n_reads", "n_meth"))).alias("x"), F.countDistinct("i").alias("kinds"))
+    good = checked(out, (F.size("x") != k) | (F.col("kinds") != k), "inputs have different sites")
+    return good.select("chrom", "pos", F.col("x.n_reads").alias("reads"), F.col("x.n_meth").alias("meth"))
+
+
+def array_bins(sites: DataFrame, size: int) -> DataFrame:
+    """Probes of an array (chrom, pos, meth) in right-closed bins: chrom, bin, n, level, the mean kept within [0.01, 0.99]."""
+    idx = F.greatest(F.lit(0), F.expr(f"(pos + {size - 1}) div {size}") - 1)
+    mean = F.avg("meth")
+    return sites.groupBy("chrom", idx.alias("bin")).agg(F.count("meth").alias("n"), F.least(F.lit(0.99), F.greatest(F.lit(0.01), mean)).alias("level"))
+
+
+def bin_size(sites: DataFrame, resolution: int = 500, most: int = 500_000, least: int = 1000, conf: float = 0.8, share: float = 0.8) -> DataFrame:
+    """One row: size, the least multiple of the resolution, from `least` on, of which at least `share` of the bins with reads have enough of them; else `most`."""
+    passing = bin_size_pass(sites, list(range(least, most, resolution)), reads_for_interval(conf, 1 - conf))
+    return passing.agg(F.coalesce(F.min(F.when(F.col("share") >= share, F.col("size"))), F.lit(most).cast("bigint")).alias("size"))
+
+
+def roi_names(stats: DataFrame) -> DataFrame:
+    """Rows of roi_stats() with name:sites:covered:methylated:reads as name, and the level as score."""
+    parts = [F.col(c).cast("string") for c in ("name", "n_sites", "n_covered", "n_meth", "n_reads")]
+    return stats.select("chrom", "start", "end", F.concat_ws(":", *parts).alias("name"), F.col("level").alias("score"))
+
+
+def numbered_names(regions: DataFrame, prefix: str) -> DataFrame:
+    """Adds name: the prefix and a number, 0, 1, ... in the order of chrom and start. Numbers come from counts per block, not from one sort."""
+    r = blocked(regions, "start")
+    counts = r.groupBy("chrom", "__b").agg(F.count(F.lit(1)).alias("n"))
+    chroms = counts.groupBy("chrom").agg(F.sum("n").alias("n")).select("chrom", F.coalesce(F.sum("n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__chroms"))
+    own = running_sum(r, F.lit(1), "__k", order=("start", "end")).join(chroms, "chrom")
+    return own.withColumn("name", F.concat(F.lit(prefix), (F.col("__chroms") + F.col("__k") - 1).cast("string"))).drop("__b", "__k", "__chroms")
+
+
+def chromosome_order(samples: list[DataFrame]) -> list[str]:
+    """An order of the chromosomes that agrees with the order (columns chrom, at) that each sample has them in; fails if there is none.
+
+    Only the list of chromosomes of each sample, a genome's few names, comes to the driver.
+    """
+    from graphlib import CycleError, TopologicalSorter
+
+    graph = TopologicalSorter()
+    for df in samples:
+        names = [r[0] for r in df.groupBy("chrom").agg(F.min("at").alias("at")).orderBy("at", "chrom").collect()]
+        for name in names:
+            graph.add(name)
+        for one, two in zip(names, names[1:]):
+            graph.add(two, one)
+    try:
+        return list(graph.static_order())
+    except CycleError as e:
+        raise ValueError("the samples' orders of chromosomes do not agree") from e
 
 
 def checked(sites: DataFrame, problem: Column, what: str) -> DataFrame:

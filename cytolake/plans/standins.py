@@ -66,6 +66,54 @@ COLLAPSED = SITES + """, collapsed AS (
   SELECT chrom, pos // 2 * 2 AS pos, CAST(sum(n_reads) AS BIGINT) AS n_reads, CAST(sum(n_meth) AS BIGINT) AS n_meth FROM sites GROUP BY ALL)"""
 
 
+_LOW = "(pos div 40) % 4 = 1 OR (pos div 2) % 53 = 7 AND (pos div 40) % 4 = 3"
+
+
+def _planted_share(reads, pos):
+    """Methylated reads: few in the planted blocks and at some single places, many elsewhere."""
+    return F.when(F.expr(_LOW), F.expr(f"{reads} * (4 + {pos} % 7) div 100")).otherwise(F.expr(f"{reads} * (85 + {pos} % 11) div 100"))
+
+
+def planted(spark: SparkSession, sf_dir: str, replicates: bool = False) -> DataFrame:
+    """collapsed() with levels that make domains: 40 positions in each 160 are low, and some single places between. With replicates, reads and meth of odd and even samples as arrays."""
+    if not replicates:
+        return collapsed(spark, sf_dir).withColumn("n_meth", _planted_share("n_reads", "pos"))
+    t = samples(spark, sf_dir).withColumn("pos", F.expr("pos div 2 * 2"))
+    r = t.groupBy("chrom", "pos").agg(*[F.coalesce(F.sum(F.when(F.col("sample") % 2 == k, F.col("n_reads"))), F.lit(0)).alias(f"r{k}") for k in (0, 1)])
+    return r.select("chrom", "pos", F.array("r0", "r1").alias("reads"), F.array(_planted_share("r0", "pos"), _planted_share("r1", "pos")).alias("meth"))
+
+
+_SHARE = "{r} * CASE WHEN (pos // 40) % 4 = 1 OR (pos // 2) % 53 = 7 AND (pos // 40) % 4 = 3 THEN 4 + pos % 7 ELSE 85 + pos % 11 END // 100"
+PLANTED = COLLAPSED + ", planted AS (SELECT chrom, pos, n_reads, " + _SHARE.format(r="n_reads") + " AS n_meth FROM collapsed)"
+PLANTED_TWO = SAMPLES + f""", halves AS (SELECT chrom, pos // 2 * 2 AS pos, CAST(coalesce(sum(n_reads) FILTER (sample % 2 = 0), 0) AS BIGINT) AS r0, CAST(coalesce(sum(n_reads) FILTER (sample % 2 = 1), 0) AS BIGINT) AS r1 FROM samples GROUP BY ALL),
+  planted_two AS (SELECT chrom, pos, r0, r1, {_SHARE.format(r="r0")} AS m0, {_SHARE.format(r="r1")} AS m1 FROM halves)"""
+
+
+def assays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chrom, pos, and counts of three assays, to which samples are dealt by their number: u, t (TAB), h, g (bisulfite), m, l (oxidative). In SQL the first two pairs are h, g and t, u."""
+    t = samples(spark, sf_dir).withColumn("pos", F.expr("pos div 2 * 2"))
+    cell = lambda k, x: F.coalesce(F.sum(F.when(F.col("sample") % 3 == k, x)), F.lit(0)).cast("double")
+    yes, no = F.col("n_meth"), F.col("n_reads") - F.col("n_meth")
+    return t.groupBy("chrom", "pos").agg(*[cell(k, x).alias(c) for k, pair in enumerate(("ut", "hg", "ml")) for c, x in zip(pair, (yes, no))])
+
+
+ASSAYS = SAMPLES + ", raw AS (SELECT chrom, pos // 2 * 2 AS pos, sample % 3 AS assay, n_meth AS yes, n_reads - n_meth AS no FROM samples), assays AS (SELECT chrom, pos, " + ", ".join(f"CAST(coalesce(sum({x}) FILTER (assay = {k}), 0) AS DOUBLE) AS {c}" for k, pair in enumerate(("hg", "tu", "ml")) for c, x in zip(pair, ("yes", "no"))) + " FROM raw GROUP BY chrom, pos)"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SAM records of pairs made from lineitem's keys: two ends of 20 and 30 bases, apart, overlapping or dovetailed, as one mapper or another writes them."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    one, two = (F.col("c") % 500 + 100).alias("pos"), F.expr("c % 500 + 100 + k % 71 - 15").alias("other")
+    base = o.select("k", "c", one, two, F.expr("substr(repeat('ACGTTGCA', 6), cast(k % 8 + 1 as int), 20)").alias("s1"), F.expr("substr(repeat('GATTACAC', 6), cast(c % 8 + 1 as int), 30)").alias("s2"))
+    end = lambda i, pos, other, seq, flag, cigar: base.select(F.concat(F.lit("r"), F.col("k").cast("string"), F.lit(f"_{i}")).alias("qname"), F.lit(flag).alias("flag"), F.concat(F.lit("chr"), (F.col("c") % 3).cast("string")).alias("rname"), F.col(pos).alias("pos"), F.lit(255).alias("mapq"), F.lit(cigar).alias("cigar"), F.lit("=").alias("rnext"), F.col(other).alias("pnext"), F.lit(0).alias("tlen"), F.col(seq).alias("seq"), F.lit("*").alias("qual"), F.array(F.when(F.col("k") % 2 == 0, "ZS:Z:++").otherwise("ZS:Z:+-"), F.lit("NM:i:1"), F.when(F.col("k") % 2 == 0, "XR:Z:CT").otherwise("XR:Z:GA")).alias("tags"))
+    return end(1, "pos", "other", "s1", 1 + 64, "20M").unionByName(end(2, "other", "pos", "s2", 1 + 16 + 128, "30M"))
+
+
+RECORDS = """ends AS (SELECT o_orderkey AS k, o_custkey AS c, o_custkey % 500 + 100 AS pos, o_custkey % 500 + 100 + o_orderkey % 71 - 15 AS other,
+  substr(repeat('ACGTTGCA', 6), CAST(o_orderkey % 8 + 1 AS INTEGER), 20) AS s1, substr(repeat('GATTACAC', 6), CAST(o_custkey % 8 + 1 AS INTEGER), 30) AS s2 FROM orders),
+records AS (SELECT 'r' || k || '_1' AS qname, 65 AS flag, 'chr' || c % 3 AS rname, pos, s1 AS seq, k FROM ends UNION ALL SELECT 'r' || k || '_2', 145, 'chr' || c % 3, other, s2, k FROM ends)"""
+
+
 def two_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrom, pos, meth_a, unmeth_a, meth_b, unmeth_b: odd samples against even samples at places that both have."""
     s = samples(spark, sf_dir).withColumn("pos", F.expr("pos div 2 * 2"))

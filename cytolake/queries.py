@@ -6,12 +6,13 @@ on both sides, since engines add in different orders. Model operators have no SQ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import fold, wilson, z_of
+from .functions.columns import fold, site_type, strip_extension, strip_suffix, wilson, z_of
 from .operators import intervals, models, reads, significance, sites
 from .plans import standins as s
+from .tables import settled
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -175,7 +176,7 @@ def lift_unique(spark, sf_dir):
     return sites.lift_filter(_lifted(spark, sf_dir), unique=True)
 
 
-@query(f"WITH {s.SITES} SELECT chrom, pos, strand, round(CASE WHEN {_LEVEL} <= 0.5 THEN 2 * {_LEVEL} ELSE 2 * (1 - {_LEVEL}) END, 6) AS folded FROM sites WHERE n_reads > 0")
+@query(f"WITH {s.SITES} SELECT chrom, pos, strand, round(abs(1 - 2 * {_LEVEL}), 6) AS folded FROM sites WHERE n_reads > 0")
 def partial_fold(spark, sf_dir):
     return _r(s.sites(spark, sf_dir).where("n_reads > 0").select("chrom", "pos", "strand", fold(F.col("n_meth") / F.col("n_reads")).alias("folded")))
 
@@ -198,8 +199,7 @@ def bin_size_pass_fraction(spark, sf_dir):
 
 @query(f"WITH {s.COLLAPSED} SELECT chrom, pos, CAST(sum(n_reads) OVER w AS BIGINT) AS reads_upto, CAST(sum(n_meth) OVER w AS BIGINT) AS meth_upto FROM collapsed WINDOW w AS (PARTITION BY chrom ORDER BY pos)")
 def cumulative_coverage(spark, sf_dir):
-    w = Window.partitionBy("chrom").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return s.collapsed(spark, sf_dir).select("chrom", "pos", F.sum("n_reads").over(w).alias("reads_upto"), F.sum("n_meth").over(w).alias("meth_upto"))
+    return sites.cumulative(s.collapsed(spark, sf_dir)).select("chrom", "pos", "reads_upto", "meth_upto")
 
 
 @query(f"""WITH {s.COLLAPSED}, p AS (SELECT a.chrom, a.pos, b.n_reads AS r, b.n_meth AS m, 1 - power((b.pos - a.pos) / 51.0, 2) AS w FROM collapsed a JOIN collapsed b ON a.chrom = b.chrom AND b.pos BETWEEN a.pos - 50 AND a.pos + 50)
@@ -304,7 +304,7 @@ def bh_fdr(spark, sf_dir):
 
 
 @query(f"""WITH {s.TWO_GROUPS}, {_P}, o AS (SELECT p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n FROM p), f AS (SELECT min(p) AS first FROM o WHERE p >= 0.01 * i / n)
-SELECT max(p) AS cutoff FROM p, f WHERE first IS NULL OR p < first""")
+SELECT coalesce(max(first), max(p)) AS cutoff FROM p, f""")
 def stepup_cutoff(spark, sf_dir):
     return significance.stepup_cutoff(_pvalues(spark, sf_dir), 0.01)
 
@@ -401,7 +401,7 @@ def pileup(spark, sf_dir):
     return reads.pileup(s.aligned(spark, sf_dir), s.genome(spark, sf_dir))
 
 
-@query(f"""WITH {_BASES}, {_READS.replace(s.GENOME + ", ", "")}, h AS (SELECT i + 1 AS base, strand, rbase.base AS b FROM rbase JOIN cyt USING (chrom, pos, strand) WHERE rbase.base <> 'N' AND context <> 'CpG'),
+@query(f"""WITH {_BASES}, {_READS.replace(s.GENOME + ", ", "")}, h AS (SELECT i + 1 AS base, strand, rbase.base AS b FROM rbase JOIN cyt USING (chrom, pos, strand) WHERE rbase.base <> 'N' AND context <> 'CpG' AND i < 1000),
 t AS (SELECT base, count(*) FILTER (strand = '+' AND b = 'C') AS p_unconv, count(*) FILTER (strand = '+' AND b = 'T') AS p_conv, count(*) FILTER (strand = '-' AND b = 'C') AS n_unconv, count(*) FILTER (strand = '-' AND b = 'T') AS n_conv, count(*) FILTER (b NOT IN ('C', 'T')) AS errors FROM h GROUP BY base)
 SELECT *, round(p_conv / nullif(p_conv + p_unconv, 0), 6) AS p_rate, round(n_conv / nullif(n_conv + n_unconv, 0), 6) AS n_rate, round((p_conv + n_conv) / nullif(p_conv + n_conv + p_unconv + n_unconv, 0), 6) AS rate, round(errors / nullif(errors + p_conv + n_conv + p_unconv + n_unconv, 0), 6) AS error_rate FROM t""")
 def conversion_by_position(spark, sf_dir):
@@ -473,30 +473,200 @@ def sliding_entropy(spark, sf_dir):
     return _r(reads.entropy(s.epireads(spark, sf_dir)))
 
 
-# -- models: no SQL ------------------------------------------------------------------------------------------
+# -- sites, further --------------------------------------------------------------------------------------------
 
+_SIDES = s.SAMPLES + """, a AS (SELECT chrom, pos // 2 * 2 AS pos, CAST(sum(n_reads) AS BIGINT) AS r, CAST(sum(n_meth) AS BIGINT) AS m FROM samples WHERE sample % 2 = 1 GROUP BY ALL), b AS (SELECT chrom, pos // 2 * 2 AS pos, CAST(sum(n_reads) AS BIGINT) AS r, CAST(sum(n_meth) AS BIGINT) AS m FROM samples WHERE sample % 2 = 0 GROUP BY ALL)"""
 
-@query()
+
+def _sides(spark, sf_dir):
+    t = s.samples(spark, sf_dir).withColumn("pos", F.expr("pos div 2 * 2"))
+    return [t.where(F.col("sample") % 2 == k).groupBy("chrom", "pos").agg(F.sum("n_reads").alias("n_reads"), F.sum("n_meth").alias("n_meth")) for k in (1, 0)]
+
+
+@query(f"WITH {_SIDES} SELECT chrom, pos, a.m AS meth_a, a.r - a.m AS unmeth_a, b.m AS meth_b, b.r - b.m AS unmeth_b FROM a JOIN b USING (chrom, pos) WHERE a.r > 0 AND b.r > 0")
+def paired_sites(spark, sf_dir):
+    return sites.paired(*_sides(spark, sf_dir))
+
+
+@query(f"WITH {_SIDES} SELECT concat_ws(chr(9), chrom, pos, '+', 'CpG', a.m % 7, a.m, a.r - a.m, b.m, b.r - b.m) AS line FROM a JOIN b USING (chrom, pos) WHERE a.r > 0 AND b.r > 0")
+def methdiff_rows(spark, sf_dir):
+    both = sites.paired(*_sides(spark, sf_dir))
+    return sites.methdiff_rows(both.withColumns({"strand": F.lit("+"), "context": F.lit("CpG"), "score": F.col("meth_a") % 7}))
+
+
+@query(f"WITH {s.COLLAPSED} SELECT chrom, pos, n_reads AS r0, n_reads % 5 AS r1, n_meth AS m0, n_meth % 5 AS m1 FROM collapsed")
+def lock_step(spark, sf_dir):
+    t = s.collapsed(spark, sf_dir)
+    other = t.select("chrom", "pos", (F.col("n_reads") % 5).alias("n_reads"), (F.col("n_meth") % 5).alias("n_meth"))
+    return sites.lock_step(t, other).select("chrom", "pos", F.col("reads")[0].alias("r0"), F.col("reads")[1].alias("r1"), F.col("meth")[0].alias("m0"), F.col("meth")[1].alias("m1"))
+
+
+@query(f"WITH {s.SITES} SELECT chrom, greatest(0, (pos + 99) // 100 - 1) AS bin, count(*) AS n, round(least(0.99, greatest(0.01, avg({_LEVEL}))), 6) AS level FROM sites WHERE n_reads > 0 GROUP BY ALL")
+def array_bins(spark, sf_dir):
+    return _r(sites.array_bins(s.sites(spark, sf_dir).where("n_reads > 0").select("chrom", "pos", (F.col("n_meth") / F.col("n_reads")).alias("meth")), 100))
+
+
+@query(f"""WITH {s.SITES}, c AS (SELECT CAST(unnest(range(10, 200, 10)) AS BIGINT) AS size), b AS (SELECT size, chrom, greatest(0, (pos + size - 1) // size - 1) AS bin, sum(n_reads) AS r FROM sites, c GROUP BY ALL HAVING sum(n_reads) > 0),
+x AS (SELECT size, count(*) FILTER (r >= {sites.reads_for_interval(0.8, 1 - 0.8)}) / count(*) AS share FROM b GROUP BY size) SELECT coalesce(min(size) FILTER (share >= 0.999), 200) AS size FROM x""")
+def bin_size(spark, sf_dir):
+    return sites.bin_size(s.sites(spark, sf_dir), 10, 200, 10, share=0.999)
+
+
+@query(_ROI + """SELECT chrom, start, "end", concat_ws(':', name, n_sites, n_covered, n_meth, n_reads) AS name, round(CAST(n_meth AS DOUBLE) / n_reads, 6) AS score FROM f WHERE n_reads > 0""")
+def roi_names(spark, sf_dir):
+    return _r(sites.roi_names(sites.roi_stats(s.sites(spark, sf_dir), s.regions(spark, sf_dir))))
+
+
+@query(f"""WITH {s.CROSSING}, {_UNION} SELECT chrom, start, "end", 'R' || (row_number() OVER (ORDER BY chrom, start) - 1) AS name FROM merged""")
+def numbered_names(spark, sf_dir):
+    return sites.numbered_names(intervals.union(s.crossing(spark, sf_dir)).select("chrom", "start", "end"), "R")
+
+
+@query(f"""WITH {s.CROSSING}, {_UNION}, m AS (SELECT chrom, start, "end", 'R' || start AS name FROM merged), e AS (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY chrom ORDER BY start) > 5 THEN 1 ELSE 0 END AS new FROM m), f AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY start ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT chrom, min(start) AS start, max("end") AS "end", string_agg(name, '' ORDER BY start) AS name FROM f GROUP BY chrom, k""")
+def merge_with_names(spark, sf_dir):
+    r = intervals.union(s.crossing(spark, sf_dir)).select("chrom", "start", "end", F.lit(0).alias("score"), F.concat(F.lit("R"), F.col("start").cast("string")).alias("name"))
+    return intervals.merge_near(r, 5, names=True).select("chrom", "start", "end", "name")
+
+
+@query(f"WITH {s.SAMPLES} SELECT chrom, row_number() OVER (ORDER BY chrom) - 1 AS k FROM (SELECT DISTINCT chrom FROM samples)")
+def chromosome_order(spark, sf_dir):
+    t = s.samples(spark, sf_dir)
+    of = [t.where(F.col("sample") == k).select("chrom", F.substr("chrom", F.lit(4)).cast("int").alias("at")) for k in (1, 2)]
+    return spark.createDataFrame(list(enumerate(sites.chromosome_order(of))), "k long, chrom string").select("chrom", "k")
+
+
+@query(f"""WITH {s.SITES} SELECT count(*) FILTER (context = 'CpG') AS cpg, count(*) FILTER (context IN ('CXG', 'CCG')) AS chg, count(*) FILTER (context <> 'CpG') AS ch, count(*) AS all_sites FROM sites""")
+def site_types(spark, sf_dir):
+    marked = s.sites(spark, sf_dir).withColumn("context", F.concat("context", F.when(F.col("pos") % 2 == 0, "x").otherwise("")))
+    return marked.agg(*[F.sum(site_type(F.col("context"), k).cast("bigint")).alias(n) for k, n in (("CpG", "cpg"), ("CHG", "chg"), ("CH", "ch"), ("all", "all_sites"))])
+
+
+@query(r"""SELECT p_partkey, CASE WHEN length(p_name) > 3 THEN left(p_name, length(p_name) - 3) ELSE p_name END AS stripped, regexp_replace('x' || p_partkey || '.tar.gz', '\.[^.]*$', '') AS base FROM part""")
+def stripped_names(spark, sf_dir):
+    path = F.concat(F.lit("/some/dir.d/x"), F.col("p_partkey").cast("string"), F.lit(".tar.gz"))
+    return s.table(spark, sf_dir, "part").select("p_partkey", strip_suffix(F.col("p_name"), 3).alias("stripped"), strip_extension(path).alias("base"))
+
+
+@query(f"""WITH {s.COLLAPSED}, p AS (SELECT a.chrom, a.pos, a.n_reads, b.pos - a.pos AS d, b.n_reads AS r, b.n_meth AS m, 1 - power((b.pos - a.pos) / 51.0, 2) AS w FROM collapsed a JOIN collapsed b ON a.chrom = b.chrom AND b.pos BETWEEN a.pos - 50 AND a.pos + 50),
+t AS (SELECT chrom, pos, sum(w * r) AS s0, sum(w * r * d) AS s1, sum(w * r * d * d) AS s2, sum(w * m) AS t0, sum(w * m * d) AS t1 FROM p GROUP BY ALL)
+SELECT chrom, pos, round(CASE WHEN abs(s0 * s2 - s1 * s1) > 1e-9 THEN least(1.0, greatest(0.0, (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1))) ELSE t0 / s0 END, 6) AS smooth FROM t""")
+def local_linear(spark, sf_dir):
+    return _r(sites.local_linear(s.collapsed(spark, sf_dir), 50).select("chrom", "pos", "smooth"))
+
+
+# -- reads, further --------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_MAPPED}, c AS (SELECT count(*) AS copies FROM mapped GROUP BY chrom, start, "end", strand)
+SELECT CAST(sum(copies) AS BIGINT) AS reads_in, count(*) AS reads_out, CAST(sum(copies) - count(*) AS BIGINT) AS removed, round((sum(copies) - count(*)) / sum(copies), 6) AS share, round(avg(copies) FILTER (copies > 1), 6) AS copies_of_duplicated FROM c""")
+def dup_rates(spark, sf_dir):
+    return _r(reads.dup_rates(_mapped(spark, sf_dir)))
+
+
+@query(f"""WITH {_ENDS}, {_SAME}, f AS (SELECT * FROM same ORDER BY read LIMIT 50) SELECT count(*) AS n, count(*) FILTER (same > 0.95) AS n_hairpin, round(count(*) FILTER (same > 0.95) / count(*), 6) AS share, count(*) FILTER (same > 0.95) / count(*) > 0.1 AS needed FROM f""")
+def hairpin_check(spark, sf_dir):
+    return _r(reads.hairpin_check(_ends(spark, sf_dir), 50))
+
+
+_PATTERNS = f"""{_BASES}, idx AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS cpg FROM gb WHERE b = 'C' AND a1 = 'G'), {_READS.replace(s.GENOME + ", ", "")},
+st AS (SELECT r.read, r.chrom, i.cpg, CASE WHEN r.base IN ('C', 'T') THEN r.base ELSE 'N' END AS s FROM rbase r JOIN idx i ON i.chrom = r.chrom AND i.pos = r.pos - CASE r.strand WHEN '+' THEN 0 ELSE 1 END),
+er AS (SELECT read, chrom, min(cpg) AS cpg, string_agg(s, '' ORDER BY cpg) AS states FROM st GROUP BY ALL HAVING count(*) FILTER (s <> 'N') > 0)"""
+
+
+@query(f"WITH {_PATTERNS} SELECT * FROM er")
+def read_states(spark, sf_dir):
+    return reads.epireads(s.aligned(spark, sf_dir), s.genome(spark, sf_dir))
+
+
+@query(f"""WITH {_PATTERNS} SELECT a.chrom, start, start + length(seq) AS "end", strand, coalesce(states, '') AS states, count(*) AS n FROM aligned a LEFT JOIN er ON er.read = a.read AND er.chrom = a.chrom GROUP BY ALL""")
+def dedup_patterns(spark, sf_dir):
+    return reads.dedup_patterns(s.aligned(spark, sf_dir), s.genome(spark, sf_dir)).drop("read")
+
+
+_RC = "reverse(translate(seq, 'ACGT', 'TGCA'))"
+
+
+@query(f"WITH {s.RECORDS} SELECT qname, flag, rname, pos, CASE WHEN flag & 16 <> 0 THEN {_RC} ELSE seq END AS seq, CASE WHEN k % 2 = 0 THEN 'NM:i:1,XR:Z:CT,CV:A:T' ELSE 'NM:i:1,XR:Z:GA,CV:A:A' END AS tags FROM records")
+def standardized_bsmap(spark, sf_dir):
+    return reads.standardized(s.records(spark, sf_dir), "bsmap").select("qname", "flag", "rname", "pos", "seq", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {s.RECORDS} SELECT 'r' || k AS qname, flag, rname, pos, CASE WHEN flag & 16 <> 0 THEN {_RC} ELSE seq END AS seq, CASE WHEN k % 2 = 0 THEN 'NM:i:1,CV:A:T' ELSE 'NM:i:1,CV:A:A' END AS tags FROM records")
+def standardized_bismark(spark, sf_dir):
+    return reads.standardized(s.records(spark, sf_dir), "bismark").select("qname", "flag", "rname", "pos", "seq", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"""WITH {s.RECORDS}, std AS (SELECT 'r' || k AS qname, flag, pos, k, CASE WHEN flag & 16 <> 0 THEN {_RC} ELSE seq END AS seq FROM records)
+SELECT qname, CASE WHEN k % 2 = 1 THEN xor(flag, 16) ELSE flag END AS flag, pos, CASE WHEN k % 2 = 1 THEN {_RC} ELSE seq END AS seq, 'NM:i:1,CV:A:T' AS tags FROM std""")
+def conversion_flipped(spark, sf_dir):
+    return reads.conversion_flipped(reads.standardized(s.records(spark, sf_dir), "bismark")).select("qname", "flag", "pos", "seq", F.array_join("tags", ",").alias("tags"))
+
+
+_SECOND = "reverse(translate(reverse(translate(s2, 'ACGT', 'TGCA')), 'ACGT', 'TGCA'))"
+
+
+@query(f"""WITH {s.RECORDS}, g AS (SELECT 'r' || k AS name, pos, other - pos AS head, other + 30 - pos AS size, s1, s2 FROM ends)
+SELECT name AS qname, pos, CASE WHEN head >= 20 THEN 'gap' WHEN head >= 0 THEN 'overlap' ELSE 'dovetail' END AS kind, size,
+  CASE WHEN head = 20 THEN '50M' WHEN head > 20 THEN '20M' || (head - 20) || 'N30M' WHEN head >= 0 THEN (head + 30) || 'M' ELSE least(20, size) || 'M' END AS cigar,
+  CASE WHEN head >= 20 THEN s1 || {_SECOND} WHEN head >= 0 THEN left(s1, CAST(head AS INTEGER)) || {_SECOND} ELSE left(s1, CAST(least(20, size) AS INTEGER)) END AS seq FROM g""")
+def merged_records(spark, sf_dir):
+    std = reads.standardized(s.records(spark, sf_dir), "bismark")
+    return reads.merged_records(std, suffix=0).select("qname", "pos", "kind", F.col("size").cast("bigint").alias("size"), "cigar", "seq")
+
+
+# -- models ----------------------------------------------------------------------------------------------------
+
+_ISLANDS = """SELECT *, sum(CASE WHEN (pos // 40) % 4 = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM {t}"""
+
+
+# the planted domains are what a model that works finds; none of the null's is as long
+@query(f"""WITH {s.PLANTED}, b AS ({_ISLANDS.format(t="planted")}), d AS (SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, round(sum(1 - CAST(n_meth AS DOUBLE) / n_reads), 4) AS score, 0.0 AS p FROM b WHERE (pos // 40) % 4 = 1 GROUP BY chrom, k)
+SELECT *, 'HYPO' || (row_number() OVER (ORDER BY chrom, start) - 1) AS name FROM d""")
 def hmr_domains(spark, sf_dir):
-    return _r(models.hypomethylated_regions(s.collapsed(spark, sf_dir), desert=60), 4)
+    return _r(models.hypomethylated_regions(s.planted(spark, sf_dir), desert=60), 4)
 
 
-@query()
+@query(f"""WITH {s.PLANTED_TWO}, covered AS (SELECT * FROM planted_two WHERE r0 > 0 OR r1 > 0), b AS ({_ISLANDS.format(t="covered")}), d AS (SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, round(sum(CASE WHEN r0 > 0 THEN 1 - CAST(m0 AS DOUBLE) / r0 ELSE 0 END + CASE WHEN r1 > 0 THEN 1 - CAST(m1 AS DOUBLE) / r1 ELSE 0 END) / 2, 4) AS score, 0.0 AS p FROM b WHERE (pos // 40) % 4 = 1 GROUP BY chrom, k)
+SELECT *, 'HYPO' || (row_number() OVER (ORDER BY chrom, start) - 1) AS name FROM d""")
 def hmr_rep_domains(spark, sf_dir):
-    t = s.samples(spark, sf_dir).withColumn("pos", F.expr("pos div 2 * 2"))
-    cell = lambda c, k: F.coalesce(F.sum(F.when(F.col("sample") % 2 == k, F.col(c))), F.lit(0))
-    two = t.groupBy("chrom", "pos").agg(F.array(cell("n_reads", 0), cell("n_reads", 1)).alias("reads"), F.array(cell("n_meth", 0), cell("n_meth", 1)).alias("meth"))
-    return _r(models.hypomethylated_regions(two, desert=60, replicates=2), 4)
+    return _r(models.hypomethylated_regions(s.planted(spark, sf_dir, replicates=True), desert=60, replicates=2), 4)
 
 
-@query()
+def _planted_bins(spark, sf_dir):
+    return s.planted(spark, sf_dir).select("chrom", "pos", "n_reads", "n_meth")
+
+
+@query(f"""WITH {s.PLANTED}, b AS ({_ISLANDS.format(t="planted")}), d AS (SELECT chrom, min(pos) - 2 AS start, max(pos) AS "end", CAST(count(*) AS DOUBLE) AS score, 1 AS n FROM b WHERE (pos // 40) % 4 = 1 GROUP BY chrom, k)
+SELECT *, 'PMD' || (row_number() OVER (ORDER BY chrom, start) - 1) AS name FROM d""")
 def pmd_domains(spark, sf_dir):
-    return _r(models.partial_domains(sites.bins(s.sites(spark, sf_dir), 20), 20), 4)
+    return _r(models.partial_domains(sites.bins(_planted_bins(spark, sf_dir), 2), 2), 4)
+
+
+@query()
+def pmd_boundaries(spark, sf_dir):
+    t = _planted_bins(spark, sf_dir)
+    return _r(models.partial_domains(sites.bins(t, 2), 2, sites=t), 4)
+
+
+@query()
+def pmd_rep_domains(spark, sf_dir):
+    t = s.planted(spark, sf_dir, replicates=True)
+    bin_ = F.greatest(F.lit(0), F.expr("(pos + 1) div 2") - 1)
+    two = t.groupBy("chrom", bin_.alias("bin")).agg(*[F.array(F.sum(F.col(c)[0]), F.sum(F.col(c)[1])).alias(c) for c in ("reads", "meth")])
+    return _r(models.partial_domains(two, 2, replicates=2), 4)
 
 
 @query()
 def hypermr_domains(spark, sf_dir):
-    return _r(models.hyper_domains(s.collapsed(spark, sf_dir), desert=60), 4)
+    return _r(models.hyper_domains(s.planted(spark, sf_dir), desert=60), 4)
+
+
+@query()
+def transition_scores(spark, sf_dir):
+    rows = models.observations(s.planted(spark, sf_dir), 60)
+    model = models.Hmm((0.5, 0.5), ((0.9, 0.1), (0.1, 0.9)), (((2.0, 20.0),), ((20.0, 2.0),)), (0, 1))
+    return _r(models.decode(rows, model).select("chrom", "pos", "into", "out_of"), 4)
 
 
 @query()
@@ -506,19 +676,29 @@ def amr_windows(spark, sf_dir):
 
 @query()
 def amr_regions(spark, sf_dir):
-    return _r(models.amrs(models.amr_windows(s.epireads(spark, sf_dir)).persist()), 4)
+    return _r(models.amrs(models.amr_windows(s.epireads(spark, sf_dir))), 4)
+
+
+def _ordinals(spark, sf_dir):
+    """A place for each CpG ordinal of the stand-in epireads."""
+    reach = s.epireads(spark, sf_dir).groupBy("chrom").agg(F.max(F.col("cpg") + F.length("states")).alias("n"))
+    return reach.select("chrom", F.explode(F.sequence(F.lit(0), F.col("n") + 10)).alias("cpg")).select("chrom", "cpg", (7 * F.col("cpg") + F.col("cpg") % 3).alias("pos"))
 
 
 @query()
-def amr_given_regions(spark, sf_dir):
-    r = s.table(spark, sf_dir, "part").select(F.concat(F.lit("chr"), (F.col("p_partkey") % 3).cast("string")).alias("chrom"), (8 * F.expr("p_partkey div 3")).alias("start"), (8 * F.expr("p_partkey div 3") + 8).alias("end"))
-    return _r(models.amr_test(s.epireads(spark, sf_dir), r), 4)
+def amr_base_pairs(spark, sf_dir):
+    return _r(models.amr_regions(models.amr_windows(s.epireads(spark, sf_dir)), _ordinals(spark, sf_dir), gap=100), 4)
+
 
+@query(f"""WITH {s.EPIREADS} SELECT chrom, 7 * cpg + cpg % 3 AS start, 7 * (cpg + length(states)) + (cpg + length(states)) % 3 AS "end", states FROM epireads""")
+def ordinals_to_base_pairs(spark, sf_dir):
+    r = s.epireads(spark, sf_dir).select("chrom", F.col("cpg").alias("start"), (F.col("cpg") + F.length("states")).alias("end"), "states")
+    return models.to_base_pairs(r, _ordinals(spark, sf_dir))
 
 @query()
-def pmd_boundaries(spark, sf_dir):
-    t = s.sites(spark, sf_dir)
-    return _r(models.partial_domains(sites.bins(t, 20), 20, sites=t), 4)
+def amr_given_regions(spark, sf_dir):
+    r = s.table(spark, sf_dir, "part").select(F.concat(F.lit("chr"), (F.col("p_partkey") % 3).cast("string")).alias("chrom"), (8 * F.expr("p_partkey div 3")).alias("start"), (8 * F.expr("p_partkey div 3") + 8).alias("end"))
+    return _r(models.amr_test(s.epireads(spark, sf_dir), r), 4)
 
 
 @query(f"""WITH {s.BASES}, m AS (SELECT read // 2 AS pair, 'g' AS chrom, read % 2 * 50 + read % 7 AS start, seq FROM bases), p AS (SELECT pair, count(*) AS k FROM m GROUP BY pair)
@@ -531,8 +711,7 @@ def mate_merge_counts(spark, sf_dir):
 
 @query(f"""WITH {s.COLLAPSED} SELECT chrom, pos, n_reads, n_meth, CASE WHEN lag(chrom) OVER w IS NOT NULL THEN pos - lag(pos) OVER w END AS gap FROM collapsed WINDOW w AS (PARTITION BY chrom ORDER BY pos)""")
 def site_distances(spark, sf_dir):
-    w = Window.partitionBy("chrom").orderBy("pos")
-    return s.collapsed(spark, sf_dir).withColumn("gap", F.col("pos") - F.lag("pos").over(w)).select("chrom", "pos", "n_reads", "n_meth", "gap")
+    return sites.distances(s.collapsed(spark, sf_dir)).select("chrom", "pos", "n_reads", "n_meth", "gap")
 
 
 def _designed(spark, sf_dir):
@@ -548,14 +727,75 @@ def regression_pvalues(spark, sf_dir):
 
 @query()
 def adjusted_pvalues(spark, sf_dir):
-    rows = _designed(spark, sf_dir).select("chrom", "pos", "p").cache()
+    rows = settled(_designed(spark, sf_dir).select("chrom", "pos", "p"))
     corr = significance.distance_correlation(rows.where("p >= 0"), significance.probit(1 - F.col("p")), 1, 41, 10)
     return _r(significance.adjusted(rows, corr, 40, 10).select("combined_p", "chrom", "pos", "p", "q"), 4)
 
 
-@query()
+_TOL = "1e-10"
+
+
+def _snap(x: str) -> str:
+    return f"CASE WHEN {x} <= 2 * {_TOL} THEN 0.0 WHEN {x} >= 1 - 2 * {_TOL} THEN 1.0 ELSE {x} END"
+
+
+def _apart(value: str, a: str, b: str) -> str:
+    z, n = z_of(0.05), f"({a} + {b})"
+    p = f"({a} / {n})"
+    half = f"{z!r} * sqrt({p} * (1 - {p}) / {n} + {z * z!r} / (4 * {n} * {n}))"
+    mid, scale = f"({p} + {z * z!r} / (2 * {n}))", f"(1 + {z * z!r} / {n})"
+    return f"CASE WHEN {n} > 0 AND {value} < least(1.0, ({mid} + {half}) / {scale}) AND {value} > greatest(0.0, ({mid} - {half}) / {scale}) THEN 0 ELSE 1 END"
+
+
+# expectation-maximisation as a recursive query
+@query(f"""WITH RECURSIVE {s.ASSAYS}, c AS (SELECT *, (h + g > 0)::INT + (t + u > 0)::INT + (m + l > 0)::INT > 1 AS enough, h + g > 0 AND t + u > 0 AND m + l > 0 AND h / nullif(h + g, 0) + m / nullif(m + l, 0) + u / nullif(t + u, 0) = 1 AS sure FROM assays),
+s0 AS (SELECT *, m / (m + l + {_TOL}) + {_TOL} AS a, h / (h + g + {_TOL}) + {_TOL} AS b, u / (t + u + {_TOL}) + {_TOL} AS d FROM c WHERE enough AND NOT sure),
+em AS (SELECT chrom, pos, h, g, t, u, m, l, a / (a + b + d) AS p, b / (a + b + d) AS q, 0 AS k, 1.0::DOUBLE AS moved FROM s0
+  UNION ALL SELECT chrom, pos, h, g, t, u, m, l, p2, greatest({_TOL}, least(q1, 1 - {_TOL} - p2)), k + 1, greatest(abs(p2 - p), abs(greatest({_TOL}, least(q1, 1 - {_TOL} - p2)) - q)) FROM (
+    SELECT *, greatest({_TOL}, least(p1, 1 - 2 * {_TOL})) AS p2, (h + t - ot) / (h + u + t - ot + g - og) * (1 - p1) AS q1 FROM (
+      SELECT *, (m + ot + og) / (h + g + t + u + m + l) AS p1 FROM (SELECT *, t * p / (p + q) AS ot, g * p / (1 - q) AS og FROM em WHERE moved > {_TOL} AND k <= 500)))),
+f AS (SELECT chrom, pos, arg_max(p, k) AS p, arg_max(q, k) AS q FROM em GROUP BY chrom, pos), r AS (SELECT c.*, {_snap("f.p")} AS pm, {_snap("f.q")} AS ph, {_snap("(1 - f.p - f.q)")} AS pu FROM c JOIN f USING (chrom, pos))
+SELECT chrom, pos, round(pm, 4) AS pm, round(ph, 4) AS ph, round(pu, 4) AS pu, CAST({_apart("ph", "h", "g")} + {_apart("pm", "m", "l")} + {_apart("pu", "u", "t")} AS BIGINT) AS conflicts FROM r
+UNION ALL SELECT chrom, pos, CASE WHEN sure THEN round(m / (m + l), 4) END, CASE WHEN sure THEN round(h / (h + g), 4) END, CASE WHEN sure THEN round(u / (t + u), 4) END, CASE WHEN sure THEN 0 END FROM c WHERE NOT enough OR sure""")
 def mlml_levels(spark, sf_dir):
-    t = s.samples(spark, sf_dir).withColumn("pos", F.expr("pos div 2 * 2")).withColumn("assay", F.col("sample") % 3)
-    cell = lambda k, x: F.coalesce(F.sum(F.when(F.col("assay") == k, x)), F.lit(0)).cast("double")
-    m, u = F.col("n_meth"), F.col("n_reads") - F.col("n_meth")
-    return _r(models.joint_levels(t.groupBy("chrom", "pos").agg(cell(0, m).alias("h"), cell(0, u).alias("g"), cell(1, m).alias("u"), cell(1, u).alias("t"), cell(2, m).alias("m"), cell(2, u).alias("l"))), 4)
+    return _r(models.joint_levels(s.assays(spark, sf_dir)), 4)
+
+
+def _two_sql(x: str, y: str, v: str, w: str, names: tuple) -> str:
+    """SQL of joint_levels_two(): names are the shares of the first assay, the second, and the rest."""
+    return f"""WITH RECURSIVE {s.ASSAYS}, c AS (SELECT chrom, pos, {x} AS x, {y} AS y, {v} AS v, {w} AS w, {x} + {y} > 0 AND {v} + {w} > 0 AS enough FROM assays),
+d AS (SELECT *, CASE WHEN enough THEN x / (x + y) END AS a, CASE WHEN enough THEN v / (v + w) END AS b FROM c), s0 AS (SELECT *, {_TOL} + a AS p0, {_TOL} + b AS q0 FROM d WHERE a + b > 1),
+s1 AS (SELECT *, greatest({_TOL}, (1 - {_TOL}) * p0 / (p0 + q0)) AS p FROM s0),
+em AS (SELECT chrom, pos, x, y, v, w, p, greatest({_TOL}, 1 - p - {_TOL}) AS q, 0 AS k, 1.0::DOUBLE AS moved FROM s1
+  UNION ALL SELECT chrom, pos, x, y, v, w, p2, greatest({_TOL}, least(q1, 1 - {_TOL} - p2)), k + 1, greatest(abs(p2 - p), abs(greatest({_TOL}, least(q1, 1 - {_TOL} - p2)) - q)) FROM (
+    SELECT *, greatest({_TOL}, least(x / (x + y - e) * (1 - q1), 1 - 2 * {_TOL})) AS p2 FROM (SELECT *, (v + e) / (x + y + v + w) AS q1 FROM (SELECT *, y * q / (1 - p) AS e FROM em WHERE moved > {_TOL} AND k <= 500)))),
+f AS (SELECT chrom, pos, arg_max(p, k) AS p, arg_max(q, k) AS q FROM em GROUP BY chrom, pos),
+r AS (SELECT d.*, {_snap("f.p")} AS {names[0]}, {_snap("f.q")} AS {names[1]}, {_snap("(1 - f.p - f.q)")} AS {names[2]} FROM d JOIN f USING (chrom, pos)),
+o AS (SELECT chrom, pos, pm, ph, pu, {_apart(names[0], "x", "y")} + {_apart(names[1], "v", "w")} AS conflicts FROM r
+  UNION ALL SELECT chrom, pos, pm, ph, pu, CASE WHEN enough THEN 0 END FROM (SELECT *, a AS {names[0]}, b AS {names[1]}, 1 - a - b AS {names[2]} FROM d WHERE NOT enough OR a + b <= 1))
+SELECT chrom, pos, round(pm, 4) + 0.0 AS pm, round(ph, 4) + 0.0 AS ph, round(pu, 4) + 0.0 AS pu, CAST(conflicts AS BIGINT) AS conflicts FROM o"""
+
+
+@query(_two_sql("h", "g", "u", "t", ("ph", "pu", "pm")))
+def mlml_tab_bisulfite(spark, sf_dir):
+    return _r(models.joint_levels_two(s.assays(spark, sf_dir), "oxidative"), 4)
+
+
+@query(_two_sql("u", "t", "m", "l", ("pu", "pm", "ph")))
+def mlml_bisulfite_oxidative(spark, sf_dir):
+    return _r(models.joint_levels_two(s.assays(spark, sf_dir), "tab"), 4)
+
+
+@query(_two_sql("m", "l", "h", "g", ("pm", "ph", "pu")))
+def mlml_oxidative_tab(spark, sf_dir):
+    return _r(models.joint_levels_two(s.assays(spark, sf_dir), "bisulfite"), 4)
+
+
+@query(f"""WITH {s.TWO_GROUPS}, k AS (SELECT *, unnest(range(greatest(0, meth_a - unmeth_b), least(meth_a + unmeth_a, meth_a + meth_b) + 1)) AS j FROM two_groups),
+w AS (SELECT chrom, pos, meth_a, unmeth_a, {_lc('(meth_a + unmeth_a)', 'j')} + {_lc('(meth_b + unmeth_b)', '(meth_a + meth_b - j)')} AS l, {_lc('(meth_a + unmeth_a)', 'meth_a')} + {_lc('(meth_b + unmeth_b)', 'meth_b')} AS h, {_lc('(meth_a + unmeth_a + meth_b + unmeth_b)', '(meth_a + meth_b)')} AS t FROM k),
+f AS (SELECT chrom, pos, meth_a AS n_meth, meth_a + unmeth_a AS n_reads, least(1.0, sum(exp(l - t)) FILTER (l <= h + 1e-9)) AS p FROM w GROUP BY ALL) SELECT chrom, pos, round(p, 6) AS p, round({_LOW}, 6) AS low, round({_HIGH}, 6) AS high FROM f""")
+def fisher_sql(spark, sf_dir):
+    """The kernels from SQL."""
+    significance.register(spark)
+    s.two_groups(spark, sf_dir).createOrReplaceTempView("two_groups_of_sites")
+    return _r(spark.sql(f"SELECT chrom, pos, fisher_2x2(meth_a, unmeth_a, meth_b, unmeth_b) AS p, wilson_lo(meth_a, meth_a + unmeth_a, {_Z!r}) AS low, wilson_hi(meth_a, meth_a + unmeth_a, {_Z!r}) AS high FROM two_groups_of_sites"))
