@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import RUN, Rolling, as_bytes, bucket_of, buckets, chunks, get_array, lean, lower, merged, mixed, pack, pack_counts, put_array, scratch, unpack, unpack_counts, words, written
+from .shared import RUN, Opened, Rolling, as_bytes, bucket_of, buckets, chunks, get_array, lean, lower, merged, mixed, pack, pack_counts, put_array, scratch, small_batches, unpack, unpack_counts, words, written
 
 RANGE = 1 << 18
 _SENT = "b int, keys binary, counts binary"
@@ -61,7 +61,7 @@ class _Words:
     """Ids of word hashes, and their counts."""
 
     def __init__(self, path: str, n: int):
-        self.path, self.n, self.open = path, n, {}
+        self.n, self.open = n, Opened(path)
         self.offsets = get_array(f"{path}/offsets.npy")
 
     def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +71,7 @@ class _Words:
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             if self.offsets[b] == self.offsets[b + 1]:
                 continue
-            if b not in self.open:
-                self.open[b] = get_array(f"{self.path}/words-{b}.npy"), get_array(f"{self.path}/counts-{b}.npy")
-            known, count = self.open[b]
+            known, count = self.open(f"words-{b}"), self.open(f"counts-{b}")
             asked = hashes[cuts[b] : cuts[b + 1]]
             at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
             hit = known[at] == asked
@@ -104,7 +102,7 @@ class _Pairs:
     """Counts of pairs of ids."""
 
     def __init__(self, path: str, n: int):
-        self.path, self.n, self.open = path, n, {}
+        self.n, self.open = n, Opened(path)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
@@ -112,14 +110,9 @@ class _Pairs:
         order = np.argsort(of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(self.n + 1))
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            if b not in self.open:
-                try:
-                    self.open[b] = get_array(f"{self.path}/pairs-{b}.npy"), get_array(f"{self.path}/pair-counts-{b}.npy")
-                except FileNotFoundError:  # no pair fell into this bucket
-                    self.open[b] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            known, count = self.open[b]
+            known, count = self.open(f"pairs-{b}"), self.open(f"pair-counts-{b}")
             at_rows = order[cuts[b] : cuts[b + 1]]
-            if len(known):
+            if known is not None and len(known):
                 asked = keys[at_rows]
                 at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
                 out[at_rows] = np.where(known[at] == asked, count[at], 0)
@@ -130,20 +123,16 @@ class _ById:
     """Rows of numbers by id."""
 
     def __init__(self, path: str, name: str, width: int):
-        self.path, self.name, self.width, self.open = path, name, width, {}
+        self.name, self.width, self.open = name, width, Opened(path)
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
         """Of sorted ids."""
         out = np.zeros((len(ids), self.width), np.int64)
         for r in np.unique(ids // RANGE).tolist():
-            if r not in self.open:
-                try:
-                    self.open[r] = get_array(f"{self.path}/{self.name}-{r}.npy")
-                except FileNotFoundError:
-                    self.open[r] = None
+            rows = self.open(f"{self.name}-{r}")
             at = slice(*np.searchsorted(ids, [r * RANGE, (r + 1) * RANGE]))
-            if self.open[r] is not None:
-                out[at] = self.open[r][ids[at] - r * RANGE]
+            if rows is not None:
+                out[at] = rows[ids[at] - r * RANGE]
         return out
 
 
@@ -194,13 +183,16 @@ def train(docs: DataFrame) -> Model:
             distinct, total = len(keys), int(counts.sum())
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([distinct], pa.int64()), pa.array([total], pa.int64())], names=["b", "n", "total"])
 
-    found = texts.mapInArrow(count_words, _SENT).groupBy("b").applyInArrow(store_words, "b int, n long, total long").collect()
+    with small_batches(spark):
+        found = texts.mapInArrow(count_words, _SENT).groupBy("b").applyInArrow(store_words, "b int, n long, total long").collect()
     sizes = np.zeros(n, np.int64)
     for r in found:
         if r.b >= 0:
             sizes[r.b] = r.n
     documents = sum(r.total for r in found if r.b < 0)
     end = int(sizes.sum())
+    if end >= (1 << 32) - 1:
+        raise ValueError("ids of more than 2^32 words do not fit a pair's 64 bits")
     put_array(f"{path}/offsets.npy", np.concatenate([[0], np.cumsum(sizes)]))
 
     def count_pairs(batches):
@@ -321,4 +313,4 @@ def held_out(rest: int = 2, of: int = 7) -> Column:
 def score_documents(docs: DataFrame) -> DataFrame:
     """Trains on the documents that are not held out and scores all."""
     model = train(docs.where(~held_out()))
-    return score(docs, model, [held_out()]).withColumnRenamed("extra0", "held_out")
+    return written(score(docs, model, [held_out()]).withColumnRenamed("extra0", "held_out"), f"{model.path}/scores")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, scratch, written
+from .shared import as_bytes, buckets, scratch, written
 
 WIDTH, SHARD = 192, 128 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -187,7 +187,7 @@ def features(places: DataFrame, path: str) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height, shard, offset.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height, digest, shard, offset, length.
 
     Null and empty texts: one row of spaces. Equal payloads are stored once for a task at least and pointed to as one.
     Repeated rows: a row each. Columns other than doc_id and text are not read.
@@ -198,9 +198,11 @@ def media_columns(docs: DataFrame) -> DataFrame:
     rows = written(pack(docs, shards), f"{root}/rows")
     places = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.shard", "at.offset", "at.length")
     probed = written(probe(places, shards), f"{root}/places")
-    told = features(probed.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), shards)
-    known = told.join(probed.select("digest", "shard", "offset"), "digest")
-    return rows.select("doc_id", "n_bytes", "digest").join(known, "digest").drop("digest")
+    # a task for each few megabytes of media, however small the rows that name them
+    tasks = buckets(docs, each=8 << 20, least=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    told = written(features(probed.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset"), shards), f"{root}/features")
+    known = told.join(probed.select("digest", "shard", "offset", "length"), "digest")
+    return rows.select("doc_id", "n_bytes", "digest").join(known, "digest")
 
 
 def members(path: str) -> list[str]:
