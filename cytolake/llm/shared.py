@@ -178,7 +178,7 @@ def stored(rows: DataFrame, n: int, path: str) -> None:
         put_array(f"{path}/{key[0].as_py()}.npy", np.stack([table[c].to_numpy()[order] for c in names]))
         yield pa.RecordBatch.from_arrays([pa.array([len(order)], pa.int64())], names=["n"])
 
-    summed(rows.withColumn("b", bucket_column(F.col(names[0]), n)).groupBy("b").applyInArrow(store, "n long"), "n")
+    summed(rows.withColumn("__bucket", bucket_column(F.col(names[0]), n)).groupBy("__bucket").applyInArrow(store, "n long"), "n")
 
 
 def buckets(df: DataFrame, each: int = 16 << 20, least: int = 64, most: int = 1 << 16) -> int:
