@@ -34,10 +34,10 @@ def pieces(genome: DataFrame, size: int = PIECE) -> DataFrame:
     return whole.select("chrom", F.inline(F.transform(F.sequence(F.lit(0), F.expr(f"cast((octet_length(seq) - 1) div {size} as int)")), cut)))
 
 
-def genome_bases(genome: DataFrame, size: int = 256) -> DataFrame:
+def genome_bases(genome: DataFrame, chunk: int = 256) -> DataFrame:
     """chrom, pos, base with its neighbours (b2, b1 before; a1, a2 after; null past the ends). Letters are cut from short binary pieces, which takes no counting."""
-    p = pieces(genome, size)
-    size = size if "piece" not in genome.columns else PIECE
+    p = pieces(genome, chunk)
+    size = chunk if "piece" not in genome.columns else PIECE
     own = F.least(F.lit(size), F.octet_length("seq") - F.col("before"))
     at = p.select("chrom", "piece", "before", "seq", F.explode(F.sequence(F.lit(0), own - 1)).alias("i"))
     place = lambda k: F.col("i") + F.col("before") + k
