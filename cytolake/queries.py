@@ -20,7 +20,7 @@ SAMPLES = (1, 2, 3, 4, 5, 6, 7)
 
 
 def _r(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded."""
+    """Doubles rounded. Values that may lie on a half of the last place are rounded to ten places before, here and in the SQL."""
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -366,9 +366,9 @@ def pair_state_table(spark, sf_dir):
 
 @query(f"""WITH {_PAIRS}, k AS (SELECT *, unnest(range(greatest(0, cc - tt), least(cc + ct, cc + tc) + 1)) AS j FROM pairs),
 w AS (SELECT chrom, cpg, cc, ct, tc, tt, {_lc('(cc + ct)', 'j')} + {_lc('(tc + tt)', '(cc + tc - j)')} AS l, {_lc('(cc + ct)', 'cc')} + {_lc('(tc + tt)', 'tc')} AS h, {_lc('(cc + ct + tc + tt)', '(cc + tc)')} AS t FROM k)
-SELECT chrom, cpg, cc, ct, tc, tt, round(least(1.0, sum(exp(l - t)) FILTER (l <= h + 1e-9)), 6) AS p FROM w GROUP BY ALL""")
+SELECT chrom, cpg, cc, ct, tc, tt, round(round(least(1.0, sum(exp(l - t)) FILTER (l <= h + 1e-9)), 10), 6) AS p FROM w GROUP BY ALL""")
 def fisher_pairs(spark, sf_dir):
-    return _r(reads.pair_states(s.epireads(spark, sf_dir)).withColumn("p", significance.fisher("cc", "ct", "tc", "tt")))
+    return _r(_r(reads.pair_states(s.epireads(spark, sf_dir)).withColumn("p", significance.fisher("cc", "ct", "tc", "tt")), 10))
 
 
 _BASES = s.GENOME + """, g AS (SELECT chrom, seq, unnest(range(0, length(seq))) AS pos FROM genome),
@@ -621,13 +621,13 @@ _ISLANDS = """SELECT *, sum(CASE WHEN (pos // 40) % 4 = 1 THEN 0 ELSE 1 END) OVE
 
 
 # the planted domains are what a model that works finds; none of the null's is as long
-@query(f"""WITH {s.PLANTED}, b AS ({_ISLANDS.format(t="planted")}), d AS (SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, round(sum(1 - CAST(n_meth AS DOUBLE) / n_reads), 4) AS score, 0.0 AS p FROM b WHERE (pos // 40) % 4 = 1 GROUP BY chrom, k)
+@query(f"""WITH {s.PLANTED}, b AS ({_ISLANDS.format(t="planted")}), d AS (SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, round(sum(1 - CAST(n_meth AS DOUBLE) / n_reads), 4) AS score, CAST(0 AS DOUBLE) AS p FROM b WHERE (pos // 40) % 4 = 1 GROUP BY chrom, k)
 SELECT *, 'HYPO' || (row_number() OVER (ORDER BY chrom, start) - 1) AS name FROM d""")
 def hmr_domains(spark, sf_dir):
     return _r(models.hypomethylated_regions(s.planted(spark, sf_dir), desert=60), 4)
 
 
-@query(f"""WITH {s.PLANTED_TWO}, covered AS (SELECT * FROM planted_two WHERE r0 > 0 OR r1 > 0), b AS ({_ISLANDS.format(t="covered")}), d AS (SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, round(sum(CASE WHEN r0 > 0 THEN 1 - CAST(m0 AS DOUBLE) / r0 ELSE 0 END + CASE WHEN r1 > 0 THEN 1 - CAST(m1 AS DOUBLE) / r1 ELSE 0 END) / 2, 4) AS score, 0.0 AS p FROM b WHERE (pos // 40) % 4 = 1 GROUP BY chrom, k)
+@query(f"""WITH {s.PLANTED_TWO}, covered AS (SELECT * FROM planted_two WHERE r0 > 0 OR r1 > 0), b AS ({_ISLANDS.format(t="covered")}), d AS (SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, round(sum(CASE WHEN r0 > 0 THEN 1 - CAST(m0 AS DOUBLE) / r0 ELSE 0 END + CASE WHEN r1 > 0 THEN 1 - CAST(m1 AS DOUBLE) / r1 ELSE 0 END) / 2, 4) AS score, CAST(0 AS DOUBLE) AS p FROM b WHERE (pos // 40) % 4 = 1 GROUP BY chrom, k)
 SELECT *, 'HYPO' || (row_number() OVER (ORDER BY chrom, start) - 1) AS name FROM d""")
 def hmr_rep_domains(spark, sf_dir):
     return _r(models.hypomethylated_regions(s.planted(spark, sf_dir, replicates=True), desert=60, replicates=2), 4)
@@ -793,9 +793,9 @@ def mlml_oxidative_tab(spark, sf_dir):
 
 @query(f"""WITH {s.TWO_GROUPS}, k AS (SELECT *, unnest(range(greatest(0, meth_a - unmeth_b), least(meth_a + unmeth_a, meth_a + meth_b) + 1)) AS j FROM two_groups),
 w AS (SELECT chrom, pos, meth_a, unmeth_a, {_lc('(meth_a + unmeth_a)', 'j')} + {_lc('(meth_b + unmeth_b)', '(meth_a + meth_b - j)')} AS l, {_lc('(meth_a + unmeth_a)', 'meth_a')} + {_lc('(meth_b + unmeth_b)', 'meth_b')} AS h, {_lc('(meth_a + unmeth_a + meth_b + unmeth_b)', '(meth_a + meth_b)')} AS t FROM k),
-f AS (SELECT chrom, pos, meth_a AS n_meth, meth_a + unmeth_a AS n_reads, least(1.0, sum(exp(l - t)) FILTER (l <= h + 1e-9)) AS p FROM w GROUP BY ALL) SELECT chrom, pos, round(p, 6) AS p, round({_LOW}, 6) AS low, round({_HIGH}, 6) AS high FROM f""")
+f AS (SELECT chrom, pos, meth_a AS n_meth, meth_a + unmeth_a AS n_reads, least(1.0, sum(exp(l - t)) FILTER (l <= h + 1e-9)) AS p FROM w GROUP BY ALL) SELECT chrom, pos, round(round(p, 10), 6) AS p, round(round({_LOW}, 10), 6) AS low, round(round({_HIGH}, 10), 6) AS high FROM f""")
 def fisher_sql(spark, sf_dir):
     """The kernels from SQL."""
     significance.register(spark)
     s.two_groups(spark, sf_dir).createOrReplaceTempView("two_groups_of_sites")
-    return _r(spark.sql(f"SELECT chrom, pos, fisher_2x2(meth_a, unmeth_a, meth_b, unmeth_b) AS p, wilson_lo(meth_a, meth_a + unmeth_a, {_Z!r}) AS low, wilson_hi(meth_a, meth_a + unmeth_a, {_Z!r}) AS high FROM two_groups_of_sites"))
+    return _r(_r(spark.sql(f"SELECT chrom, pos, fisher_2x2(meth_a, unmeth_a, meth_b, unmeth_b) AS p, wilson_lo(meth_a, meth_a + unmeth_a, {_Z!r}) AS low, wilson_hi(meth_a, meth_a + unmeth_a, {_Z!r}) AS high FROM two_groups_of_sites"), 10))
