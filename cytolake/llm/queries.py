@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kneserney, media, mixing, pii, positive, rules, simhash, suffixes, tries
+from . import bpe, kneserney, media, mixing, periodic, pii, positive, rules, simhash, suffixes, tries
+from .shared import scratch, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +52,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_token_counts, op4_pii_surrogates, op5_kneser_ney, op6_media_columns, op7_quality_rules, op8_source_mix, op9_quality_classifier, op10_byte_bpe)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, some with looping tails (periodic.with_loops), and the digest of what is left. Null and empty texts have no runs; repeated rows stay; an empty table gives no rows."""
+    docs = periodic.with_loops(_table(spark, sf_dir, "documents"))
+    return written(periodic.run_columns(periodic.collapse_runs(docs)), scratch(spark, "periodic") + "/documents")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_token_counts, op4_pii_surrogates, op5_kneser_ney, op6_media_columns, op7_quality_rules, op8_source_mix, op9_quality_classifier, op10_byte_bpe, op11_periodic_runs)}
 ORACLE: dict[str, str] = {}
