@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kneserney, media, mixing, periodic, pii, positive, rules, simhash, suffixes, tries
+from . import bpe, kneserney, manifest, media, mixing, periodic, pii, positive, records, rules, simhash, suffixes, tries
 from .shared import scratch, written
 
 
@@ -58,5 +58,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(periodic.run_columns(periodic.collapse_runs(docs)), scratch(spark, "periodic") + "/documents")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_token_counts, op4_pii_surrogates, op5_kneser_ney, op6_media_columns, op7_quality_rules, op8_source_mix, op9_quality_classifier, op10_byte_bpe, op11_periodic_runs)}
-ORACLE: dict[str, str] = {}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's leaf, proof and what follows from a row that may be tampered with. Nulls are told from empty values; repeated rows are leaves of their own; an empty table gives no rows."""
+    return manifest.check_manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text as records in shards, read back. Null and empty texts are the end id alone; repeated rows are records of their own; an empty table gives no rows."""
+    return records.token_records(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_token_counts, op4_pii_surrogates, op5_kneser_ney, op6_media_columns, op7_quality_rules, op8_source_mix, op9_quality_classifier, op10_byte_bpe, op11_periodic_runs, op12_merkle_manifest, op13_token_records)}
+ORACLE = {"op12_merkle_manifest": manifest.SQL}
