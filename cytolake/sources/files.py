@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges
+from .ranges import approximate_lines, chromosome_sizes, genome_chunks, read_genome  # noqa: F401
+
 SITES = "chrom string, pos bigint, strand string, context string, meth double, n_reads bigint"
 REGIONS = "chrom string, start bigint, end bigint, name string, score double, strand string"
 EPIREADS = "chrom string, cpg bigint, states string"
@@ -55,9 +58,8 @@ def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, value: each file's lines with their numbers, whatever the partitioning. Files are read whole: split large ones."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "value"))
+    """file, line, value: each file's lines with their numbers, whatever the partitioning. Files are read by ranges."""
+    return ranges.numbered_lines(spark, path)
 
 
 def read_liftover(spark: SparkSession, path: str) -> DataFrame:
@@ -67,12 +69,8 @@ def read_liftover(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """idx, name, seq, qual: records of four lines; the name ends at the first space; a record without @ fails."""
-    rows = numbered(spark, path).withColumn("idx", F.expr("line div 4"))
-    at = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
-    out = rows.groupBy("file", "idx").agg(at(0).alias("head"), at(1).alias("seq"), at(3).alias("qual"))
-    out = out.where(F.when(~F.col("head").startswith("@"), F.raise_error(F.lit("no @ at a record's start")).cast("boolean")).otherwise(F.lit(True)))
-    return out.select("idx", F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), "seq", "qual")
+    """idx, name, seq, qual: records of four lines; the name ends at the first space; a record without @ fails. Files are read by ranges."""
+    return ranges.fastq_records(spark, path).drop("file")
 
 
 def read_fastq_pairs(spark: SparkSession, one: str, two: str, suffix: int = 1) -> DataFrame:
@@ -83,12 +81,9 @@ def read_fastq_pairs(spark: SparkSession, one: str, two: str, suffix: int = 1) -
     return both.where(F.when(head("read") != head("other"), F.raise_error(F.lit("mates' names differ")).cast("boolean")).otherwise(F.lit(True))).select("read", "seq1", "seq2")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, seq; the name ends at the first space."""
-    rows = numbered(spark, path).withColumn("head", F.col("value").startswith(">"))
-    w = Window.partitionBy("file").orderBy("line")
-    named = rows.withColumn("chrom", F.last(F.when(F.col("head"), F.regexp_extract("value", r"^>(\S*)", 1)), ignorenulls=True).over(w)).where("not head")
-    lines = named.groupBy("file", "chrom").agg(F.array_sort(F.collect_list(F.struct("line", F.trim("value").alias("s")))).alias("l"))
+def read_fasta(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """chrom, seq: whole sequences, for short ones; read_genome() has pieces of long ones. The name ends at the first space; names that come twice fail."""
+    lines = genome_chunks(spark, path, suffix).groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("start", F.col("seq").cast("string").alias("s")))).alias("l"))
     return lines.select("chrom", F.array_join("l.s", "").alias("seq"))
 
 
@@ -144,8 +139,3 @@ def read_conversion(spark: SparkSession, path: str) -> DataFrame:
 
 def write_tabs(df: DataFrame, path: str, gzip: bool = False) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", compression="gzip" if gzip else "none")
-
-
-def approximate_lines(spark: SparkSession, path: str, share: float = 0.01, seed: int = 1) -> float:
-    """Lines of text files by a sample; exact counts of columnar files need no sample."""
-    return spark.read.text(path).sample(share, seed).count() / share
