@@ -86,10 +86,11 @@ class SamWriter(DataSourceArrowWriter):
         self.path, self.header, self.overwrite = options["path"].rstrip("/"), options.get("header", ""), overwrite
         self.one = options.get("one_file", "false") == "true"
         self.hidden = f"{self.path}.writing-{uuid.uuid4().hex}"
+        system, at = opened(self.hidden)
+        system.create_dir(at, recursive=True)  # here and not by tasks, so that one which outlives the job finds no place to write to
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
         system, at = opened(self.hidden)
-        system.create_dir(at, recursive=True)
         task = TaskContext.get()
         name = f"{at}/{task.partitionId():08d}-{task.taskAttemptId()}"
         with system.open_output_stream(name) as out:
@@ -102,7 +103,6 @@ class SamWriter(DataSourceArrowWriter):
         system, at = opened(self.path)
         hidden = opened(self.hidden)[1]
         parts = [m.file for m in sorted((m for m in messages if m), key=lambda m: m.task)]
-        system.create_dir(hidden, recursive=True)
         head = f"{hidden}/header"
         with system.open_output_stream(head) as out:
             out.write(self.header.encode())
