@@ -3,7 +3,7 @@
 A shard is a sequence of frames: the payload's length (8 bytes), the length's masked checksum (4), the payload, and the
 payload's masked checksum (4); all little-endian. The frame is that of the TFRecord format, but its checksum is CRC-32 (zlib's) instead
 of CRC-32C; it is masked likewise, rotated by 15 bits and added to a constant, as a checksum of bytes that hold checksums is weak.
-A payload is doc_id (8 bytes, signed), whether there is one (1 byte), and the ids (4 bytes each).
+A payload is doc_id (8 bytes, signed), whether there is one (1 byte), the bytes of an id (1 byte: 2 or 4), and the ids.
 
 Rows are dealt to tasks by ranges of doc_id, so shards in their order hold ascending documents. A shard is written as a
 stream and belongs to one attempt of a task; only those of the attempts that are kept are named by the index. The index is
@@ -12,6 +12,9 @@ a table beside the shards: where each record is, and how many ids all records be
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -31,10 +34,10 @@ from .shared import as_bytes, buckets, dropped, scratch, written
 END = 0
 #: Bytes of frames after which a task begins another shard.
 SHARD = 256 << 20
-#: Bytes of text that are encoded in one call.
-CALL = 1 << 20
+#: Stretches of text that a worker remembers.
+PIECES = 250_000
 _MASK = 0xA282EAD8
-_HEAD, _FOOT, _DOC = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<q?")
+_HEAD, _FOOT, _DOC = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<q?B")
 
 
 # -- frames --------------------------------------------------------------------------------------------------------
@@ -77,13 +80,15 @@ def frames(stream) -> Iterator[bytes]:
         yield unframe(head + stream.read(size + _FOOT.size))
 
 
-def to_payload(doc_id: int | None, ids: np.ndarray) -> bytes:
-    return _DOC.pack(doc_id or 0, doc_id is not None) + ids.astype("<u4").tobytes()
+def to_payload(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    """ids: packed, `width` bytes each."""
+    return _DOC.pack(doc_id or 0, doc_id is not None, width) + ids
 
 
 def from_payload(payload: bytes) -> tuple[int | None, np.ndarray]:
-    doc_id, there = _DOC.unpack_from(payload)
-    return (doc_id if there else None), np.frombuffer(payload, "<u4", offset=_DOC.size)
+    """doc_id, and the ids as little-endian unsigned 32-bit integers."""
+    doc_id, there, width = _DOC.unpack_from(payload)
+    return (doc_id if there else None), np.frombuffer(payload, f"<u{width}", offset=_DOC.size).astype("<u4")
 
 
 # -- shards --------------------------------------------------------------------------------------------------------
@@ -131,40 +136,70 @@ class _Reader:
         return self.open[shard].read_at(length, offset)
 
 
-class _Encoder:
-    """Texts to ids by a file of the tokenizers library."""
+#: Characters that some library or other takes for white space.
+_BLANK = "\\s\u180e\u200b-\u200f\ufeff"
 
-    _made: dict[str, _Encoder] = {}
+
+def cuttable(path: str) -> bool:
+    """Whether a text may be cut before a space that follows something else than white space, without a change of its ids: byte-level merges within the matches of the usual pattern, and no added token that has spaces or takes those around it."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    split, model = made.get("pre_tokenizer") or {}, made["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    own = model.get("type") == "BPE" and not model.get("dropout") and not any(made.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
+    return plain and own and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(f"[{_BLANK}]", a["content"]) for a in made["added_tokens"])
+
+
+class _Pieces(dict):
+    """Stretches of text to their packed ids, each encoded by the library when first met; bounded. `spaced` holds them by what stands after their first space."""
+
+    def __init__(self, encode, before: str = ""):
+        self.encode, self.before = encode, before
+        if not before:
+            self.spaced = _Pieces(encode, " ")
+
+    def __missing__(self, stretch: str) -> bytes:
+        packed = self.encode(self.before + stretch)
+        if len(self) >= PIECES:
+            self.clear()
+        if len(stretch) < 64:
+            self[stretch] = packed
+        return packed
+
+
+class Encoder:
+    """Texts to packed ids by a file of the tokenizers library: 2 bytes an id where the vocabulary allows it, else 4."""
+
+    _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are what runs side by side
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.pieces = _Pieces(self.whole) if cuttable(path) else None
+        self.loose = re.compile(f"[{_BLANK}] ").search
+        self.cut = re.compile(f"(?<=[^{_BLANK}])(?= )").split
 
     @classmethod
-    def of(cls, path: str) -> _Encoder:
+    def of(cls, path: str) -> Encoder:
         """One for each worker."""
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are what runs side by side
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, a call for each CALL bytes or a longer text."""
-        some, size = [], 0
-        for text in texts:
-            if some and size + len(text) > CALL:
-                yield from self._encoded(some)
-                some, size = [], 0
-            some.append(text)
-            size += len(text)
-        yield from self._encoded(some)
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, np.uint32)
+    def __call__(self, text: str) -> bytes:
+        """No match of the pattern goes on past a space after something else than white space: where the tokenizer lets a text be cut there, what stands between two cuts is encoded once."""
+        if self.pieces is None:
+            return self.whole(text)
+        if self.loose(text):
+            return b"".join(map(self.pieces.__getitem__, self.cut(text)))
+        first, *others = text.split(" ")
+        return self.pieces[first] + b"".join(map(self.pieces.spaced.__getitem__, others))
 
 
 def default_tokenizer() -> str:
@@ -191,15 +226,16 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     tokenizer, shards = tokenizer or default_tokenizer(), f"{path}/shards"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out = _Encoder.of(tokenizer), _Shards(shards, shard)
-        last = np.array([] if end is None else [end], np.uint32)
+        encode, out = Encoder.of(tokenizer), _Shards(shards, shard)
+        width = encode.kind.itemsize
+        last = b"" if end is None else np.array([end], encode.kind).tobytes()
         try:
             for batch in batches:
                 rows = []
-                texts = [raw.as_py().decode("utf-8", "replace") for raw in batch["data"]]
-                for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(texts)):
-                    data = frame(to_payload(doc_id, np.concatenate([ids, last])))
-                    rows.append((doc_id, *out.add(data), len(data), len(ids) + len(last)))
+                for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["data"]):
+                    ids = encode(raw.as_py().decode("utf-8", "replace")) + last
+                    data = frame(to_payload(doc_id, ids, width))
+                    rows.append((doc_id, *out.add(data), len(data), len(ids) // width))
                 yield _batch(rows, _WRITTEN)
         finally:
             out.close()

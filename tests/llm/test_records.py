@@ -1,12 +1,15 @@
 """Records against the tokenizers library, damaged files, and reads in another order."""
 
 import io
+import json
 import os
 import random
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from cytolake.llm import queries, records
@@ -59,13 +62,33 @@ def test_test_tables(spark):
     assert got == _expected(spark.read.parquet(f"{d}/documents.parquet").collect())
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "é", " ", "  ", "\n", "\t", "\x1f", "\xa0", "\u3000", "\u200b", "\u180e", "\ufeff", "\u2028", "'s", "'", "1", "word", "<|endoftext|>", "ﷺ", "😀", "-", "\x85"]), max_size=30).map("".join))
+def test_cut_texts(text):
+    """A text in pieces has the ids of the whole text."""
+    encode = records.Encoder.of(records.default_tokenizer())
+    assert encode.pieces is not None
+    assert encode(text) == encode.whole(text)
+
+
+def test_tokenizers_that_take_no_cuts(tmp_path):
+    """Others are given whole texts."""
+    other = os.path.join(os.path.dirname(records.default_tokenizer()), "word_bpe_49k.json")
+    assert not records.cuttable(other) and records.Encoder(other)("Some Text") == records.Encoder(other).whole("Some Text")
+    made = json.load(open(records.default_tokenizer()))
+    for change in ({"pre_tokenizer": made["pre_tokenizer"] | {"add_prefix_space": True}}, {"normalizer": {"type": "NFC"}}, {"added_tokens": [made["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "t.json").write_text(json.dumps(made | change))
+        assert not records.cuttable(str(tmp_path / "t.json"))
+
+
 def test_frames():
-    payload = records.to_payload(-5, np.array([1, 2**32 - 1], np.uint32))
+    payload = records.to_payload(-5, np.array([1, 2**32 - 1], "<u4").tobytes(), 4)
     whole = records.frame(payload)
     assert records.unframe(whole) == payload
     doc_id, ids = records.from_payload(payload)
     assert doc_id == -5 and ids.tolist() == [1, 2**32 - 1]
-    assert records.from_payload(records.to_payload(None, np.array([], np.uint32)))[0] is None
+    doc_id, ids = records.from_payload(records.to_payload(None, b"\1\0\2\1", 2))
+    assert doc_id is None and ids.tolist() == [1, 258] and ids.dtype == "<u4"
     for k in range(len(whole)):
         with pytest.raises(ValueError):
             records.unframe(whole[:k] + bytes([whole[k] ^ 4]) + whole[k + 1 :])
@@ -80,7 +103,7 @@ def test_frames():
 def test_shards_without_the_index_and_shuffled_reads(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     path = f"file://{tmp_path}/out"
-    index = records.write_records(docs, path, end=None, shard=20_000)
+    index = records.write_records(docs, path, end=None, shard=8_000)
     told = [tuple(r) for r in records.read_records(records.in_file_order(index), path, keep_ids=True).select("doc_id", "start", "n_tokens", "ids").orderBy("start", "n_tokens", "doc_id").collect()]
     assert [r[1] for r in told] == [sum(x[2] for x in told[:k]) for k in range(len(told))]
     assert sorted(str((r[0], r[1], r[2], zlib.crc32(np.array(r[3], "<u4").tobytes()))) for r in told if r[2]) == [x for x in _expected(docs.collect(), end=False) if ", 0, 0)" not in x]
