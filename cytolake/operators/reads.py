@@ -339,6 +339,19 @@ def _joined(ops: Column) -> Column:
     return F.array_join(F.transform(one, lambda o: F.concat(o["n"].cast("string"), o["op"])), "")
 
 
+def mates_by_name(records: DataFrame, suffix: int = 1) -> DataFrame:
+    """name (without its suffix), rname and r: what merged_groups() takes of the standardised records of one name."""
+    from ..functions.columns import strip_suffix
+
+    named = records.withColumn("name", strip_suffix(F.col("qname"), suffix))
+    return named.groupBy("name", "rname").agg(F.collect_list(mate_fields()).alias("r"))
+
+
+def mate_fields() -> Column:
+    """What merging needs of a record."""
+    return F.struct(_rc().alias("rc"), F.col("pos").cast("bigint").alias("pos"), "flag", "qname", "rnext", F.col("pnext").cast("bigint").alias("pnext"), "cigar", "seq", "tags")
+
+
 def merged_records(records: DataFrame, suffix: int = 1, longest: int = 10000) -> DataFrame:
     """Standardised records with mates made to one fragment: qname (without its suffix), flag, rname, pos, cigar, seq, tags, kind, size.
 
@@ -347,11 +360,13 @@ def merged_records(records: DataFrame, suffix: int = 1, longest: int = 10000) ->
     the right one ends) or single. A fragment is kept if its size is positive and below `longest`; else both ends stay single. A name
     with more or fewer than two records stays as it is.
     """
-    from ..functions.columns import strip_suffix
+    return merged_groups(mates_by_name(records, suffix), longest)
+
 
-    r = records.withColumn("name", strip_suffix(F.col("qname"), suffix))
-    both = r.groupBy("name", "rname").agg(F.array_sort(F.collect_list(F.struct(_rc().alias("rc"), F.col("pos").cast("bigint").alias("pos"), "flag", "qname", "rnext", F.col("pnext").cast("bigint").alias("pnext"), "cigar", "seq", "tags"))).alias("r"))
-    a, b = F.col("r")[0], F.col("r")[1]
+def merged_groups(groups: DataFrame, longest: int = 10000) -> DataFrame:
+    """merged_records() of the records of each name: name, rname, r (mate_fields(), in any order)."""
+    both = groups.withColumn("r", F.array_sort("r"))
+    a, b = F.get("r", 0), F.get("r", 1)
     ends = lambda x, y, bit: (x["flag"].bitwiseAND(F.lit(bit)) != 0) != (y["flag"].bitwiseAND(F.lit(bit)) != 0)
     mates = (F.size("r") == 2) & ((a["rnext"] == "=") & (b["rnext"] == "=") | (a["rnext"] == b["qname"])) & (a["pnext"] == b["pos"]) & (b["pnext"] == a["pos"]) & ends(a, b, 64) & ends(a, b, 128)
     one, two = cigar_ops(a["cigar"]), cigar_ops(b["cigar"])
@@ -366,9 +381,9 @@ def merged_records(records: DataFrame, suffix: int = 1, longest: int = 10000) ->
     cut = F.substr(a["seq"], F.lit(1), _size(F.col("left"), "MIS=X"))
     cigar = F.when(F.col("kind") == "gap", _joined(F.filter(gap, lambda o: o["n"] > 0))).when(F.col("kind") == "overlap", _joined(F.concat("left", "two"))).otherwise(_joined(F.col("left")))
     seq = F.when(F.col("kind") == "gap", F.concat(a["seq"], revcomp(b["seq"]))).when(F.col("kind") == "overlap", F.concat(cut, revcomp(b["seq"]))).otherwise(cut)
-    whole = t.where("kind <> 'single'").select(F.col("name").alias("qname"), a["flag"].alias("flag"), "rname", a["pos"].alias("pos"), cigar.alias("cigar"), seq.alias("seq"), a["tags"].alias("tags"), "kind", "size")
-    single = t.where("kind = 'single'").select("rname", F.explode("r").alias("x")).select("x.qname", "x.flag", "rname", "x.pos", "x.cigar", "x.seq", "x.tags", F.lit("single").alias("kind"), _size(cigar_ops(F.col("x.cigar")), "MDN=X").cast("bigint").alias("size"))
-    return whole.unionByName(single)
+    whole = F.struct(F.col("name").alias("qname"), a["flag"].alias("flag"), "rname", a["pos"].alias("pos"), cigar.alias("cigar"), seq.alias("seq"), a["tags"].alias("tags"), "kind", "size")
+    own = lambda x: F.struct(*[x[c].alias(c) for c in ("qname", "flag")], "rname", *[x[c].alias(c) for c in ("pos", "cigar", "seq", "tags")], F.lit("single").alias("kind"), _size(cigar_ops(x["cigar"]), "MDN=X").cast("bigint").alias("size"))
+    return t.select(F.inline(F.when(F.col("kind") != "single", F.array(whole)).otherwise(F.transform("r", own))))
 
 
 def merge_mates(reads: DataFrame, suffix: int = 1, longest: int = 10000) -> DataFrame:
