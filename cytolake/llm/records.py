@@ -16,8 +16,10 @@ import json
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -34,8 +36,8 @@ from .shared import as_bytes, buckets, dropped, scratch, written
 END = 0
 #: Bytes of frames after which a task begins another shard.
 SHARD = 256 << 20
-#: Stretches of text that a worker remembers.
-PIECES = 250_000
+#: Bytes, about, of the stretches of text of each generation that a worker remembers.
+PIECES = 40 << 20
 _MASK = 0xA282EAD8
 _HEAD, _FOOT, _DOC = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<q?B")
 
@@ -150,21 +152,26 @@ def cuttable(path: str) -> bool:
     return plain and own and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(f"[{_BLANK}]", a["content"]) for a in made["added_tokens"])
 
 
-class _Pieces(dict):
-    """Stretches of text to their packed ids, each encoded by the library when first met; bounded. `spaced` holds them by what stands after their first space."""
+class _Known:
+    """Packed ids of stretches of text, in two generations: once the younger one is full it becomes the older one, and what is asked for again becomes young again."""
 
-    def __init__(self, encode, before: str = ""):
-        self.encode, self.before = encode, before
-        if not before:
-            self.spaced = _Pieces(encode, " ")
+    def __init__(self):
+        self.young, self.old, self.size = {}, {}, 0
 
-    def __missing__(self, stretch: str) -> bytes:
-        packed = self.encode(self.before + stretch)
-        if len(self) >= PIECES:
-            self.clear()
-        if len(stretch) < 64:
-            self[stretch] = packed
-        return packed
+    def aged(self) -> None:
+        if self.size > PIECES:
+            self.young, self.old, self.size = {}, self.young, 0
+
+    def missing(self, stretches: set[str]) -> set[str]:
+        """Those that are in no generation. The others are young now."""
+        lost = stretches - self.young.keys()
+        for s in lost & self.old.keys():
+            self.add(s, self.old[s])
+        return lost - self.old.keys()
+
+    def add(self, stretch: str, packed: bytes) -> None:
+        self.young[stretch] = packed
+        self.size += len(stretch) + 100
 
 
 class Encoder:
@@ -177,10 +184,15 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are what runs side by side
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces = _Pieces(self.whole) if cuttable(path) else None
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        self.cuts = cuttable(path)
+        self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain, self.spaced = _Known(), _Known()
         self.loose = re.compile(f"[{_BLANK}] ").search
         self.cut = re.compile(f"(?<=[^{_BLANK}])(?= )").split
+        # a match also ends between a letter and another sign, and after a line end that is the only white space
+        self.fine = re.compile(f"(?<=[A-Za-z])(?=[!-@\\[-`{{-~\n])|(?<=[^{_BLANK}]\n)(?=[^{_BLANK}])").split
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -189,17 +201,50 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """No match of the pattern goes on past a space after something else than white space: where the tokenizer lets a text be cut there, what stands between two cuts is encoded once."""
-        if self.pieces is None:
-            return self.whole(text)
-        if self.loose(text):
-            return b"".join(map(self.pieces.__getitem__, self.cut(text)))
-        first, *others = text.split(" ")
-        return self.pieces[first] + b"".join(map(self.pieces.spaced.__getitem__, others))
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """As the library has them."""
+        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pack(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """No match of the pattern goes on past a space after something else than white space: where the tokenizer lets texts be cut there, what stands between two cuts is encoded once."""
+        if not self.cuts:
+            return self.whole(texts)
+        cut: list[tuple[bytes | None, list[str], list[str]]] = []  # what is whole; first parts; parts that have lost a space before them
+        for text in texts:
+            if any(a in text for a in self.added):
+                cut.append((self.whole([text])[0], [], []))
+            elif self.loose(text):
+                cut.append((b"", self.cut(text), []))
+            else:
+                first, *others = text.split(" ")
+                cut.append((b"", [first], others))
+        self.learn(set().union(*(x[1] for x in cut)), set().union(*(x[2] for x in cut)))
+        plain, spaced = self.plain.young.__getitem__, self.spaced.young.__getitem__
+        return [done + b"".join(map(plain, some)) + b"".join(map(spaced, others)) for done, some, others in cut]
+
+    def learn(self, plain: set[str], spaced: set[str]) -> None:
+        """Makes stretches known, of which some have a space before them. Those with several matches are put together from parts that are known too."""
+        self.plain.aged()
+        self.spaced.aged()
+        plain, spaced = self.plain.missing(plain), self.spaced.missing(spaced)
+        made = [(s, " ", self.fine(" " + s)) for s in spaced] + [(s, "", self.fine(s)) for s in plain]
+        several = [x for x in made if len(x[2]) > 1]
+        more_spaced = self.spaced.missing({parts[0][1:] for _, before, parts in several if before})
+        more_plain = self.plain.missing({p for _, before, parts in several for p in parts[len(before) :]})
+        one_spaced = list(more_spaced | {s for s, before, parts in made if before and len(parts) == 1})
+        one_plain = list(more_plain | {s for s, before, parts in made if not before and len(parts) == 1})
+        for known, new, packed in ((self.spaced, one_spaced, self.whole([" " + s for s in one_spaced])), (self.plain, one_plain, self.whole(one_plain))):
+            for s, p in zip(new, packed):
+                known.add(s, p)
+        for s, before, parts in several:
+            first = self.spaced.young[parts[0][1:]] if before else self.plain.young[parts[0]]
+            (self.spaced if before else self.plain).add(s, first + b"".join(map(self.plain.young.__getitem__, parts[1:])))
 
 
 def default_tokenizer() -> str:
@@ -227,15 +272,14 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out = Encoder.of(tokenizer), _Shards(shards, shard)
-        width = encode.kind.itemsize
-        last = b"" if end is None else np.array([end], encode.kind).tobytes()
+        last = b"" if end is None else encode.pack([end])
         try:
             for batch in batches:
                 rows = []
-                for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["data"]):
-                    ids = encode(raw.as_py().decode("utf-8", "replace")) + last
-                    data = frame(to_payload(doc_id, ids, width))
-                    rows.append((doc_id, *out.add(data), len(data), len(ids) // width))
+                texts = [raw.as_py().decode("utf-8", "replace") for raw in batch["data"]]
+                for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(texts)):
+                    data = frame(to_payload(doc_id, ids + last, encode.width))
+                    rows.append((doc_id, *out.add(data), len(data), len(ids + last) // encode.width))
                 yield _batch(rows, _WRITTEN)
         finally:
             out.close()

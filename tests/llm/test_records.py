@@ -62,19 +62,28 @@ def test_test_tables(spark):
     assert got == _expected(spark.read.parquet(f"{d}/documents.parquet").collect())
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.lists(st.sampled_from(["a", "é", " ", "  ", "\n", "\t", "\x1f", "\xa0", "\u3000", "\u200b", "\u180e", "\ufeff", "\u2028", "'s", "'", "1", "word", "<|endoftext|>", "ﷺ", "😀", "-", "\x85"]), max_size=30).map("".join))
 def test_cut_texts(text):
     """A text in pieces has the ids of the whole text."""
     encode = records.Encoder.of(records.default_tokenizer())
-    assert encode.pieces is not None
-    assert encode(text) == encode.whole(text)
+    assert encode.cuts
+    assert encode([text, text[1:]]) == encode.whole([text, text[1:]])
+
+
+def test_forgotten_stretches(monkeypatch):
+    """Generations that are full at once change nothing."""
+    monkeypatch.setattr(records, "PIECES", 300)
+    encode, r = records.Encoder(records.default_tokenizer()), random.Random(4)
+    for _ in range(200):
+        text = "".join(r.choice(["a", "b c", ", ", ".\n", " it's", " 12", "\n\n", "  "]) for _ in range(r.randint(0, 20)))
+        assert encode([text]) == encode.whole([text])
 
 
 def test_tokenizers_that_take_no_cuts(tmp_path):
     """Others are given whole texts."""
     other = os.path.join(os.path.dirname(records.default_tokenizer()), "word_bpe_49k.json")
-    assert not records.cuttable(other) and records.Encoder(other)("Some Text") == records.Encoder(other).whole("Some Text")
+    assert not records.cuttable(other) and records.Encoder(other)(["Some Text"]) == records.Encoder(other).whole(["Some Text"])
     made = json.load(open(records.default_tokenizer()))
     for change in ({"pre_tokenizer": made["pre_tokenizer"] | {"add_prefix_space": True}}, {"normalizer": {"type": "NFC"}}, {"added_tokens": [made["added_tokens"][0] | {"lstrip": True}]}):
         (tmp_path / "t.json").write_text(json.dumps(made | change))
