@@ -140,6 +140,8 @@ class _Reader:
 
 #: Characters that some library or other takes for white space.
 _BLANK = "\\s\u180e\u200b-\u200f\ufeff"
+#: Signs at a word's end that no letter's match takes in.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def cuttable(path: str) -> bool:
@@ -233,18 +235,35 @@ class Encoder:
         self.plain.aged()
         self.spaced.aged()
         plain, spaced = self.plain.missing(plain), self.spaced.missing(spaced)
-        made = [(s, " ", self.fine(" " + s)) for s in spaced] + [(s, "", self.fine(s)) for s in plain]
-        several = [x for x in made if len(x[2]) > 1]
-        more_spaced = self.spaced.missing({parts[0][1:] for _, before, parts in several if before})
-        more_plain = self.plain.missing({p for _, before, parts in several for p in parts[len(before) :]})
-        one_spaced = list(more_spaced | {s for s, before, parts in made if before and len(parts) == 1})
-        one_plain = list(more_plain | {s for s, before, parts in made if not before and len(parts) == 1})
+        one_spaced, more_spaced = self.parts(spaced, " ")
+        one_plain, more_plain = self.parts(plain, "")
+        one_spaced += self.spaced.missing({parts[0][1:] for parts in more_spaced.values()}.difference(one_spaced))
+        others = {p for parts in more_spaced.values() for p in parts[1:]}.union(*more_plain.values())
+        one_plain += self.plain.missing(others.difference(one_plain))
         for known, new, packed in ((self.spaced, one_spaced, self.whole([" " + s for s in one_spaced])), (self.plain, one_plain, self.whole(one_plain))):
             for s, p in zip(new, packed):
                 known.add(s, p)
-        for s, before, parts in several:
-            first = self.spaced.young[parts[0][1:]] if before else self.plain.young[parts[0]]
-            (self.spaced if before else self.plain).add(s, first + b"".join(map(self.plain.young.__getitem__, parts[1:])))
+        of = self.plain.young.__getitem__
+        for s, parts in more_spaced.items():
+            self.spaced.add(s, self.spaced.young[parts[0][1:]] + b"".join(map(of, parts[1:])))
+        for s, parts in more_plain.items():
+            self.plain.add(s, b"".join(map(of, parts)))
+
+    def parts(self, stretches: set[str], before: str) -> tuple[list[str], dict[str, list[str]]]:
+        """Those that are one part, and the parts of the others, with what stands before them."""
+        one, more = [], {}
+        for s in stretches:
+            if s.isalpha():
+                one.append(s)
+                continue
+            word = s.rstrip(_SIGNS)  # most of the others: a word, and signs after it
+            if word != s and word.isalpha() and word[-1].isascii():
+                more[s] = [before + word, s[len(word) :]]
+            elif len(parts := self.fine(before + s)) > 1:
+                more[s] = parts
+            else:
+                one.append(s)
+        return one, more
 
 
 def default_tokenizer() -> str:
