@@ -1,10 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule. DataFrame operations only.
 
-Slots take one block of tokens each. Slot k's point, the fractional part of k times the golden ratio, falls into one
-source's share of the cumulative targets. Slots are ranked per source, so that rank r takes block r of the source,
-beginning again after the last: a source's documents, shuffled by a hash, are laid end to end and cut into blocks of equal
-tokens. A source takes slots until its target is met to the word; the few slots by which the points fall short of that
-are added at the end. Ranks and running sums are made in two steps, within parts of bounded size and over the parts'
+A source's documents, shuffled by a hash, are laid end to end in a circle of words. There are as many slots as blocks of BLOCK
+words make up all targets. Slot k's point, the fractional part of k times the golden ratio, falls into one source's share of the
+cumulative targets. Slots are ranked per source, and rank r takes the r-th block of the source's circle. So a source
+gets as many blocks as points fall to it, which is within a few of its target, whatever the number of slots; only what would go beyond
+`most` rounds of a circle is left. Ranks and running sums are made in two steps, within parts of bounded size and over the parts'
 sums, so that a source with a third of all rows is not one task's.
 """
 
@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from .shared import WORD, scratch, written
 
-BLOCK = 256
+#: Words of a block.
+BLOCK = 32
 GOLDEN = 0.6180339887498949
 #: Rows of a part of a source.
 PART = 4096
 WEIGHTS = (5, 2, 1)
+#: How often a source's words may be taken.
+MOST = 3
 
 
 def sized(text: str):
@@ -37,7 +40,7 @@ def sizes(docs: DataFrame, seed: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sized("text").alias("size"), shuffled(seed).alias("order"))
 
 
-def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: int = 3) -> DataFrame:
+def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """s (0, 1, ... by source's code points, null last), source, source_size, n_docs, weight, target. A row for each source.
 
     A target is the source's weighted share of all words, but at most `most` times the source's words; what that leaves
@@ -73,82 +76,95 @@ def laid_out(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return within.join(before, ["s", "part"]).select("doc_id", "source", "size", "s", "part", "order", "row", (F.col("before") + F.col("within")).alias("start"))
 
 
-def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
-    """slot, s, rank, epoch, block, tokens: in the order of slot, which source's block comes next and how much of it is taken."""
+def schedule(goals: DataFrame, block: int = BLOCK, step: float = GOLDEN) -> DataFrame:
+    """slot, s, part: which source's block comes next. Point k is the fractional part of k times `step`."""
     spark = goals.sparkSession
-    words = F.round("target").cast("long")
-    fact = goals.where("source_size > 0").select("s", "source_size", words.alias("quota"), F.ceil(F.col("source_size") / block).cast("long").alias("blocks"), "target")
-    fact = fact.withColumn("epochs", F.expr("quota div source_size")).withColumn("rest", F.expr("quota % source_size"))
-    fact = fact.withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block).cast("long"))
+    fact = goals.where("target > 0")
     upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    fact = fact.withColumn("high", F.sum("slots").over(upto) / F.sum("slots").over(Window.partitionBy())).withColumn("low", F.lag("high", 1, 0.0).over(Window.orderBy("s")))
-    total, sources = fact.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count(F.lit(1))).first()
+    fact = fact.select("s", (F.sum("target").over(upto) / F.sum("target").over(Window.partitionBy())).alias("high"))
+    last = F.lead("s").over(Window.orderBy("s")).isNull()
+    fact = fact.withColumn("low", F.lag("high", 1, 0.0).over(Window.orderBy("s"))).withColumn("high", F.when(last, 1.0).otherwise(F.col("high")))
+    words, sources = goals.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count(F.lit(1))).first()
+    total = round(words / block)
     cells = 1024 + 4 * sources  # shares are found by cell, so that neither side needs to be small
     n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART + 1))
-    step = (GOLDEN * (1 << 20)) % 1  # in two steps, so that large numbers keep their digits
-    points = spark.range(0, total, 1, n).select(F.col("id").alias("slot"), F.pmod(F.expr(f"id div {1 << 20}") * step + F.col("id") % (1 << 20) * GOLDEN, F.lit(1.0)).alias("point"))
+    far = (step * (1 << 20)) % 1  # in two steps, so that large numbers keep their digits
+    points = spark.range(0, total, 1, n).select(F.col("id").alias("slot"), F.pmod(F.expr(f"id div {1 << 20}") * far + F.col("id") % (1 << 20) * step, F.lit(1.0)).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") * cells))
-    shares = fact.where("slots > 0").select("s", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells), F.floor(F.col("high") * cells))).alias("cell"))
-    falls = points.join(shares, "cell").where("point >= low and point < high").select("slot", "s", F.expr(f"slot div {PART}").alias("part"))
-    counts = falls.groupBy("s", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = falls.withColumn("within", F.row_number().over(Window.partitionBy("s", "part").orderBy("slot"))).join(before.drop("n"), ["s", "part"])
-    ranked = ranked.select("slot", "s", (F.col("before") + F.col("within") - 1).alias("rank"))
-    got = counts.groupBy("s").agg(F.sum("n").alias("got"))
-    short = fact.join(got, "s", "left").where(F.coalesce("got", F.lit(0)) < F.col("slots"))
-    added = short.select("s", F.explode(F.sequence(F.coalesce("got", F.lit(0)), F.col("slots") - 1)).alias("rank")).select((F.lit(total) + F.col("rank")).alias("slot"), "s", "rank")
-    slots = ranked.unionByName(added).join(fact.drop("low", "high", "target"), "s").where(F.col("rank") < F.col("slots"))
-    slots = slots.withColumn("epoch", F.expr("rank div blocks")).withColumn("block", F.expr("rank % blocks"))
-    end = F.when(F.col("epoch") == F.col("epochs"), F.col("rest")).otherwise(F.col("source_size"))
-    return slots.select("slot", "s", "rank", "epoch", "block", F.least(F.lit(block), end - F.col("block") * block).alias("tokens"))
-
-
-def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of laid_out() cut at block borders: s, block, at (in the block), length, and the row's part and row. Rows without words have none."""
-    last = F.expr(f"(start + size - 1) div {block}")
-    cut = rows.where("size > 0").select("s", "part", "row", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), last)).alias("block"))
-    low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    return cut.select("s", "part", "row", "block", (low - F.col("block") * block).alias("at"), (high - low).alias("length"))
-
-
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The laid out rows with their `taken` words and the goals' columns, the schedule, and the pieces that its blocks consist of.
-
-    Null texts and texts without words have size 0 and are never taken; a source of such only has target 0. Rows with
-    equal doc_id, source and size may change places; each is a row of its own. Empty tables give empty results.
+    shares = fact.select("s", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells), F.floor(F.col("high") * cells))).alias("cell"))
+    return points.join(shares, "cell").where("point >= low and point < high").select("slot", "s", F.expr(f"slot div {PART}").alias("part"))
+
+
+def ranked(slots: DataFrame) -> DataFrame:
+    """slot, s, rank: the place of each slot among its source's."""
+    counts = slots.groupBy("s", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("s", "part", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("s", "part").orderBy("slot"))
+    return slots.withColumn("within", within).join(before, ["s", "part"]).select("slot", "s", (F.col("before") + F.col("within") - 1).alias("rank"))
+
+
+def quotas(goals: DataFrame, slots: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
+    """Adds words, what a source's slots take, and epochs and rest: whole rounds of its words, and how many more."""
+    got = slots.groupBy("s").agg(F.count(F.lit(1)).alias("slots"))
+    words = F.least(F.coalesce("slots", F.lit(0)) * block, F.col("source_size") * most)
+    out = goals.join(got, "s", "left").withColumn("words", words).drop("slots")
+    size = F.greatest(F.col("source_size"), F.lit(1))
+    return out.withColumn("epochs", F.floor(F.col("words") / size).cast("long")).withColumn("rest", F.col("words") % size)
+
+
+def _held(epoch, column: str = "size"):
+    """How many of a row's words are taken in a round of its source: all, those before the place where the last round ends, or none."""
+    rest = F.least(F.col(column), F.greatest(F.col("rest") - F.col("start"), F.lit(0)))
+    return F.when(epoch < F.col("epochs"), F.col(column)).when(epoch == F.col("epochs"), rest).otherwise(F.lit(0))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed: int = 1, step: float = GOLDEN) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_slot, n_slots of every row.
+
+    taken: the words that the row's blocks take, repeats counted; first_slot: the first slot whose block has some of its words,
+    null if none has; n_slots: how many have. Null texts and texts without words have size 0 and are never taken; a source of such
+    only has target 0. Rows with equal doc_id, source and text may change places; each is a row of its own. Empty tables give
+    empty results.
     """
     root = scratch(docs.sparkSession, "mixing")
     sized = written(sizes(docs, seed), f"{root}/sizes")
     goals = written(targets(sized, weights), f"{root}/targets")
-    rows = written(laid_out(sized, goals), f"{root}/rows")
-    plan = written(schedule(goals, block), f"{root}/schedule")
-    cut = pieces(rows, block)
-    # a block's slots: how often it is taken, and how much of it each time
-    words = cut.join(plan.select("s", "block", "tokens"), ["s", "block"]).select("s", "part", "row", F.least("length", F.greatest(F.col("tokens") - F.col("at"), F.lit(0))).alias("words"))
-    taken = words.groupBy("s", "part", "row").agg(F.sum("words").alias("taken"))
-    out = rows.join(taken, ["s", "part", "row"], "left").join(goals.select("s", "source_size", "target"), "s").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return out, plan, cut
+    slots = written(schedule(goals, block, step), f"{root}/slots")
+    per = quotas(goals, slots, block).select("s", "source_size", "target", "epochs", "rest")
+    rows = laid_out(sized, goals).join(per, "s")
+    rounds = F.sequence(F.lit(0), F.least(F.col("epochs"), F.lit(MOST)))
+    begins = lambda e: e * F.col("source_size") + F.col("start")
+    some = lambda e: _held(e) > 0
+    taken = F.aggregate(rounds, F.lit(0).cast("long"), lambda a, e: a + _held(e))
+    touched = lambda e: F.floor((begins(e) + _held(e) - 1) / block) - F.floor(begins(e) / block) + 1
+    n_slots = F.aggregate(F.filter(rounds, some), F.lit(0).cast("long"), lambda a, e: a + touched(e))
+    # the last block of one round may be the first of the next
+    n_slots = n_slots - F.size(F.filter(rounds, lambda e: (e > 0) & some(e) & (F.floor(begins(e) / block) == F.floor((begins(e - 1) + F.col("size") - 1) / block))))
+    rows = rows.withColumns({"taken": taken, "n_slots": n_slots.cast("long")})
+    rows = rows.withColumn("rank", F.when(F.col("taken") > 0, F.floor(F.col("start") / block)))
+    first = ranked(slots).withColumnRenamed("slot", "first_slot")
+    return rows.join(first, ["s", "rank"], "left").select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row."""
-    return mix(docs, weights)[0].select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken, first_slot, n_slots of every row; see mix()."""
+    return mix(docs, weights).drop("source")
 
 
-def repeated_documents(docs: DataFrame, weights: tuple = WEIGHTS, seed: int = 1) -> DataFrame:
+def repeated_documents(docs: DataFrame, weights: tuple = WEIGHTS, seed: int = 1, block: int = BLOCK, step: float = GOLDEN) -> DataFrame:
     """The rows of docs as often as the mix begins to take them, three times at most.
 
-    A source's rows are taken in their shuffled order, over and over, until its target is met. So all of them are taken
-    equally often, and those up to one place in the order once more. The place is kept per source, and a row tells by its
-    own number whether it stands before it: no text is shuffled. Rows without words are never taken. Rows that are equal
-    in doc_id, source and text stand at one place and are taken alike.
+    The schedule says how many blocks of a source are taken. So all of its rows are taken equally often, and those up to one place in their
+    shuffled order once more. The place is kept per source, and a row tells by its own number whether it stands before it: no
+    text is shuffled. Rows without words are never taken. Rows that are equal in doc_id, source and text stand at one place
+    and are taken alike.
     """
     root = scratch(docs.sparkSession, "mixing")
     sized = written(sizes(docs, seed), f"{root}/sizes")
-    goals = written(targets(sized, weights), f"{root}/targets").where("source_size > 0")
-    quota = goals.select("s", F.expr("cast(round(target) as long) div source_size").alias("epochs"), F.expr("cast(round(target) as long) % source_size").alias("rest"))
-    ends = laid_out(sized, goals).join(quota, "s").where("start < rest and size > 0").groupBy("s").agg(F.max(F.struct("part", "order")).alias("end"))
-    per = written(goals.join(quota, "s").join(ends, "s", "left").select(F.col("source").alias("__source"), F.col("n_docs").alias("__n"), F.col("epochs").alias("__epochs"), F.col("end").alias("__end")), f"{root}/sources")
+    goals = written(targets(sized, weights), f"{root}/targets")
+    quota = written(quotas(goals, schedule(goals, block, step), block), f"{root}/quotas").where("source_size > 0")
+    ends = laid_out(sized, goals).join(quota.select("s", "rest"), "s").where("start < rest and size > 0").groupBy("s").agg(F.max(F.struct("part", "order")).alias("end"))
+    per = written(quota.join(ends, "s", "left").select(F.col("source").alias("__source"), F.col("n_docs").alias("__n"), F.col("epochs").alias("__epochs"), F.col("end").alias("__end")), f"{root}/sources")
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col("source").cast("string").alias("__own"), shuffled(seed).alias("__order"), F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)).alias("__some"))
     own = own.where("__some").join(per, F.col("__own").eqNullSafe(F.col("__source")))
     place = F.struct(_part(F.col("__order"), F.col("__n")).alias("part"), F.col("__order").alias("order"))

@@ -241,6 +241,49 @@ def _goals(size):
         capped |= {s: 3.0 * size[s] for s in over}
 
 
+def _mixed(docs, block, step):
+    """(doc_id, text) to taken words, first slot and number of slots, slot by slot and word by word."""
+    order = lambda s: (s is None, s or "")
+    rows = mixing.sizes(docs).orderBy("source", "order").collect()
+    circle, size = defaultdict(list), Counter()
+    parts = {(r.s, r.part, r.order): r.start for r in mixing.laid_out(mixing.sizes(docs), mixing.targets(mixing.sizes(docs))).collect()}
+    names = sorted({r.source for r in rows}, key=order)
+    start = {(names[s], order_): at for (s, _, order_), at in parts.items()}
+    for r in sorted(rows, key=lambda r: start[r.source, r.order]):
+        circle[r.source] += [(r.doc_id, r.order)] * r["size"]
+        size[r.source] += r["size"]
+    goals = _goals({s: size[s] for s in names})
+    total, shares, at = sum(goals.values()), [], 0.0
+    for s in names:
+        at += goals[s]
+        shares.append((at / total, s))
+    rank, taken, first, slots = Counter(), Counter(), {}, defaultdict(set)
+    for k in range(round(total / block)):
+        s = next((s for high, s in shares if k * step % 1 < high), shares[-1][1])
+        for i in range(rank[s] * block, min((rank[s] + 1) * block, 3 * size[s])):
+            doc = circle[s][i % size[s]]
+            taken[doc] += 1
+            first.setdefault(doc, k)
+            slots[doc].add(k)
+        rank[s] += 1
+    return sorted(str((r.doc_id, r["size"], taken[r.doc_id, r.order], first.get((r.doc_id, r.order)), len(slots[r.doc_id, r.order]))) for r in rows), goals, size
+
+
+@pytest.mark.parametrize("block, step", [(32, mixing.GOLDEN), (7, mixing.GOLDEN), (300, mixing.GOLDEN), (32, 0.5), (32, 0.123)])
+def test_mixing_slot_by_slot(docs, block, step):
+    docs = docs.distinct()  # equal rows may change places
+    want = _mixed(docs, block, step)[0]
+    got = mixing.mix(docs, block=block, step=step)
+    assert sorted(str((r.doc_id, r["size"], r.taken, r.first_slot, r.n_slots)) for r in got.collect()) == want
+
+
+def test_the_sequence_makes_the_mix(docs):
+    one, two = (mixing.mix(docs, step=step).groupBy("source").sum("taken").collect() for step in (mixing.GOLDEN, 0.5))
+    assert sorted(map(str, one)) != sorted(map(str, two))
+    copies = lambda step: Counter(r.doc_id for r in mixing.repeated_documents(docs, step=step).collect())
+    assert copies(mixing.GOLDEN) != copies(0.5)
+
+
 def test_mixing(docs):
     rows = mixing.mix_documents(docs)
     got = rows.collect()
@@ -255,16 +298,20 @@ def test_mixing(docs):
         if r.doc_id is not None:
             s = of[r.doc_id]
             assert r.source_size == size[s] and abs(r.target - goals[s]) < 1e-6
-        assert 0 <= r.taken <= 3 * r["size"]
+        assert 0 <= r.taken <= 3 * r["size"] and (r.first_slot is None) == (r.taken == 0) == (r.n_slots == 0)
         taken[r.target] += r.taken
     for s in size:
-        assert abs(taken[next(t for t in taken if abs(t - goals[s]) < 1e-6)] - goals[s]) <= 1
+        # a golden-ratio sequence is within a few points of any share
+        assert abs(taken[next(t for t in taken if abs(t - goals[s]) < 1e-6)] - goals[s]) <= 3 * mixing.BLOCK
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_documents(docs.repartition(2)).collect()))
-    plan = mixing.mix(docs)[1].orderBy("slot").collect()
+    goal_rows = mixing.targets(mixing.sizes(docs))
+    plan = mixing.ranked(mixing.schedule(goal_rows)).orderBy("slot").collect()
+    assert [r.slot for r in plan] == list(range(round(sum(goals.values()) / mixing.BLOCK)))
     share = sum(goals.values())
     for s, name in enumerate(sorted(size, key=lambda s: (s is None, s or ""))):
         seen = sum(r.s == s for r in plan[: len(plan) // 2]) / (len(plan) // 2)
         assert abs(seen - goals[name] / share) < 0.15
+        assert [r.rank for r in plan if r.s == s] == list(range(sum(r.s == s for r in plan)))
     assert mixing.mix_documents(docs.limit(0)).collect() == []
 
 
