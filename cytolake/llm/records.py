@@ -12,6 +12,7 @@ a table beside the shards: where each record is, and how many ids all records be
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -217,6 +218,15 @@ class Encoder:
         """No match of the pattern goes on past a space after something else than white space: where the tokenizer lets texts be cut there, what stands between two cuts is encoded once."""
         if not self.cuts:
             return self.whole(texts)
+        on = gc.isenabled()
+        gc.disable()  # many small objects are made here and none that refers to itself
+        try:
+            return self.put_together(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def put_together(self, texts: list[str]) -> list[bytes]:
         cut: list[tuple[bytes | None, list[str], list[str]]] = []  # what is whole; first parts; parts that have lost a space before them
         for text in texts:
             if any(a in text for a in self.added):
