@@ -130,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed: int
     sized = written(sizes(docs, seed), f"{root}/sizes")
     goals = written(targets(sized, weights), f"{root}/targets")
     slots = written(schedule(goals, block, step), f"{root}/slots")
-    per = quotas(goals, slots, block).select("s", "source_size", "target", "epochs", "rest")
+    per = written(quotas(goals, slots, block), f"{root}/quotas").select("s", "source_size", "target", "epochs", "rest")  # a row for each source
     rows = laid_out(sized, goals).join(per, "s")
     rounds = F.sequence(F.lit(0), F.least(F.col("epochs"), F.lit(MOST)))
     begins = lambda e: e * F.col("source_size") + F.col("start")
