@@ -42,6 +42,29 @@ def overlaps(a: DataFrame, b: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.where(F.col("__b") == F.expr(f"greatest(a_start, b_start) div {bucket}")).drop("__b")
 
 
+def clustered(items: DataFrame, regions: DataFrame) -> DataFrame:
+    """Items (chrom, start, end, others) with the region that they are of: adds region_start, region_end, region (its name).
+
+    Of several regions that an item overlaps, that is the first by start, end and name. Items in no region are left out; equal items each stay.
+    """
+    own = items.columns
+    counted = items.groupBy(*own).agg(F.count(F.lit(1)).alias("__copies"))
+    pairs = overlaps(counted, regions.select("chrom", "start", "end", "name"))
+    keys = ["chrom", *[f"a_{c}" for c in own if c != "chrom"]]
+    first = pairs.groupBy(*keys, "a___copies").agg(F.min(F.struct("b_start", "b_end", "b_name")).alias("r"))
+    named = [F.col("chrom") if c == "chrom" else F.col(f"a_{c}").alias(c) for c in own]
+    each = first.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("a___copies"))))
+    return each.select(*named, F.col("r.b_start").alias("region_start"), F.col("r.b_end").alias("region_end"), F.col("r.b_name").alias("region"))
+
+
+def adjusted_regions(regions: DataFrame, members: DataFrame) -> DataFrame:
+    """Regions (chrom, start, end, name) with their ends moved out to those of their members by clustered(), and n, how many they have. Regions without stay as they are."""
+    keys = ["chrom", "start", "end", "name"]
+    ends = members.groupBy("chrom", F.col("region_start").alias("start"), F.col("region_end").alias("end"), F.col("region").alias("name")).agg(F.min("start").alias("__low"), F.max("end").alias("__high"), F.count(F.lit(1)).alias("n"))
+    met = regions.select(*keys).join(ends, keys, "left")
+    return met.select("chrom", F.least("start", "__low").alias("start"), F.greatest("end", "__high").alias("end"), "name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 # -- in order along a chromosome, in blocks -------------------------------------------------------------------
 # What runs along a whole chromosome is done within blocks of positions and then over the blocks, of which there are few,
 # so that no task sorts a chromosome.

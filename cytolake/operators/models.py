@@ -146,10 +146,22 @@ def _arrays(batch: pa.RecordBatch):
     return np.concatenate(pos), wide("meth"), wide("reads"), np.array([len(p) for p in pos])
 
 
-def train(rows: DataFrame, model: Hmm, iterations: int = 10, tolerance: float = 1e-10) -> Hmm:
-    """Baum-Welch. Segments are shuffled and packed once; each iteration sends one row of sums per task to the driver, which fits the emissions."""
+def train(rows: DataFrame, model: Hmm, iterations: int = 10, tolerance: float = 1e-10, likelihood: str | None = None) -> Hmm:
+    """Baum-Welch. Segments are shuffled and packed once; each iteration sends one row of sums per task to the driver, which fits the emissions.
+
+    Stops when no transition moves by the tolerance. With likelihood "absolute", when the log-likelihood moves by less than it; with "relative", when
+    that gains less than the tolerance of itself, and then with the model that it was found at.
+    """
     packed = _segments(rows).persist()
+    try:
+        return _trained(packed, model, iterations, tolerance, likelihood)
+    finally:
+        packed.unpersist()
+
+
+def _trained(packed: DataFrame, model: Hmm, iterations: int, tolerance: float, likelihood: str | None) -> Hmm:
     reps, k = len(model.emission[0]), len(model.start)
+    score = -np.inf
     for _ in range(iterations):
         now = model
 
@@ -172,6 +184,9 @@ def train(rows: DataFrame, model: Hmm, iterations: int = 10, tolerance: float =
         if got[0] is None:
             break
         got = list(got)
+        before, score = score, got[-1]
+        if likelihood == "relative" and (score - before) / abs(score) < tolerance:
+            break
         emission = tuple(tuple(kernels.fit_beta(*got[3 * (g * reps + r) : 3 * (g * reps + r) + 3]) for r in range(reps)) for g in range(len(model.emission)))
         counts = np.array(got[3 * len(model.emission) * reps : -1]).reshape(k, k)
         trans = counts + FLOOR * (np.array(model.trans) > 0)
@@ -181,9 +196,8 @@ def train(rows: DataFrame, model: Hmm, iterations: int = 10, tolerance: float =
         if k == 2 and not model.end:
             start = (trans[1, 0] / (trans[0, 1] + trans[1, 0]), trans[0, 1] / (trans[0, 1] + trans[1, 0]))
         model = replace(model, start=tuple(start), trans=tuple(map(tuple, trans.tolist())), emission=emission)
-        if moved < tolerance:
+        if abs(score - before) < tolerance if likelihood == "absolute" else likelihood is None and moved < tolerance:
             break
-    packed.unpersist()
     return model
 
 
@@ -286,8 +300,9 @@ def hyper_domains(sites: DataFrame, desert: int = 1000, iterations: int = 10, mi
     if model is None:
         mean = rows.agg(F.avg(F.col("reads")[0])).first()[0] or 1.0
         low, high = ((0.33 * mean, 0.67 * mean),), ((0.67 * mean, 0.33 * mean),)
-        model = Hmm((0.5, 0.25, 0.25), ((0.75, 0.25, 0.0), (0.15, 0.7, 0.15), (0.0, 0.4, 0.6)), (low, high), (0, 1, 0))
-        model = train(rows, model, iterations)
+        # The model that training begins with. Its last row of transitions does not add up to one.
+        model = Hmm((0.5, 0.25, 0.25), ((0.99, 0.01, 0.0), (0.05, 0.475, 0.475), (0.0, 0.6, 0.3)), (low, high), (0, 1, 0), (1e-10, 1e-10, 1e-10))
+        model = train(rows, model, iterations, likelihood="relative")
     states = settled(decode(rows, model, most_likely_path=path), "states")
     return domains(states, F.col("state") > 0, score=1 - F.col("unmeth")).where(F.col("score") >= min_meth).drop("segment")
 
@@ -306,7 +321,7 @@ def partial_domains(binned: DataFrame, size: int, iterations: int = 10, cutoff:
     if model is None:
         # The model that training begins with.
         model = Hmm((0.5, 0.5), ((0.99, 0.01), (0.01, 0.99)), (((0.05, 0.95),) * replicates, ((0.95, 0.05),) * replicates), (0, 1), (1e-10, 1e-10))
-        model = train(rows, model, iterations, tolerance=1e-5)
+        model = train(rows, model, iterations, tolerance=1e-5, likelihood="absolute")
     found = significant_runs(rows, model, cutoff).select("chrom", (F.col("start") * size).alias("start"), (F.col("end") * size).alias("end"), F.col("n").cast("double").alias("score"))
     found = settled(numbered_names(settled(found), "PMD"), "domains")
     if sites is None:
@@ -398,8 +413,8 @@ def allele_test(reads: list[tuple[int, str]], iterations: int = 10, bic: bool =
 
 
 def _tested(parts: DataFrame, keys: list[str], iterations: int, bic: bool) -> DataFrame:
-    """keys, n_reads, score of parts (keys, at, states). Equal parts are counted before they meet, so a set is of patterns, not of reads."""
-    counted = parts.groupBy(*keys, "at", "states").agg(F.count(F.lit(1)).alias("k"))
+    """keys, n_reads, score of parts (keys, at, states, n). Equal parts are counted before they meet, so a set is of patterns, not of reads."""
+    counted = parts.groupBy(*keys, "at", "states").agg(F.sum("n").alias("k"))
     sets = counted.groupBy(*keys).agg(F.sum("k").alias("n_reads"), F.collect_list(F.struct("at", "states", "k")).alias("reads"))
 
     @F.pandas_udf(DoubleType())
@@ -411,11 +426,13 @@ def _tested(parts: DataFrame, keys: list[str], iterations: int, bic: bool) -> Da
 
 def amr_windows(reads: DataFrame, width: int = 10, min_coverage: int = 4, iterations: int = 10, bic: bool = False) -> DataFrame:
     """chrom, window, n_reads, score of the windows of CpGs with at least min_coverage observations per CpG."""
-    from .reads import windows
+    from .reads import window_patterns
 
-    parts = windows(reads, width).where("states rlike '[CT]'")
-    deep = parts.groupBy("chrom", "window").agg(F.sum(F.length("states")).alias("n")).where(F.col("n") >= min_coverage * width)
-    return _tested(parts.join(deep.drop("n"), ["chrom", "window"]), ["chrom", "window"], iterations, bic)
+    parts = window_patterns(reads, width).where("pattern rlike '[CT]'")
+    shown = F.length(F.replace("pattern", F.lit("."), F.lit("")))
+    deep = parts.groupBy("chrom", "window").agg(F.sum(shown * F.col("n")).alias("shown")).where(F.col("shown") >= min_coverage * width)
+    sets = parts.join(deep.drop("shown"), ["chrom", "window"]).select("chrom", "window", F.lit(0).alias("at"), F.regexp_replace("pattern", r"\.+$", "").alias("states"), "n")
+    return _tested(sets, ["chrom", "window"], iterations, bic)
 
 
 def amr_test(reads: DataFrame, regions: DataFrame, iterations: int = 10, bic: bool = False) -> DataFrame:
@@ -426,7 +443,7 @@ def amr_test(reads: DataFrame, regions: DataFrame, iterations: int = 10, bic: bo
     met = overlaps(regions.select("chrom", "start", "end"), spans)
     low, high = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
     at, states = (low - F.col("a_start")).cast("int"), F.substr(F.col("b_states"), (low - F.col("b_start") + 1).cast("int"), (high - low).cast("int"))
-    parts = met.select("chrom", F.col("a_start").alias("start"), F.col("a_end").alias("end"), at.alias("at"), states.alias("states")).where("states rlike '[CT]'")
+    parts = met.select("chrom", F.col("a_start").alias("start"), F.col("a_end").alias("end"), at.alias("at"), states.alias("states"), F.lit(1).alias("n")).where("states rlike '[CT]'")
     return _tested(parts, ["chrom", "start", "end"], iterations, bic)
 
 

@@ -428,42 +428,106 @@ def epireads(reads: DataFrame, genome: DataFrame) -> DataFrame:
     return out.select("read", "chrom", F.col("s")[0]["cpg"].alias("cpg"), F.array_join("s.state", "").alias("states")).where("states rlike '[CT]'")
 
 
-def pair_states(reads: DataFrame) -> DataFrame:
-    """Counts of CC, CT, TC and TT at each pair of neighbouring CpGs: chrom, cpg, cc, ct, tc, tt."""
-    two = reads.where("length(states) > 1").select("chrom", "cpg", "states", F.explode(F.sequence(F.lit(0), F.length("states") - 2)).alias("i"))
-    s = two.select("chrom", (F.col("cpg") + F.col("i")).alias("cpg"), F.substr(F.col("states"), F.col("i") + 1, F.lit(2)).alias("s"))
-    n = lambda x: F.sum(F.when(F.col("s") == x, 1).otherwise(0)).alias(x.lower())
-    return s.where("s in ('CC', 'CT', 'TC', 'TT')").groupBy("chrom", "cpg").agg(*map(n, ("CC", "CT", "TC", "TT")))
+#: Letters of reads that are cut into windows at once, and windows whose entropy a task works out at once.
+LETTERS, SET = 1 << 19, 2048
+_DIGIT = np.full(256, 3, np.int64)
+_DIGIT[[ord("C"), ord("T")]] = [1, 2]
+_LETTER = np.frombuffer(b".CTN", np.uint8)
 
 
-def windows(reads: DataFrame, width: int) -> DataFrame:
-    """chrom, window, at, states: each read's part in each window of `width` CpGs that it touches. Windows start where they lie within reads' reach."""
-    starts = F.sequence(F.greatest(F.lit(0), F.col("cpg") - width + 1), F.col("cpg") + F.length("states") - 1)
-    rows = reads.select("chrom", "cpg", "states", F.explode(starts).alias("window"))
-    low, high = F.greatest("window", "cpg"), F.least(F.col("window") + width, F.col("cpg") + F.length("states"))
-    return rows.select("chrom", "window", (low - F.col("window")).cast("int").alias("at"), F.substr(F.col("states"), (low - F.col("cpg") + 1).cast("int"), (high - low).cast("int")).alias("states"))
+def window_patterns(reads: DataFrame, width: int) -> DataFrame:
+    """chrom, window, pattern, n: what reads (chrom, cpg, states) show in the windows of `width` CpGs that they touch, and how many show it; a window's pattern may come in several rows.
+
+    A pattern has a letter for each CpG: C, T, N, or a dot where the read does not reach. Windows begin where they lie within reads' reach, from
+    ordinal 0 on. The reads of a batch stand one after the other, with dots between, so all their windows are cut at once; equal ones
+    are counted before they leave the task.
+    """
+    if not 0 < width < 32:
+        raise ValueError("a window has 1 to 31 CpGs")
+
+    def cut(chroms: list, cpgs: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in texts])
+        letters = np.zeros(sizes.sum() + (len(texts) + 1) * (width - 1), np.int64)
+        begins = np.cumsum(sizes + width - 1) - sizes  # places of the first letters
+        letters[np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)] = _DIGIT[np.frombuffer(b"".join(texts), np.uint8)]
+        of = np.repeat(np.arange(len(texts)), sizes + width - 1)
+        window = cpgs[of] + np.arange(len(of)) - begins[of]
+        code = np.zeros(len(of), np.uint64)
+        for k in range(width):
+            code = code * np.uint64(4) + letters[k : k + len(of)].astype(np.uint64)
+        names, chrom = np.unique(np.array(chroms, object).astype(str), return_inverse=True)
+        chrom = chrom[of]
+        kept = window >= 0
+        window, code, chrom = window[kept], code[kept], chrom[kept]
+        order = np.lexsort((code, window, chrom))
+        window, code, chrom = window[order], code[order], chrom[order]
+        first = np.flatnonzero(np.append(True, (window[1:] != window[:-1]) | (code[1:] != code[:-1]) | (chrom[1:] != chrom[:-1]))[: len(window)])
+        n = np.diff(np.append(first, len(window)))
+        digits = (code[first][:, None] >> np.arange(2 * width - 2, -1, -2, dtype=np.uint64)).astype(np.int64) & 3
+        patterns = np.ascontiguousarray(_LETTER[digits]).tobytes()
+        ends = pa.array(np.arange(len(first) + 1) * width, pa.int32())
+        text = pa.Array.from_buffers(pa.string(), len(first), [None, ends.buffers()[1], pa.py_buffer(patterns)])
+        return pa.RecordBatch.from_arrays([pa.array(names[chrom[first]].tolist(), pa.string()), pa.array(window[first]), text, pa.array(n)], names=["chrom", "window", "pattern", "n"])
+
+    def run(batches):
+        for batch in batches:
+            chroms, cpgs, texts = (batch[c].to_pylist() for c in ("chrom", "cpg", "states"))
+            at, size = 0, 0
+            for k, s in enumerate(texts):
+                size += len(s) + width
+                if size > LETTERS or k == len(texts) - 1:
+                    yield cut(chroms[at : k + 1], np.array(cpgs[at : k + 1], np.int64), texts[at : k + 1])
+                    at, size = k + 1, 0
+
+    rows = reads.where("chrom is not null and cpg is not null and states <> ''").select("chrom", F.col("cpg").cast("long").alias("cpg"), F.col("states").cast("binary").alias("states"))
+    return rows.mapInArrow(run, "chrom string, window long, pattern string, n long")
+
+
+def pair_states(reads: DataFrame) -> DataFrame:
+    """Counts of CC, CT, TC and TT at each pair of neighbouring CpGs: chrom, cpg, cc, ct, tc, tt."""
+    n = lambda x: F.coalesce(F.sum(F.when(F.col("pattern") == x, F.col("n"))), F.lit(0)).alias(x.lower())
+    pairs = ("CC", "CT", "TC", "TT")
+    return window_patterns(reads, 2).where(F.col("pattern").isin(*pairs)).groupBy("chrom", F.col("window").alias("cpg")).agg(*map(n, pairs))
 
 
 def entropy(reads: DataFrame, width: int = 4, flip: bool = False) -> DataFrame:
     """Methylation entropy of windows of CpGs, in bits per CpG: chrom, window, n_reads, entropy.
 
-    A read adds to each of the 2^width states its probability: 1 or 0 at the CpGs it shows, the site's level elsewhere.
+    A read adds to each of the 2^width states its probability: 1 or 0 at the CpGs it shows, the site's level elsewhere, 1/2 where no read shows the site.
+    Reads with one pattern count together, and SET windows at once.
     """
     if flip:
         reads = reads.withColumn("states", flipped(F.col("states")))
-    each = reads.select("chrom", "cpg", "states", F.explode(F.sequence(F.lit(0), F.length("states") - 1)).alias("i")).select("chrom", (F.col("cpg") + F.col("i")).alias("cpg"), F.substr(F.col("states"), F.col("i") + 1, F.lit(1)).alias("s"))
-    level = each.where("s in ('C', 'T')").groupBy("chrom", "cpg").agg(F.avg(F.when(F.col("s") == "C", 1.0).otherwise(0.0)).alias("level"))
-    # reads with the same part of a window are counted first
-    parts = windows(reads, width).groupBy("chrom", "window", "at", "states").agg(F.count(F.lit(1)).alias("n"))
-    w = F.sequence(F.lit(0), F.lit(width - 1))
-    sites = level.select("chrom", F.explode(F.sequence(F.greatest(F.lit(0), F.col("cpg") - width + 1), F.col("cpg"))).alias("window"), "cpg", "level")
-    levels = sites.groupBy("chrom", "window").agg(F.map_from_entries(F.collect_list(F.struct((F.col("cpg") - F.col("window")).cast("int"), "level"))).alias("levels"))
-    rows = parts.join(levels, ["chrom", "window"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2**width - 1))))
-    bit = lambda i: F.pmod(F.floor(F.col("k") / F.pow(F.lit(2.0), i)), F.lit(2)) == 1
-    seen = lambda i: F.when((i >= F.col("at")) & (i < F.col("at") + F.length("states")), F.substr(F.col("states"), (i - F.col("at") + 1).cast("int"), F.lit(1)))
-    p_site = lambda i: F.coalesce(F.element_at("levels", i), F.lit(0.5))
-    p = lambda i: F.when(seen(i) == "C", F.when(bit(i), 1.0).otherwise(0.0)).when(seen(i) == "T", F.when(bit(i), 0.0).otherwise(1.0)).otherwise(F.when(bit(i), p_site(i)).otherwise(1 - p_site(i)))
-    prob = F.aggregate(w, F.lit(1.0), lambda acc, i: acc * p(i))
-    states = rows.groupBy("chrom", "window", "k").agg(F.sum(prob * F.col("n")).alias("p"), F.sum("n").alias("n"))
-    term = F.when(F.col("p") > 0, -(F.col("p") / F.col("n")) * F.log2(F.col("p") / F.col("n"))).otherwise(0.0)
-    return states.groupBy("chrom", "window").agg(F.max("n").alias("n_reads"), (F.sum(term) / width).alias("entropy"))
+    single = window_patterns(reads, 1).where("pattern in ('C', 'T')").groupBy("chrom", F.col("window").alias("cpg"))
+    level = single.agg((F.sum(F.when(F.col("pattern") == "C", F.col("n")).otherwise(0)) / F.sum("n")).alias("level"))
+    sets = F.sequence(F.expr(f"greatest(0, cpg - {width - 1}) div {SET}"), F.expr(f"cpg div {SET}"))
+    levels = level.select("chrom", F.explode(sets).alias("set"), F.col("cpg").alias("window"), F.lit(None).cast("string").alias("pattern"), F.lit(0).cast("long").alias("n"), "level")
+    counts = window_patterns(reads, width).select("chrom", F.expr(f"window div {SET}").alias("set"), "window", "pattern", "n", F.lit(None).cast("double").alias("level"))
+    ones = (np.arange(2**width)[:, None] >> np.arange(width)) & 1 == 1  # states by CpGs
+
+    def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = key[1].as_py() * SET
+        site, held = np.full(SET + width - 1, 0.5), {}
+        for batch in batches:
+            at = batch["window"].to_numpy() - first
+            known = batch["level"].is_valid().to_numpy(zero_copy_only=False)
+            site[at[known]] = batch["level"].to_numpy(zero_copy_only=False)[known]
+            for pattern, w, n in zip(batch["pattern"].to_pylist(), at.tolist(), batch["n"].to_pylist()):
+                if pattern is not None:
+                    pattern = pattern.replace("N", ".")
+                    held.setdefault(pattern, {})[w] = held.get(pattern, {}).get(w, 0) + n
+        mass, total = np.zeros((SET, 2**width)), np.zeros(SET, np.int64)
+        for pattern, some in held.items():
+            w, n = np.fromiter(some, np.int64, len(some)), np.fromiter(some.values(), np.int64, len(some))
+            p = np.repeat(n[:, None].astype(float), 2**width, axis=1)
+            for i, letter in enumerate(pattern):
+                yes = 1.0 if letter == "C" else 0.0 if letter == "T" else site[w + i][:, None]
+                p *= np.where(ones[:, i], yes, 1 - yes)
+            mass[w] += p
+            total[w] += n
+        w = np.flatnonzero(total)
+        share = mass[w] / total[w][:, None]
+        bits = -(share * np.log2(np.where(share > 0, share, 1.0))).sum(axis=1) / width
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(w), pa.string()), pa.array(w + first), pa.array(total[w]), pa.array(bits)], names=["chrom", "window", "n_reads", "entropy"])
+
+    return counts.unionByName(levels).groupBy("chrom", "set").applyInArrow(work, "chrom string, window long, n_reads long, entropy double").where("n_reads > 0")

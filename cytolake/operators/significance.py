@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -127,16 +130,34 @@ def empirical_p(observed: DataFrame, null: DataFrame, score: str = "score") -> D
 
 
 def distance_correlation(rows: DataFrame, value: Column, lo: int, hi: int, step: int) -> DataFrame:
-    """Pearson correlation of values of neighbours on a chromosome, by bins of distance in [lo, hi): bin, n, corr (0 for one pair or none)."""
+    """Pearson correlation of values of neighbours on a chromosome, by bins of distance in [lo, hi): bin, n, corr (0 for one pair or none). Null values have no pairs.
+
+    Blocks of positions with the band after them are one task's each; only sums for each bin leave it, no pairs. A site at its own place is its own neighbour where lo is 0.
+    """
     size = max(1 << 12, 8 * hi)
-    one = rows.select("chrom", "pos", value.alias("v"), F.expr(f"pos div {size}").alias("__b"))
-    blocks = F.sequence(F.expr(f"greatest(0, pos - {hi - 1}) div {size}"), F.expr(f"greatest(0, pos - {lo}) div {size}"))
-    two = rows.select(F.col("chrom").alias("__chrom"), F.struct("pos", value.alias("v")).alias("o"), F.explode(blocks).alias("__o"))
-    pairs = one.join(two, (F.col("chrom") == F.col("__chrom")) & (F.col("__b") == F.col("__o")) & F.expr(f"o.pos - pos between {lo} and {hi - 1}"))
-    binned = pairs.withColumn("bin", F.expr(f"(o.pos - pos - {lo}) div {step}"))
-    x, y = F.col("v"), F.col("o.v")
-    n, sx, sy, sxx, syy, sxy = F.count(F.lit(1)), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)
-    agg = binned.groupBy("bin").agg(n.alias("n"), sx.alias("sx"), sy.alias("sy"), sxx.alias("sxx"), syy.alias("syy"), sxy.alias("sxy"))
+    blocks = F.sequence(F.expr(f"greatest(0, pos - {hi - 1}) div {size}"), F.expr(f"pos div {size}"))
+    near = rows.select("chrom", F.col("pos").cast("long").alias("pos"), value.cast("double").alias("v"), F.explode(blocks).alias("block")).where("v is not null")
+    names = ["bin", "n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def sums(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))  # sites of a block and of the band after it
+        order = np.argsort(t["pos"].to_numpy(), kind="stable")
+        pos, v = t["pos"].to_numpy()[order], t["v"].to_numpy()[order]
+        own = np.flatnonzero(pos // size == key[1].as_py())
+        at, end = np.searchsorted(pos, pos[own] + lo), np.searchsorted(pos, pos[own] + hi)
+        total = np.zeros((6, -(-(hi - lo) // step)))
+        while len(own):
+            some = at < end
+            own, at, end = own[some], at[some], end[some]
+            bins, x, y = (pos[at] - pos[own] - lo) // step, v[own], v[at]
+            for k, w in enumerate((None, x, y, x * x, y * y, x * y)):
+                total[k] += np.bincount(bins, w, total.shape[1])
+            at = at + 1
+        seen = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0][seen].astype(np.int64)), *map(pa.array, total[1:, seen])], names=names)
+
+    found = near.groupBy("chrom", "block").applyInArrow(sums, "bin long, n long, sx double, sy double, sxx double, syy double, sxy double")
+    agg = found.groupBy("bin").agg(*[F.sum(c).alias(c) for c in names[1:]])
     c = lambda s: F.col(s).cast("double")
     top = c("n") * c("sxy") - c("sx") * c("sy")
     under = (c("n") * c("sxx") - c("sx") * c("sx")) * (c("n") * c("syy") - c("sy") * c("sy"))

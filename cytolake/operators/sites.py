@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +146,21 @@ def bin_size_pass(sites: DataFrame, sizes: list[int], need: int) -> DataFrame:
     return out.select(F.col("size").cast("bigint").alias("size"), "n_covered", "n_pass", ratio("n_pass", "n_covered").alias("share"))
 
 
+def unique_names(features: DataFrame, name: str = "name") -> DataFrame:
+    """The features; one whose name another has too fails, and so does one without a name."""
+    times = F.count(F.lit(1)).over(Window.partitionBy(name))
+    bad = (F.col("__times") > 1) | F.col(name).isNull()
+    return checked(features.withColumn("__times", times), bad, "features need names of their own").drop("__times")
+
+
+def even_widths(rows: DataFrame, keys: tuple = ("sample",), item: str = "probe") -> DataFrame:
+    """A long table (keys, item, value); fails where a row of the matrix has another number of items than the widest one, or an item twice."""
+    per = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(item).alias("kinds"))
+    most = F.max("n").over(Window.partitionBy())
+    good = checked(per.withColumn("__most", most), (F.col("n") != F.col("kinds")) | (F.col("n") != F.col("__most")), "rows differ in width")
+    return rows.join(good.select(*keys), list(keys))
+
+
 def probe_means(probes: DataFrame, features: DataFrame) -> DataFrame:
     """Mean value per sample and feature of the probes in it: sample, name, n_probes, mean. probes: sample, chrom, pos, value."""
     return points_in(probes, features).groupBy("sample", "name").agg(F.count(F.lit(1)).alias("n_probes"), F.avg("value").alias("mean"))
@@ -228,7 +247,26 @@ def array_bins(sites: DataFrame, size: int) -> DataFrame:
 
 def bin_size(sites: DataFrame, resolution: int = 500, most: int = 500_000, least: int = 1000, conf: float = 0.8, share: float = 0.8) -> DataFrame:
     """One row: size, the least multiple of the resolution, from `least` on, of which at least `share` of the bins with reads have enough of them; else `most`."""
-    passing = bin_size_pass(sites, list(range(least, most, resolution)), reads_for_interval(conf, 1 - conf))
+    need = reads_for_interval(conf, 1 - conf)
+    # counts in bins of the resolution are all that larger bins are made of: a group is a chromosome's length over the resolution
+    idx = F.greatest(F.lit(0), F.expr(f"(pos + {resolution - 1}) div {resolution}") - 1)
+    fine = sites.groupBy("chrom", idx.cast("long").alias("bin")).agg(F.sum("n_reads").cast("long").alias("n")).where("n > 0")
+    times = [k // resolution for k in range(least, most, resolution)]
+    if any(k % resolution for k in (least, most)):
+        raise ValueError("sizes are multiples of the resolution")
+
+    def tell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        order = np.argsort(t["bin"].to_numpy())
+        bins_, n = t["bin"].to_numpy()[order], t["n"].to_numpy()[order]
+        rows = []
+        for k in times:
+            wide = bins_ // k
+            sums = np.add.reduceat(n, np.flatnonzero(np.append(True, wide[1:] != wide[:-1])))
+            rows.append((k * resolution, len(sums), int((sums >= need).sum())))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["size", "covered", "passed"])
+
+    passing = fine.groupBy("chrom").applyInArrow(tell, "size long, covered long, passed long").groupBy("size").agg(ratio(F.sum("passed"), F.sum("covered")).alias("share"))
     return passing.agg(F.coalesce(F.min(F.when(F.col("share") >= share, F.col("size"))), F.lit(most).cast("bigint")).alias("size"))
 
 

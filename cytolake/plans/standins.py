@@ -131,6 +131,16 @@ TWO_GROUPS = SAMPLES + """, grouped AS (
   SELECT chrom, pos, meth_a, reads_a - meth_a AS unmeth_a, meth_b, reads_b - meth_b AS unmeth_b FROM grouped WHERE reads_a > 0 AND reads_b > 0)"""
 
 
+_CHANGED = "CASE WHEN (pos {div} 40) % 4 = 1 THEN 0.01 * (1 + pos % 7) WHEN (pos {div} 40) % 4 = 3 THEN 1 - 0.01 * (1 + pos % 7) ELSE 0.01 * (35 + pos * 7 % 30) END"
+
+
+def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chrom, pos, value, meth_a, unmeth_a, meth_b, unmeth_b: places with a gain in one block of 40 positions in 160 and a loss in another. value is near 0 in a gain and near 1 in a loss."""
+    t = collapsed(spark, sf_dir).withColumn("value", F.expr(_CHANGED.format(div="div")).cast("double"))
+    side = F.expr("CASE WHEN (pos div 40) % 4 = 1 THEN 2 WHEN (pos div 40) % 4 = 3 THEN 8 ELSE 5 END").cast("bigint")
+    return t.select("chrom", "pos", "value", side.alias("meth_a"), (10 - side).alias("unmeth_a"), (10 - side).alias("meth_b"), side.alias("unmeth_b"))
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrom, start, end, name: disjoint regions."""
     p = table(spark, sf_dir, "part")

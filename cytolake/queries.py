@@ -6,13 +6,17 @@ on both sides, since engines add in different orders. Model operators have no SQ
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import fold, site_type, strip_extension, strip_suffix, wilson, z_of
-from .operators import intervals, models, reads, significance, sites
+from .operators import continuous, distributions, durations, intervals, models, reads, significance, sites
 from .plans import standins as s
-from .tables import settled
+from .sources import files, ranges, sam
+from .streaming import mates
+from .tables import settled, shared_folder
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -799,3 +803,141 @@ def fisher_sql(spark, sf_dir):
     significance.register(spark)
     s.two_groups(spark, sf_dir).createOrReplaceTempView("two_groups_of_sites")
     return _r(_r(spark.sql(f"SELECT chrom, pos, fisher_2x2(meth_a, unmeth_a, meth_b, unmeth_b) AS p, wilson_lo(meth_a, meth_a + unmeth_a, {_Z!r}) AS low, wilson_hi(meth_a, meth_a + unmeth_a, {_Z!r}) AS high FROM two_groups_of_sites"), 10))
+
+
+# -- files, streams, groups and further models -------------------------------------------------------------------
+
+
+@query(f"""WITH {s.GENOME}, p AS (SELECT chrom, seq, unnest(range(0, (length(seq) - 1) // 4096 + 1)) AS piece FROM genome)
+SELECT chrom, CAST(piece AS INTEGER) AS piece, CASE WHEN piece > 0 THEN 2 ELSE 0 END AS before,
+  substr(seq, CAST(greatest(1, piece * 4096 - 1) AS INTEGER), CAST(CASE WHEN piece > 0 THEN 4100 ELSE 4098 END AS INTEGER)) AS seq FROM p""")
+def genome_pieces(spark, sf_dir):
+    """The genome written as FASTA, with lines of 70 bases, and read again by byte ranges of a megabyte."""
+    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    lines = F.regexp_replace("seq", "(.{1,70})", "$1\n")
+    s.genome(spark, sf_dir).select(F.concat(F.lit(">"), "chrom", F.lit(" made of a text\n"), lines).alias("value")).write.text(path)
+    return files.read_genome(spark, path, size=1 << 20).withColumn("seq", F.col("seq").cast("string"))
+
+
+@query(f"WITH {s.BASES} SELECT count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS n_bases, CAST(sum(CASE WHEN seq LIKE 'A%' THEN 1 ELSE 0 END) AS BIGINT) AS n_a, min(read) AS first, max(read) AS last FROM bases")
+def fastq_records(spark, sf_dir):
+    """Reads written as FASTQ, with qualities of @ and +, and read again by byte ranges."""
+    path = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}"
+    qualities = F.translate("seq", "ACGT", "@+I!")
+    s.bases(spark, sf_dir).select(F.concat_ws("\n", F.concat(F.lit("@"), F.col("read").cast("string"), F.lit(" x")), "seq", F.lit("+"), qualities).alias("value")).write.text(path)
+    t = ranges.fastq_records(spark, path, size=1 << 20)
+    good = t.where(F.translate("seq", "ACGT", "@+I!") == F.col("qual"))
+    return good.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("n_bases"), F.sum(F.col("seq").startswith("A").cast("bigint")).alias("n_a"), F.min(F.col("name").cast("bigint")).alias("first"), F.max(F.col("name").cast("bigint")).alias("last"))
+
+
+@query(f"WITH {s.RECORDS} SELECT qname, flag, rname, pos, seq FROM records")
+def sam_round_trip(spark, sf_dir):
+    """Records written as SAM with a header, and read again."""
+    path = f"{shared_folder(spark)}/sam-{uuid.uuid4().hex}"
+    sam.write_sam(s.records(spark, sf_dir), path, sam.with_program(["@HD\tVN:1.6"], "query"))
+    return sam.read_records(spark, path).select("qname", "flag", "rname", "pos", "seq")
+
+
+@query(ORACLE["merged_records"])
+def streamed_mates(spark, sf_dir):
+    """merged_records of the records as a stream, in several micro-batches; a last record moves the time on."""
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    std = reads.standardized(s.records(spark, sf_dir), "bismark").select("qname", "flag", "rname", "pos", "cigar", "rnext", "pnext", "seq", "tags")
+    timed = std.withColumn("ts", F.timestamp_millis(F.pmod(F.hash("qname", "flag"), F.lit(20_000))))
+    timed.repartition(6).write.parquet(f"{path}/in/a")
+    last = std.limit(1).withColumns({"qname": F.lit("last"), "rname": F.lit("none"), "ts": F.timestamp_millis(F.lit(10**9))})
+    last.write.parquet(f"{path}/in/b")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        source = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 3).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        out = mates.streamed_mates(source, wait=60_000, late="1 hour", suffix=0).where("rname <> 'none'")
+        out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(out.schema).parquet(f"{path}/out").select("qname", "pos", "kind", F.col("size").cast("bigint").alias("size"), "cigar", "seq")
+
+
+@query(f"""WITH {s.REGIONS}, {s.CROSSING}, first AS (SELECT x.name AS item, x.start AS item_start, x."end" AS item_end, x.chrom, min(struct_pack(a := r.start, b := r."end", c := r.name)) AS r
+  FROM crossing x JOIN regions r ON x.chrom = r.chrom AND x.start < r."end" AND r.start < x."end" GROUP BY ALL),
+held AS (SELECT chrom, r.a AS start, r.b AS "end", r.c AS name, min(item_start) AS low, max(item_end) AS high, count(*) AS n FROM first GROUP BY ALL)
+SELECT g.chrom, least(g.start, coalesce(low, g.start)) AS start, greatest(g."end", coalesce(high, g."end")) AS "end", g.name, coalesce(n, 0) AS n FROM regions g LEFT JOIN held h ON g.chrom = h.chrom AND g.start = h.start AND g."end" = h."end" AND g.name = h.name""")
+def region_clusters(spark, sf_dir):
+    regions = s.regions(spark, sf_dir)
+    return intervals.adjusted_regions(regions, intervals.clustered(s.crossing(spark, sf_dir), regions))
+
+
+# choices of signs by their rank sums, one rank after another; and the normal distribution's upper tail from the series of its density
+_SIGNED = """ways(n, w, c) AS (SELECT 0, 0, CAST(1 AS DOUBLE) UNION ALL (WITH more AS (SELECT n + 1 AS n, w, c FROM ways WHERE n < 30 UNION ALL SELECT n + 1, w + n + 1, c FROM ways WHERE n < 30) SELECT n, w, sum(c) FROM more GROUP BY n, w)),
+upto AS (SELECT n, w, sum(c) OVER (PARTITION BY n ORDER BY w) / pow(2, n) AS f FROM ways)"""
+
+
+@query(f"""WITH RECURSIVE {s.TWO_GROUPS}, {_SIGNED}, d AS (SELECT chrom, pos // 40 AS block, CAST(meth_a AS DOUBLE) / (meth_a + unmeth_a) - CAST(meth_b AS DOUBLE) / (meth_b + unmeth_b) AS d FROM two_groups),
+k AS (SELECT chrom, block, d, (rank() OVER (PARTITION BY chrom, block ORDER BY abs(d)) + rank() OVER (PARTITION BY chrom, block ORDER BY abs(d)) + count(*) OVER (PARTITION BY chrom, block, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0),
+g AS (SELECT chrom, block, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_greater, CAST(sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS DOUBLE) AS w_greater, CAST(sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS DOUBLE) AS w_less FROM k GROUP BY chrom, block),
+a AS (SELECT b.chrom, b.block, coalesce(n, 0) AS n, coalesce(n_greater, 0) AS n_greater, coalesce(w_greater, 0.0) AS w_greater, coalesce(w_less, 0.0) AS w_less FROM (SELECT DISTINCT chrom, block FROM d) b LEFT JOIN g ON b.chrom = g.chrom AND b.block = g.block)
+SELECT chrom, block, a.n, n_greater, w_greater, w_less, round(CASE WHEN a.n = 0 THEN 1 ELSE 1 - u.f END, 6) AS p_greater, round(CASE WHEN a.n = 0 THEN 1 ELSE 1 - v.f END, 6) AS p_less
+FROM a LEFT JOIN upto u ON u.n = a.n AND u.w = CAST(floor(greatest(w_greater - 1, 0)) AS INTEGER) LEFT JOIN upto v ON v.n = a.n AND v.w = CAST(floor(greatest(w_less - 1, 0)) AS INTEGER)""")
+def signed_rank_tests(spark, sf_dir):
+    level = lambda x: F.col(f"meth_{x}").cast("double") / (F.col(f"meth_{x}") + F.col(f"unmeth_{x}"))
+    t = s.two_groups(spark, sf_dir).select("chrom", F.expr("pos div 40").alias("block"), level("a").alias("a"), level("b").alias("b"))
+    return _r(distributions.paired_tests(t, ["chrom", "block"], "a", "b").drop("sign_greater", "sign_less"))
+
+
+@query(f"""WITH {s.SAMPLES}, r AS (SELECT chrom, CAST(n_reads AS DOUBLE) AS v, CAST(n_meth + 1 AS DOUBLE) AS w, CAST(1 + sample % 3 AS DOUBLE) AS s FROM samples)
+SELECT chrom, sum(w) AS total, round(sum(w * v) / sum(w * s), 6) AS poisson, round(sum(w * (v / s)) / sum(w), 6) AS exponential, round(sum(w) / sum(w * (v / s)), 6) AS geometric, round(sum(w * (v / s)) / sum(w) / 500, 6) AS binomial FROM r GROUP BY chrom""")
+def weighted_fits(spark, sf_dir):
+    """The families whose weighted fits are quotients of sums."""
+    t = s.samples(spark, sf_dir)
+    fit = lambda family, **o: distributions.fit_family(t, family, ["chrom"], "n_reads", F.col("n_meth") + 1, 1 + F.col("sample") % 3, **o)
+    out = fit("poisson").withColumnRenamed("mean", "poisson")
+    for family, name in (("exponential", "mean"), ("geometric", "p"), ("binomial", "p")):
+        out = out.join(fit(family, trials=500).select("chrom", F.col(name).alias(family)), "chrom")
+    return _r(out)
+
+
+@query()
+def shape_fits(spark, sf_dir):
+    """The families whose fits need steps; tests hold them to be the likeliest."""
+    t = s.samples(spark, sf_dir).where("n_reads > 0")
+    level = (F.col("n_meth") + 0.5) / (F.col("n_reads") + 1)
+    fit = lambda family, c, names: distributions.fit_family(t.withColumn("x", c), family, ["chrom"], "x", "n_reads").select("chrom", *names)
+    out = fit("gamma", F.col("n_reads"), ["shape", "scale"]).join(fit("beta", level, ["alpha", "beta"]), "chrom")
+    return _r(out.join(fit("negative_binomial", F.col("n_reads"), ["mean", "overdispersion"]), "chrom"), 4)
+
+
+@query(f"""WITH {s.COLLAPSED}, c AS (SELECT chrom, pos, (pos // 40) % 4 AS k, sum(CASE WHEN (pos // 40) % 2 = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS i FROM collapsed)
+SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, round(count(*) * CASE WHEN k = 1 THEN 0.6 ELSE -0.6 END, 4) AS score, CASE WHEN k = 1 THEN 'gain' ELSE 'loss' END AS state FROM c WHERE k % 2 = 1 GROUP BY chrom, i, k""")
+def duration_domains(spark, sf_dir):
+    t = s.changed(spark, sf_dir)
+    model, _ = durations.train(t, gap=60)
+    return _r(durations.changed_domains(durations.decode(t, model, gap=60), t).drop("post"), 4)
+
+
+@query()
+def duration_domains_scored(spark, sf_dir):
+    """Domains with an empirical p-value from random windows, those below the rate's cutoff."""
+    t = s.changed(spark, sf_dir)
+    model, _ = durations.train(t, gap=60, iterations=5)
+    found = durations.changed_domains(durations.decode(t, model, gap=60), t)
+    return _r(durations.significant(settled(durations.scored_by_windows(found, t)), 0.05), 4)
+
+
+@query()
+def duration_domains_ranked(spark, sf_dir):
+    """Domains with the signed-rank test's p-value, those below the rate's cutoff."""
+    t = s.changed(spark, sf_dir)
+    model, _ = durations.train(t, gap=60, iterations=5)
+    found = durations.changed_domains(durations.decode(t, model, gap=60), t)
+    return _r(durations.significant(settled(durations.scored_by_ranks(found, t)), 0.05), 4)
+
+
+@query(f"""WITH {s.PLANTED}, b AS ({_ISLANDS.format(t="planted")})
+SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, CAST(count(*) AS DOUBLE) AS score FROM b WHERE (pos // 40) % 4 = 1 GROUP BY chrom, k""")
+def rate_domains(spark, sf_dir):
+    """Runs of the low state of the continuous-time model that have more than one site: the planted domains."""
+    t = s.planted(spark, sf_dir)
+    model, _ = continuous.train(t, desert=60)
+    found = continuous.decode(t, model, desert=60)
+    return intervals.domains(found, F.col("state") == 0).where("n > 3").drop("segment")
