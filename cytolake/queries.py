@@ -908,7 +908,7 @@ def shape_fits(spark, sf_dir):
 
 
 @query(f"""WITH {s.COLLAPSED}, c AS (SELECT chrom, pos, (pos // 40) % 4 AS k, sum(CASE WHEN (pos // 40) % 2 = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS i FROM collapsed)
-SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, round(count(*) * CASE WHEN k = 1 THEN 0.6 ELSE -0.6 END, 4) AS score, CASE WHEN k = 1 THEN 'gain' ELSE 'loss' END AS state FROM c WHERE k % 2 = 1 GROUP BY chrom, i, k""")
+SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n, round(CAST(count(*) * CASE WHEN k = 1 THEN 0.6 ELSE -0.6 END AS DOUBLE), 4) AS score, CASE WHEN k = 1 THEN 'gain' ELSE 'loss' END AS state FROM c WHERE k % 2 = 1 GROUP BY chrom, i, k""")
 def duration_domains(spark, sf_dir):
     t = s.changed(spark, sf_dir)
     model, _ = durations.train(t, gap=60)
