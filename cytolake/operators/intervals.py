@@ -134,6 +134,14 @@ def merge_near(regions: DataFrame, gap: int, names: bool = False) -> DataFrame:
     return running_sum(seen, new, "k", order=("start",)).groupBy("chrom", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("score").alias("score"), F.count(F.lit(1)).alias("n"), *name).drop("k")
 
 
+def disjoint(regions: DataFrame) -> DataFrame:
+    """The regions; one that overlaps another of its chromosome, or ends before it begins, fails. What touches is apart."""
+    from .sites import checked
+
+    seen = running_max(blocked(regions, "start"), "end", "__before", order=("start", "end"))
+    return checked(seen, (F.col("start") < F.col("__before")) | (F.col("end") < F.col("start")), "regions overlap").drop("__b", "__before")
+
+
 def complement(regions: DataFrame, ends: DataFrame) -> DataFrame:
     """What the regions leave of [0, end) of each chromosome of ends (chrom, end), also of those without a region."""
     merged = settled(union(regions).select("chrom", "start", "end"), "union")

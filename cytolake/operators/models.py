@@ -307,11 +307,12 @@ def hyper_domains(sites: DataFrame, desert: int = 1000, iterations: int = 10, mi
     return domains(states, F.col("state") > 0, score=1 - F.col("unmeth")).where(F.col("score") >= min_meth).drop("segment")
 
 
-def partial_domains(binned: DataFrame, size: int, iterations: int = 10, cutoff: float = 0.01, sites: DataFrame | None = None, model: Hmm | None = None, replicates: int = 1) -> DataFrame:
+def partial_domains(binned: DataFrame, size: int, iterations: int = 10, cutoff: float = 0.01, sites: DataFrame | None = None, model: Hmm | None = None, replicates: int = 1, arrays: bool = False) -> DataFrame:
     """Partially methylated domains from bins (chrom, bin, and n_reads, n_meth or arrays reads, meth): chrom, start, end, score, n, name.
 
     Runs of state 0 that random order rarely matches, named PMD0, ... in order. With sites (chrom, pos, n_reads, n_meth, over all
     replicates), their ends are moved to where the levels change most; then ones at most two bins apart are joined, names and all.
+    With arrays, a bin's level has a beta distribution, however many probes (n_reads) it is the mean of.
     With sites also start_score, end_score and start_sure, end_sure: how well the levels on either side of the ends fit the model, and the reads on the poorer side.
     """
     from .intervals import merge_near
@@ -320,7 +321,7 @@ def partial_domains(binned: DataFrame, size: int, iterations: int = 10, cutoff:
     rows = observations(binned.withColumn("pos", F.col("bin")), 5, replicates)
     if model is None:
         # The model that training begins with.
-        model = Hmm((0.5, 0.5), ((0.99, 0.01), (0.01, 0.99)), (((0.05, 0.95),) * replicates, ((0.95, 0.05),) * replicates), (0, 1), (1e-10, 1e-10))
+        model = Hmm((0.5, 0.5), ((0.99, 0.01), (0.01, 0.99)), (((0.05, 0.95),) * replicates, ((0.95, 0.05),) * replicates), (0, 1), (1e-10, 1e-10), (arrays,) * replicates)
         model = train(rows, model, iterations, tolerance=1e-5, likelihood="absolute")
     found = significant_runs(rows, model, cutoff).select("chrom", (F.col("start") * size).alias("start"), (F.col("end") * size).alias("end"), F.col("n").cast("double").alias("score"))
     found = settled(numbered_names(settled(found), "PMD"), "domains")
@@ -331,6 +332,22 @@ def partial_domains(binned: DataFrame, size: int, iterations: int = 10, cutoff:
     return boundary_scores(merged, sites, size, model)
 
 
+def array_partial_domains(probes: DataFrame, size: int, iterations: int = 10, cutoff: float = 0.01) -> DataFrame:
+    """partial_domains() of probes of an array (chrom, pos, meth): their levels, kept within [0.01, 0.99], are averaged in right-closed bins. Null levels are left out."""
+    bin_ = F.greatest(F.lit(0), F.expr(f"(pos + {size - 1}) div {size}") - 1)
+    level = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("meth").cast("double")))
+    binned = probes.where("meth is not null").groupBy("chrom", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n_reads"), F.sum(level).alias("n_meth"))
+    return partial_domains(binned, size, iterations, cutoff, arrays=True)
+
+
+def partial_domains_of(sites: DataFrame, resolution: int = 500, most: int = 500_000, least: int = 1000, **options) -> DataFrame:
+    """partial_domains() with the bin size that the sites' coverage asks for (sites.bin_size), ends moved by the sites; adds bin_size. Without sites there are no domains."""
+    from .sites import bin_size, bins
+
+    size = bin_size(sites, resolution, most, least).first()[0]
+    return partial_domains(bins(sites, size), size, sites=sites, **options).withColumn("bin_size", F.lit(size))
+
+
 def _at_ends(regions: DataFrame, sites: DataFrame, size: int) -> DataFrame:
     """Sites within `size` of a region's end: chrom, name, side, at, pos, n_reads, n_meth. Windows are independent of one another."""
     from .intervals import points_in

@@ -170,15 +170,69 @@ def pileup(reads: DataFrame, genome: DataFrame, cpg_only: bool = False) -> DataF
     return rows.groupBy("chrom", "piece").applyInArrow(meet, "chrom string, pos long, strand string, context string, n_reads long, n_meth long")
 
 
+#: Ways that the reads over one piece of a genome are dealt to.
+DEALT = 4
+
+
+def _slices(reads: DataFrame, most: int) -> DataFrame:
+    """chrom, piece, within, minus, place, bases: the first `most` bases of each read as sequenced, cut at the borders of pieces, in the order of places on the chromosome. place: that of the first base in the read, from 0; of - reads places fall."""
+    names = ["chrom", "piece", "within", "minus", "place", "bases"]
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for chrom, start, strand, seq in zip(*(batch[c].to_pylist() for c in ("chrom", "start", "strand", "seq"))):
+                minus = strand != "+"
+                part = seq[:most]
+                at = start + (len(seq) - len(part) if minus else 0)
+                part = part[::-1] if minus else part
+                skip = max(0, -at)
+                while skip < len(part):
+                    piece, within = divmod(at + skip, PIECE)
+                    some = part[skip : skip + PIECE - within]
+                    rows.append((chrom, piece, within, minus, len(part) - 1 - skip if minus else skip, some))
+                    skip += len(some)
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
+
+    rows = reads.select("chrom", F.col("start").cast("long").alias("start"), "strand", F.col("seq").cast("binary").alias("seq"))
+    return rows.where("octet_length(seq) > 0").mapInArrow(cut, "chrom string, piece long, within int, minus boolean, place int, bases binary")
+
+
 def conversion(reads: DataFrame, genome: DataFrame, with_cpg: bool = False, most: int = 1000) -> DataFrame:
-    """Per place in the read, the first `most` of them that were seen: base, unconverted and converted cytosines and errors on either strand, rates (null where nothing was seen)."""
-    sites = cytosines(genome)
-    if not with_cpg:
-        sites = sites.where("context <> 'CpG'")
-    seen = read_bases(reads).where((F.col("base") != "N") & (F.col("i") < most)).join(sites.drop("context"), ["chrom", "pos", "strand"])
-    n = lambda s, c: F.sum(F.when((F.col("strand") == s) & c, 1).otherwise(0))
-    c, t, e = F.col("base") == "C", F.col("base") == "T", ~F.col("base").isin("C", "T")
-    out = seen.groupBy((F.col("i") + 1).cast("bigint").alias("base")).agg(n("+", c).alias("p_unconv"), n("+", t).alias("p_conv"), n("-", c).alias("n_unconv"), n("-", t).alias("n_conv"), (n("+", e) + n("-", e)).alias("errors"))
+    """Per place in the read, the first `most` of them that were seen: base, unconverted and converted cytosines and errors on either strand, rates (null where nothing was seen).
+
+    Slices of reads meet their piece of the genome sorted behind it; a task keeps one piece and its tallies by place, and only these leave it.
+    """
+    key = ["chrom", "piece", "deal"]
+    none = lambda kind: F.lit(None).cast(kind)
+    own = pieces(genome).select("chrom", F.col("piece").cast("long").alias("piece"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("deal"), F.col("before").cast("int").alias("within"), none("boolean").alias("minus"), none("int").alias("place"), F.col("seq").alias("bases"))
+    cut = _slices(reads, most)
+    cut = cut.select("chrom", "piece", F.pmod(F.xxhash64("bases", "within", "place"), F.lit(DEALT)).cast("int").alias("deal"), "within", "minus", "place", "bases")
+
+    def tally(batches):
+        held, sites = None, {}
+        total = np.zeros((2, 3, most), np.int64)  # + and - reads; C, T and other bases
+        for batch in batches:
+            for chrom, piece, deal, within, minus, place, bases in zip(*(batch[c].to_pylist() for c in (*key, "within", "minus", "place", "bases"))):
+                data = np.frombuffer(bases, np.uint8)
+                if minus is None:
+                    held = (chrom, piece, deal)
+                    n = min(PIECE, len(data) - within)
+                    at, plus, tag = _sites(data, within, n)
+                    good = with_cpg | (tag != 0)
+                    sites = {side: np.bincount(at[good & (plus != side)], minlength=PIECE).astype(bool) for side in (False, True)}
+                elif held == (chrom, piece, deal):
+                    code = _CODE[data]
+                    some = np.flatnonzero(sites[minus][within : within + len(code)] & (code != 4))
+                    np.add.at(total[int(minus)], (np.minimum(code[some], 2), place - some if minus else place + some), 1)
+        seen = np.flatnonzero(total.sum(axis=(0, 1)))
+        (pc, pt, pe), (nc, nt, ne) = total[:, :, seen]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (seen + 1, pc, pt, nc, nt, pe + ne)], names=["base", "p_unconv", "p_conv", "n_unconv", "n_conv", "errors"])
+
+    rows = own.unionByName(cut).repartition(*key).sortWithinPartitions(*key, F.col("minus").isNotNull())
+    told = rows.mapInArrow(tally, "base long, p_unconv long, p_conv long, n_unconv long, n_conv long, errors long")
+    out = told.groupBy("base").agg(*[F.sum(c).alias(c) for c in told.columns[1:]])
     both = F.col("p_conv") + F.col("n_conv")
     total = both + F.col("p_unconv") + F.col("n_unconv")
     return out.select("*", ratio(F.col("p_conv"), F.col("p_conv") + F.col("p_unconv")).alias("p_rate"), ratio(F.col("n_conv"), F.col("n_conv") + F.col("n_unconv")).alias("n_rate"), ratio(both, total).alias("rate"), ratio(F.col("errors"), total + F.col("errors")).alias("error_rate"))

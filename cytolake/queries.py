@@ -941,3 +941,16 @@ def rate_domains(spark, sf_dir):
     model, _ = continuous.train(t, desert=60)
     found = continuous.decode(t, model, desert=60)
     return intervals.domains(found, F.col("state") == 0).where("n > 3").drop("segment")
+
+
+@query(ORACLE["pmd_domains"])
+def array_domains(spark, sf_dir):
+    """The planted domains from levels alone, as an array has them."""
+    t = s.planted(spark, sf_dir).where("n_reads > 0")
+    return _r(models.array_partial_domains(t.select("chrom", "pos", (F.col("n_meth") / F.col("n_reads")).alias("meth")), 2), 4)
+
+
+@query()
+def pmd_auto(spark, sf_dir):
+    """Domains with a bin size by coverage."""
+    return _r(models.partial_domains_of(_planted_bins(spark, sf_dir), 2, 100, 2), 4)

@@ -21,11 +21,15 @@ def _tabs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=schema, mode="FAILFAST", comment="#")
 
 
+def _good_sites(t: DataFrame) -> DataFrame:
+    """The sites; one with a level outside [0, 1], a strand but + and -, or a context that is none of the four, with or without x, fails."""
+    good = F.col("strand").isin("+", "-") & F.col("meth").between(0, 1) & F.col("context").rlike("^(CpG|CHH|CXG|CCG)x?$")
+    return t.where(F.when(~F.coalesce(good, F.lit(False)), F.raise_error(F.concat(F.lit("bad site at "), F.coalesce("chrom", F.lit("?")), F.lit(":"), F.coalesce(F.col("pos").cast("string"), F.lit("?")))).cast("boolean")).otherwise(F.lit(True)))
+
+
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
-    """Sites with counts: n_meth is the level times the reads, halves away from zero. Levels outside [0, 1] and strands but + and - fail."""
-    t = _tabs(spark, path, SITES)
-    bad = ~F.col("strand").isin("+", "-") | ~F.col("meth").between(0, 1)
-    t = t.where(F.when(bad, F.raise_error(F.concat(F.lit("bad site at "), "chrom", F.lit(":"), "pos")).cast("boolean")).otherwise(F.lit(True)))
+    """Sites with counts: n_meth is the level times the reads, halves away from zero. Levels outside [0, 1], strands but + and - and unknown contexts fail."""
+    t = _good_sites(_tabs(spark, path, SITES))
     return t.withColumn("n_meth", F.round(F.col("meth") * F.col("n_reads")).cast("bigint"))
 
 
@@ -35,10 +39,10 @@ def read_array_sites(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_legacy_sites(spark: SparkSession, path: str) -> DataFrame:
-    """Six columns of regions with names like CpG:reads and the level as score."""
+    """Six columns of regions with names like CpG:reads and the level as score; checked as read_sites() checks."""
     t = _tabs(spark, path, REGIONS)
     name = F.split("name", ":")
-    return t.select("chrom", F.col("start").alias("pos"), "strand", name[0].alias("context"), F.col("score").alias("meth"), name[1].cast("bigint").alias("n_reads"))
+    return _good_sites(t.select("chrom", F.col("start").alias("pos"), "strand", name[0].alias("context"), F.col("score").alias("meth"), name[1].cast("bigint").alias("n_reads")))
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:

@@ -240,3 +240,38 @@ def test_names_and_widths(spark):
     for bad in (rows[:3], rows[:3] + [("s2", "p1", 0.0)]):
         with pytest.raises(Exception, match="differ in width"):
             even(bad).collect()
+
+
+def test_disjoint(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "chrom string, start long, end long, name string")
+    good = [("a", 0, 5, "x"), ("a", 5, 9, "y"), ("b", 3, 4, "z"), ("a", 20_000, 90_000, "w"), ("a", 90_000, 90_001, "v")]
+    assert sorted(map(tuple, intervals.disjoint(frame(good)).collect())) == sorted(good)
+    for bad in (("a", 4, 5, "u"), ("a", 50_000, 50_001, "u"), ("b", 9, 8, "u")):
+        with pytest.raises(Exception, match="regions overlap"):
+            intervals.disjoint(frame([*good, bad])).collect()
+
+
+def test_bad_sites(spark, tmp_path):
+    from cytolake.sources import files
+
+    (tmp_path / "good").write_text("chr1\t5\t+\tCpG\t0.5\t4\nchr1\t9\t-\tCHHx\t1\t3\n")
+    assert [tuple(r) for r in files.read_sites(spark, str(tmp_path / "good")).orderBy("pos").collect()] == [("chr1", 5, "+", "CpG", 0.5, 4, 2), ("chr1", 9, "-", "CHHx", 1.0, 3, 3)]
+    for k, line in enumerate(("chr1\t5\t.\tCpG\t0.5\t4", "chr1\t5\t+\tCpA\t0.5\t4", "chr1\t5\t+\tCpG\t1.5\t4", "chr1\t5\t+\tCpG\t\t4")):
+        (tmp_path / f"bad{k}").write_text(line + "\n")
+        with pytest.raises(Exception, match="bad site"):
+            files.read_sites(spark, str(tmp_path / f"bad{k}")).collect()
+    (tmp_path / "old").write_text("chr1\t5\t6\tCpG:7\t0.25\t+\n")
+    assert tuple(files.read_legacy_sites(spark, str(tmp_path / "old")).first()) == ("chr1", 5, "+", "CpG", 0.25, 7)
+
+
+def test_array_domains(spark):
+    """Levels of two kinds of stretches, and some low ones alone; what random order also makes is no domain."""
+    r = random.Random(3)
+    alone = {k for k in range(900) if r.random() < 0.1}
+    low = lambda k: (k // 50) % 3 == 1 or k in alone
+    rows = [("a", 10 * k + 5, r.betavariate(1, 9) if low(k) else r.betavariate(9, 1)) for k in range(900) for _ in range(2)]
+    rows += [("a", 7, None), ("a", 7, 0.0), ("a", 7, 1.0)]
+    got = models.array_partial_domains(spark.createDataFrame(rows, "chrom string, pos long, meth double"), 10).orderBy("start").collect()
+    assert len(got) == 6
+    for x, k in zip(got, range(1, 18, 3)):
+        assert abs(x.start / 10 - 50 * k) <= 6 and abs(x.end / 10 - 50 * k - 50) <= 6
