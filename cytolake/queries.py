@@ -843,7 +843,8 @@ def streamed_mates(spark, sf_dir):
     """merged_records of the records as a stream, in several micro-batches; a last record moves the time on."""
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     std = reads.standardized(s.records(spark, sf_dir), "bismark").select("qname", "flag", "rname", "pos", "cigar", "rnext", "pnext", "seq", "tags")
-    timed = std.withColumn("ts", F.timestamp_millis(F.pmod(F.hash("qname", "flag"), F.lit(20_000))))
+    # within 20 seconds of the epoch's second day: a stream's watermark begins at the epoch
+    timed = std.withColumn("ts", F.timestamp_millis(F.lit(86_400_000) + F.pmod(F.hash("qname", "flag"), F.lit(20_000))))
     timed.repartition(6).write.parquet(f"{path}/in/a")
     last = std.limit(1).withColumns({"qname": F.lit("last"), "rname": F.lit("none"), "ts": F.timestamp_millis(F.lit(10**9))})
     last.write.parquet(f"{path}/in/b")
