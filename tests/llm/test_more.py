@@ -27,6 +27,30 @@ def test_repeats_in_a_long_document(spark):
     assert sorted(map(str, map(tuple, suffixes.remove_repeats(df).collect()))) == sorted(map(str, _removed(df)))
 
 
+def test_rows_of_crowded_strings(spark, monkeypatch):
+    """Near copies of one text, each with an edit of its own: a common string is a row a task, one with an edit is none."""
+    rng = random.Random(5)
+    base = "".join(rng.choice("etaoin shrdlu") for _ in range(500))
+    rows = []
+    for k in range(150):
+        at = rng.randrange(500)
+        rows.append((k, base[:at] + f"<{k}>" + base[at:]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept, stored = [], suffixes.stored
+
+    def spied(table, n, path):
+        if path.endswith("/ranks"):
+            kept.append(table.count())
+        stored(table, n, path)
+
+    assert [x.tolist() for x in suffixes._first_places([tuple(np.array(x) for x in zip((1, 2, 9, 0, 4), (1, 2, 3, 9, 9))), tuple(np.array([x]) for x in (1, 2, 3, 8, 7))])] == [[1], [2], [3], [8], [7]]
+    monkeypatch.setattr(suffixes, "stored", spied)
+    got = suffixes.remove_repeats(df, crowded=2)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, _removed(df)))
+    strings = sum(len(t) - 99 for _, t in rows)
+    assert 0 < kept[0] < strings / 20, (kept[0], strings)
+
+
 def test_stored_rows_with_few_open_files(spark):
     rng = random.Random(2)
     rows = [(rng.getrandbits(63) - (1 << 62), k, k % 7) for k in range(500)]
