@@ -12,7 +12,6 @@ a table beside the shards: where each record is, and how many ids all records be
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -23,6 +22,7 @@ import zlib
 from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, buckets, dropped, scratch, written
+from .shared import as_bytes, buckets, chunks, dropped, mixed, scratch, written
 
 #: The id after each document, by the contract.
 END = 0
 #: Bytes of frames after which a task begins another shard.
 SHARD = 256 << 20
-#: Bytes, about, of the stretches of text of each generation that a worker remembers.
-PIECES = 40 << 20
+#: Bytes, about, of the stretches of text that a worker remembers.
+PIECES = 160 << 20
 _MASK = 0xA282EAD8
 _HEAD, _FOOT, _DOC = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<q?B")
 
@@ -141,8 +141,6 @@ class _Reader:
 
 #: Characters that some library or other takes for white space.
 _BLANK = "\\s\u180e\u200b-\u200f\ufeff"
-#: Signs at a word's end that no letter's match takes in.
-_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def cuttable(path: str) -> bool:
@@ -155,26 +153,92 @@ def cuttable(path: str) -> bool:
     return plain and own and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(f"[{_BLANK}]", a["content"]) for a in made["added_tokens"])
 
 
-class _Known:
-    """Packed ids of stretches of text, in two generations: once the younger one is full it becomes the older one, and what is asked for again becomes young again."""
+#: Of a byte: 1 letter, 2 digit, 3 other sign, 0 what is not printable ASCII or is a space.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[0x30:0x3A] = 2
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = 1
+#: The lowest k bytes of a number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 
-    def __init__(self):
-        self.young, self.old, self.size = {}, {}, 0
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where UTF-8 text may be cut, as a mask of the bytes before which no match of the usual pattern goes on.
 
-    def aged(self) -> None:
-        if self.size > PIECES:
-            self.young, self.old, self.size = {}, self.young, 0
+    These are: a space or line end after something that is not white space; what follows a line end that is the only white space; and
+    a letter, digit or other sign after one of another kind, all ASCII, but for letters after an apostrophe.
+    """
+    kind, line = _CLASS[data], data == 0x0A
+    solid = kind > 0  # a character ends here that no library takes for white space; of others than ASCII, some are left out
+    high = np.flatnonzero(data >= 0x80)
+    one, two, three = (data[np.maximum(high - k, 0)] for k in range(3))
+    dash = (two == 0x80) & ((one >= 0x90) & (one <= 0xA7) | (one >= 0xB0) & (one <= 0xBE))
+    solid[high] = (two >= 0xC3) & (two <= 0xDF) | (two >= 0x80) & (two < 0xC0) & ((three >= 0xE4) & (three <= 0xEE) | (three == 0xE3) & (two != 0x80) | (three == 0xE2) & dash)
+    out = np.zeros(len(data), bool)
+    out[1:] = solid[:-1] & (line | (data == 0x20))[1:]
+    out[2:] |= line[1:-1] & solid[:-2] & (kind[2:] > 0)
+    out[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & ~((data[:-1] == 0x27) & (kind[1:] == 1))
+    return out
 
-    def missing(self, stretches: set[str]) -> set[str]:
-        """Those that are in no generation. The others are young now."""
-        lost = stretches - self.young.keys()
-        for s in lost & self.old.keys():
-            self.add(s, self.old[s])
-        return lost - self.old.keys()
 
-    def add(self, stretch: str, packed: bytes) -> None:
-        self.young[stretch] = packed
-        self.size += len(stretch) + 100
+class _Known:
+    """Ids of stretches of text. Those of up to 23 bytes are found in an open table by these bytes themselves, all of a chunk at once."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots, self.keys = np.full(1 << 16, -1, np.int32), np.zeros((1 << 15, 3), np.uint64)
+        self.at, self.count, self.pool = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), np.zeros(1 << 17, self.kind)
+        self.rows, self.used, self.size, self.long = 0, 0, 0, {}
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return mixed(keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ keys[:, 2] * np.uint64(0x165667B19E3779F9)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The rows of keys, -1 for unknown ones."""
+        out, left, mask = np.full(len(keys), -1, np.int64), np.arange(len(keys)), len(self.slots) - 1
+        at = self.slot(keys) & mask
+        while len(left):
+            row = self.slots[at]
+            there = np.flatnonzero(row >= 0)
+            left, at, row = left[there], at[there], row[there]
+            same = (self.keys[row] == keys[left]).all(axis=1)
+            out[left[same]] = row[same]
+            left, at = left[~same], at[~same] + 1 & mask
+        return out
+
+    def place(self, rows: np.ndarray) -> None:
+        """Enters rows, whose keys are new, into the table."""
+        mask = len(self.slots) - 1
+        at = self.slot(self.keys[rows]) & mask
+        while len(rows):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rows[free]
+            lost = self.slots[at] != rows
+            rows, at = rows[lost], at[lost] + 1 & mask
+
+    def add(self, keys: np.ndarray, stretches: list[bytes], ids: list[list[int]]) -> None:
+        """Makes stretches known; those without a key (its last number is 0) by their bytes."""
+        n, sizes = len(ids), np.array([len(i) for i in ids], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum()))
+        while self.rows + n > len(self.at):
+            self.keys, self.at, self.count = np.concatenate([self.keys, np.zeros_like(self.keys)]), np.tile(self.at, 2), np.tile(self.count, 2)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.tile(self.pool, 2)
+        rows = np.arange(self.rows, self.rows + n)
+        self.keys[rows], self.count[rows], self.at[rows] = keys, sizes, self.used + np.cumsum(sizes) - sizes
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.rows, self.used, self.size = self.rows + n, self.used + len(flat), self.size + 64 * n + 2 * len(flat)
+        brief = keys[:, 2] > 0
+        for k in np.flatnonzero(~brief).tolist():
+            self.long[stretches[k]] = int(rows[k])
+        if 2 * self.rows > len(self.slots):
+            self.slots, rows = np.full(4 * len(self.slots), -1, np.int32), np.arange(self.rows)
+            brief = self.keys[rows, 2] > 0
+        self.place(rows[brief])
 
 
 class Encoder:
@@ -191,11 +255,7 @@ class Encoder:
         self.width = array(self.code).itemsize
         self.cuts = cuttable(path)
         self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain, self.spaced = _Known(), _Known()
-        self.loose = re.compile(f"[{_BLANK}] ").search
-        self.cut = re.compile(f"(?<=[^{_BLANK}])(?= )").split
-        # a match also ends between a letter and another sign, and after a line end that is the only white space
-        self.fine = re.compile(f"(?<=[A-Za-z])(?=[!-@\\[-`{{-~\n])|(?<=[^{_BLANK}]\n)(?=[^{_BLANK}])").split
+        self.known = _Known(f"<u{self.width}")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -215,65 +275,51 @@ class Encoder:
         return packed.tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """No match of the pattern goes on past a space after something else than white space: where the tokenizer lets texts be cut there, what stands between two cuts is encoded once."""
+        """Where the tokenizer lets texts be cut, what stands between two cuts is encoded once."""
         if not self.cuts:
             return self.whole(texts)
-        on = gc.isenabled()
-        gc.disable()  # many small objects are made here and none that refers to itself
-        try:
-            return self.put_together(texts)
-        finally:
-            if on:
-                gc.enable()
-
-    def put_together(self, texts: list[str]) -> list[bytes]:
-        cut: list[tuple[bytes | None, list[str], list[str]]] = []  # what is whole; first parts; parts that have lost a space before them
-        for text in texts:
-            if any(a in text for a in self.added):
-                cut.append((self.whole([text])[0], [], []))
-            elif self.loose(text):
-                cut.append((b"", self.cut(text), []))
-            else:
-                first, *others = text.split(" ")
-                cut.append((b"", [first], others))
-        self.learn(set().union(*(x[1] for x in cut)), set().union(*(x[2] for x in cut)))
-        plain, spaced = self.plain.young.__getitem__, self.spaced.young.__getitem__
-        return [done + b"".join(map(plain, some)) + b"".join(map(spaced, others)) for done, some, others in cut]
-
-    def learn(self, plain: set[str], spaced: set[str]) -> None:
-        """Makes stretches known, of which some have a space before them. Those with several matches are put together from parts that are known too."""
-        self.plain.aged()
-        self.spaced.aged()
-        plain, spaced = self.plain.missing(plain), self.spaced.missing(spaced)
-        one_spaced, more_spaced = self.parts(spaced, " ")
-        one_plain, more_plain = self.parts(plain, "")
-        one_spaced += self.spaced.missing({parts[0][1:] for parts in more_spaced.values()}.difference(one_spaced))
-        others = {p for parts in more_spaced.values() for p in parts[1:]}.union(*more_plain.values())
-        one_plain += self.plain.missing(others.difference(one_plain))
-        for known, new, packed in ((self.spaced, one_spaced, self.whole([" " + s for s in one_spaced])), (self.plain, one_plain, self.whole(one_plain))):
-            for s, p in zip(new, packed):
-                known.add(s, p)
-        of = self.plain.young.__getitem__
-        for s, parts in more_spaced.items():
-            self.spaced.add(s, self.spaced.young[parts[0][1:]] + b"".join(map(of, parts[1:])))
-        for s, parts in more_plain.items():
-            self.plain.add(s, b"".join(map(of, parts)))
-
-    def parts(self, stretches: set[str], before: str) -> tuple[list[str], dict[str, list[str]]]:
-        """Those that are one part, and the parts of the others, with what stands before them."""
-        one, more = [], {}
-        for s in stretches:
-            if s.isalpha():
-                one.append(s)
-                continue
-            word = s.rstrip(_SIGNS)  # most of the others: a word, and signs after it
-            if word != s and word.isalpha() and word[-1].isascii():
-                more[s] = [before + word, s[len(word) :]]
-            elif len(parts := self.fine(before + s)) > 1:
-                more[s] = parts
-            else:
-                one.append(s)
-        return one, more
+        special = [any(a in text for a in self.added) for text in texts]
+        out = []
+        for _, _, data, offsets in chunks(pa.array([b"" if s else text.encode() for s, text in zip(special, texts)], pa.large_binary())):
+            out += self.put_together(data, offsets)
+        for k, s in enumerate(special):
+            if s:
+                out[k] = self.whole([texts[k]])[0]
+        return out
+
+    def put_together(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The packed ids of a chunk of texts."""
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        if self.known.size > PIECES:
+            self.known.forget()
+        mask = cuts(data)
+        mask[offsets[offsets < len(data)]] = True
+        starts = np.flatnonzero(mask)
+        sizes = np.diff(starts, append=len(data))
+        padded = np.append(data, np.zeros(24, np.uint8))
+        number = np.ndarray((len(data) + 17,), "<u8", padded, strides=(1,))
+        brief = sizes < 24
+        keys = np.stack([number[np.minimum(starts + k, len(data))] & _LOW[np.clip(sizes - k, 0, 8)] for k in (0, 8, 16)], axis=1)
+        keys[:, 2] |= sizes.astype(np.uint64) << np.uint64(56)
+        keys[~brief] = 0
+        row = np.full(len(starts), -1, np.int64)
+        row[brief] = self.known.find(keys[brief])
+        raw = data.tobytes()
+        lost = np.flatnonzero(row < 0)
+        if len(lost):
+            stretches = [raw[a : a + n] for a, n in zip(starts[lost].tolist(), sizes[lost].tolist())]
+            new = {s: k for s, k in zip(stretches, lost.tolist()) if s not in self.known.long}
+            if new:
+                self.known.add(keys[list(new.values())], list(new), [e.ids for e in self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)])
+            some = brief[lost]
+            row[lost[some]] = self.known.find(keys[lost[some]])
+            row[lost[~some]] = [self.known.long[s] for s, short in zip(stretches, some.tolist()) if not short]
+        count = self.known.count[row]
+        ends = np.append(0, np.cumsum(count))
+        ids = self.known.pool[np.repeat(self.known.at[row] - ends[:-1], count) + np.arange(ends[-1])].tobytes()
+        bounds = (ends[np.searchsorted(starts, offsets)] * self.width).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def default_tokenizer() -> str:

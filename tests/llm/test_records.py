@@ -80,6 +80,22 @@ def test_forgotten_stretches(monkeypatch):
         assert encode([text]) == encode.whole([text])
 
 
+def test_stretches_of_a_chunk_are_found_at_once():
+    """Words and signs are cut apart on bytes, and what is known is neither encoded again nor asked for one by one."""
+    text = "don't cut (this) a1b2,x_y \u201cquoted\u201d here\nand there  \u3042 \u3000 word" + "l" * 40
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = [0, *np.flatnonzero(records.cuts(data)).tolist(), len(data)]
+    parts = [data[a:b].tobytes().decode() for a, b in zip(at, at[1:])]
+    assert parts[:14] == ["don", "'t", " cut", " (", "this", ")", " a", "1", "b", "2", ",", "x", "_", "y"] and "\n" in parts
+    encode = records.Encoder(records.default_tokenizer())
+    words = [f"w{k}x{'y' * (k % 40)}" for k in range(70_000)]  # the table grows
+    texts = [" ".join(words[k : k + 700]) for k in range(0, len(words), 700)] + [text]
+    want = encode.whole(texts)
+    assert encode(texts) == want
+    rows = encode.known.rows
+    assert encode(texts[::-1]) == want[::-1] and encode.known.rows == rows
+
+
 def test_tokenizers_that_take_no_cuts(tmp_path):
     """Others are given whole texts."""
     other = os.path.join(os.path.dirname(records.default_tokenizer()), "word_bpe_49k.json")
