@@ -22,6 +22,8 @@ from .significance import _ranks
 GAIN, SAME, LOSS = 0, 1, 2
 #: Values nearer to 0 or 1 are taken to be this far from them.
 NEAR = 1e-10
+#: Sites of a block; the blocks of a long segment step together. How far apart what two rounds say of a block's border may be, of 1.
+BLOCK, SETTLED = 512, 1e-13
 
 
 @dataclass(frozen=True)
@@ -50,8 +52,146 @@ def _log_sum(x: np.ndarray) -> float:
 def posteriors(model: DurationModel, x: np.ndarray) -> tuple[np.ndarray, float, float]:
     """Of one segment's values: the states' probabilities at each site (sites x 3), and ln of the likelihood from the front and from the back.
 
-    A domain that begins or ends with the segment has its whole length in it. The sums over lengths are along the arrays of one site.
+    A domain that begins or ends with the segment has its whole length in it. Long segments go in blocks, and where numbers get too small for that, by logarithms.
     """
+    if len(x) >= 2 * BLOCK:
+        got = _in_blocks(model, x)
+        if got is not None:
+            return got
+    return _by_logs(model, x)
+
+
+def _in_blocks(model: DurationModel, x: np.ndarray) -> tuple[np.ndarray, float, float] | None:
+    """posteriors() with all blocks of a segment a site further at once; None where numbers get too small.
+
+    Of a domain, its age (from the front) or what is left of it (from the back) is all that a site must know, so a block's border is the weight of no
+    change and of each age of gain and loss. Borders begin as guesses; blocks whose border moved are gone over again until none does. The border of
+    the segment's end is known, so what then stands is the only solution.
+    """
+    x = np.clip(np.asarray(x, float), NEAR, 1 - NEAR)
+    n, size = len(x), BLOCK
+    count = -(-n // size)
+    logs = np.stack([kernels.log_density("beta", x, a, b) for a, b in model.emission])
+    top = logs.max(axis=0)
+    emit = np.ones((3, count * size))
+    emit[:, :n] = np.exp(logs - top)
+    emit = np.ascontiguousarray(emit.reshape(3, count, size).transpose(0, 2, 1))  # states x sites of a block x blocks
+    last = n - 1 - (count - 1) * size  # the last site's place in the last block
+    weights = np.stack([np.exp(v) for v in model.log_lengths()])  # of gain and of loss
+    total = np.arange(model.longest)[:, None] + np.arange(model.longest)
+    hankel = np.where(total < model.longest, weights[:, np.minimum(total, model.longest - 1)], 0.0)
+    with np.errstate(all="ignore"):
+        a = _settled(lambda on, border: _ahead(model, emit[..., on], weights, border, on == 0), count, model.longest, 1)
+        z = _settled(lambda on, border: _behind(model, emit[..., on], weights, border, np.where(on == count - 1, last, -1)), count, model.longest, -1)
+        whole = a["same"][0] * z["after"][0]
+        cover = np.einsum("sab,sab->sb", a["ages"], hankel @ z["rest"])
+        whole = whole + cover.sum(axis=0)
+        scale = a["scale"] + z["scale"]
+        weight = np.exp(scale - scale[0]) / whole
+        steps = a["entry"] * z["begun"] * weight  # that a domain begins here, less that one ended before
+        steps[:, 1:] -= (a["ended"] * z["follow"] * weight)[:, :-1]
+        steps[:, 0] = cover / whole
+        post = np.empty((count * size, 3))
+        post[:, SAME] = (a["same"] * z["after"] * weight).T.ravel()
+        for s, k in ((GAIN, 0), (LOSS, 1)):
+            post[:, s] = np.maximum(np.cumsum(steps[k], axis=0), 0.0).T.ravel()
+        post = post[:n]
+        front = top.sum() + a["gain"][:-1].sum() + a["scale"][last, -1] + np.log(a["same"][last, -1] + a["ended"][:, last, -1].sum())
+        first = model.start[SAME] * emit[SAME, 0, 0] * z["after"][0, 0] + model.start[GAIN] * z["begun"][0, 0, 0] + model.start[LOSS] * z["begun"][1, 0, 0]
+        back = top.sum() + z["gain"][1:].sum() + z["scale"][0, 0] + np.log(first)
+        post = post / post.sum(axis=1, keepdims=True)
+    return (post, float(front), float(back)) if np.isfinite(post).all() and np.isfinite([front, back]).all() else None
+
+
+def _settled(go, count: int, most: int, ahead: int) -> dict:
+    """What go(blocks, borders) tells of all blocks, again for those whose border, the one that their neighbour tells, moved. Borders: weights of no change, then of gain and loss by age, that add up to one."""
+    border = np.zeros((1 + 2 * most, count))
+    border[0] = 1.0
+    out, on = {}, np.arange(count)
+    while len(on):
+        got = go(on, border[:, on])
+        for name, x in got.items():
+            if name not in out:
+                out[name] = x
+            else:
+                out[name][..., on] = x
+        told = on[(on + ahead >= 0) & (on + ahead < count)]
+        moved = np.abs(out["border"][:, told] - border[:, told + ahead]).sum(axis=0) > SETTLED
+        on = np.sort(told[moved] + ahead)
+        border[:, on] = out["border"][:, on - ahead]
+    return out
+
+
+def _into(model: DurationModel) -> np.ndarray:
+    return np.array([model.leave * model.up, model.leave * (1 - model.up)])
+
+
+def _ahead(model: DurationModel, emit: np.ndarray, weights: np.ndarray, border: np.ndarray, first: np.ndarray) -> dict:
+    """From the front, by sites of blocks: same (the site is without change), entry (a domain begins before its value), ended, their scale; ages at the first site; the border after the last and the logarithm that it adds."""
+    size, blocks, most = emit.shape[1], emit.shape[2], model.longest
+    into, begin, older = _into(model)[:, None], np.array(model.start)[[GAIN, LOSS]][:, None], weights[:, ::-1]
+    held = np.zeros((2, most + size, blocks))  # weights of the domains that go on, by the site that they begin at
+    held[:, :most] = border[1:].reshape(2, most, blocks)[:, ::-1]
+    same, stop = border[0], np.stack([older[s] @ held[s, :most] for s in (0, 1)])
+    out = {"same": np.empty((size, blocks)), "scale": np.empty((size, blocks)), "entry": np.empty((2, size, blocks)), "ended": np.empty((2, size, blocks))}
+    scale = np.zeros(blocks)
+    for t in range(size):
+        if t and t % 8 == 0:
+            norm = same + held[:, t : t + most].sum(axis=(0, 1))
+            same, stop, scale = same / norm, stop / norm, scale + np.log(norm)
+            held[:, t : t + most] /= norm
+        entry, before = same * into, same * (1 - model.leave) + stop.sum(axis=0)
+        if t == 0:
+            entry, before = np.where(first, begin, entry), np.where(first, model.start[SAME], before)
+        held[:, most + t] = entry
+        if t == 0:
+            out["ages"] = held[:, most:0:-1].copy()
+        for s, state in ((0, GAIN), (1, LOSS)):
+            window = held[s, t + 1 : t + 1 + most]
+            window *= emit[state, t]
+            stop[s] = older[s] @ window
+        same = emit[SAME, t] * before
+        out["same"][t], out["scale"][t], out["entry"][:, t], out["ended"][:, t] = same, scale, entry, stop
+    left = np.concatenate([same[None], held[:, size:][:, ::-1].reshape(2 * most, blocks)])
+    norm = left.sum(axis=0)
+    return out | {"border": left / norm, "gain": scale + np.log(norm)}
+
+
+def _behind(model: DurationModel, emit: np.ndarray, weights: np.ndarray, border: np.ndarray, last: np.ndarray) -> dict:
+    """From the back, by sites of blocks: after (all that follows a site without change), follow (all that follows a domain's end), begun (a domain begins here, and all that follows), their scale; rest at the first site; border and gain as _ahead(). last: the segment's last site, or -1."""
+    size, blocks, most = emit.shape[1], emit.shape[2], model.longest
+    into = _into(model)[:, None]
+    held = np.zeros((2, size + most, blocks))  # weights of the domains that go on, by the site that they end at
+    held[:, size:] = border[1:].reshape(2, most, blocks)
+    same, begun = border[0], np.stack([weights[s] @ held[s, size:] for s in (0, 1)])
+    out = {"after": np.empty((size, blocks)), "scale": np.empty((size, blocks)), "follow": np.empty((size, blocks)), "begun": np.empty((2, size, blocks))}
+    scale = np.zeros(blocks)
+    for t in range(size - 1, -1, -1):
+        if t < size - 1 and t % 8 == 7:
+            norm = same + held[:, t + 1 : t + 1 + most].sum(axis=(0, 1))
+            same, begun, scale = same / norm, begun / norm, scale + np.log(norm)
+            held[:, t + 1 : t + 1 + most] /= norm
+        follow, after = same, same * (1 - model.leave) + (into * begun).sum(axis=0)
+        ends = last == t
+        if ends.any():
+            follow, after, scale = np.where(ends, 1.0, follow), np.where(ends, 1.0, after), np.where(ends, 0.0, scale)
+            held[:, t + 1 :, ends] = 0.0
+        held[:, t] = follow
+        begun = np.empty((2, blocks))
+        for s, state in ((0, GAIN), (1, LOSS)):
+            window = held[s, t : t + most]
+            window *= emit[state, t]
+            begun[s] = weights[s] @ window
+        same = emit[SAME, t] * after
+        out["after"][t], out["scale"][t], out["follow"][t], out["begun"][:, t] = after, scale, follow, begun
+    out["rest"] = held[:, :most].copy()
+    left = np.concatenate([same[None], held[:, :most].reshape(2 * most, blocks)])
+    norm = left.sum(axis=0)
+    return out | {"border": left / norm, "gain": scale + np.log(norm)}
+
+
+def _by_logs(model: DurationModel, x: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """posteriors() site by site. The sums over lengths are along the arrays of one site."""
     x = np.clip(np.asarray(x, float), NEAR, 1 - NEAR)
     n, most = len(x), model.longest
     emit = np.stack([kernels.log_density("beta", x, a, b) for a, b in model.emission])
