@@ -5,7 +5,7 @@ import math
 import numpy as np
 
 from cytolake.functions import kernels
-from cytolake.operators import models
+from cytolake.operators import models, significance
 
 
 def test_gammas():
@@ -41,3 +41,21 @@ def test_regressions_reach_the_top_in_few_steps(monkeypatch):
                     best, top = v, theta
             at, width = top, width * 0.6
         assert got[row] > best - 1e-6
+
+
+def test_combined_is_pair_by_pair(spark):
+    r = np.random.default_rng(2)
+    rows = [(c, int(p), float(r.random())) for c in "ab" for p in np.cumsum(r.integers(0, 9, 200)) + (16_300 if c == "b" else 0)] + [("a", 5, -1.0)]
+    corr = spark.createDataFrame([(0, 10, 0.6), (1, 10, 0.3), (3, 10, -0.1)], "bin int, n int, corr double")
+    t = spark.createDataFrame(rows, "chrom string, pos long, p double")
+    out = significance.combined(t, corr, 40, 10)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((x.chrom, x.pos, x.p, x.combined_p) for x in out.collect())
+    tested = sorted(x for x in rows if x[2] >= 0)
+    assert [g[:3] for g in got] == tested
+    tau = {0: 0.6, 1: 0.3, 3: -0.1}
+    for chrom, pos, _, p in got:
+        near = [(q, v) for c, q, v in tested if c == chrom and abs(q - pos) <= 40]
+        rho = sum(1.0 if i == j else tau.get(abs(a - b) // 10, 0.0) if abs(a - b) <= 40 else 0.0 for i, (a, _) in enumerate(near) for j, (b, _) in enumerate(near))
+        z = kernels.probit(1 - np.array([v for _, v in near])).sum() / math.sqrt(max(rho, 1e-9))
+        assert abs(p - kernels.normal_sf(z)[0]) < 1e-9
