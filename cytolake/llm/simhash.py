@@ -121,6 +121,11 @@ def _links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
     return fps[linked], fps[label[linked]]
 
 
+def _merged(one: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join whose sides are both sorted, none sent to the driver: both grow with the rows, and Spark takes a table to be as small after an explode as before."""
+    return one.hint("merge").join(other.hint("merge"), on, how)
+
+
 def _within(keyed: DataFrame, radius: int) -> DataFrame:
     """Links a, b among rows (key, fp) that share a key. The rows of a key are bounded by how keys are made."""
 
@@ -160,7 +165,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     chosen = F.array(*(F.struct(F.lit(k).cast("tinyint").alias("c"), _key(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key")) for k, m in enumerate(masks)))
     keyed = fps.select("fp", F.explode(chosen).alias("e")).select("fp", "e.c", "e.key")
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(keyed.join(counts, "key"), f"{root}/shared")
+    shared = written(_merged(keyed, counts, "key"), f"{root}/shared")
     few = _within(shared.where(F.col("n") <= SMALL).select("key", "fp"), radius)
     crowded = shared.where(F.col("n") > SMALL)
     subs = F.lit(None)
@@ -168,7 +173,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         subs = F.when(F.col("c") == k, F.array(*(_key(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(s)))) for i, s in enumerate(_submasks(m))))).otherwise(subs)
     finer = crowded.select("fp", F.col("key").alias("outer"), F.explode(subs).alias("sub")).select("fp", F.xxhash64("outer", "sub").alias("key"))
     counts = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    many = _within(finer.join(counts, "key").select("key", "fp"), radius)
+    many = _within(_merged(finer, counts, "key").select("key", "fp"), radius)
     return written(few.unionByName(many).distinct(), f"{root}/links")
 
 
@@ -184,9 +189,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
     marked = written(fingerprints(docs, shingle), f"{root}/documents")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")), f"{root}/distinct")
     roots = components(links(distinct.select("fp"), radius))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
+    named = _merged(distinct, roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    linked = named.select("fp", "root").join(least.where("n > 1"), "root").select("fp", "component_id")
+    linked = _merged(named.select("fp", "root"), least.where("n > 1"), "root").select("fp", "component_id")
     alone = distinct.select("fp", "doc")
-    of = alone.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id"))
-    return marked.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = _merged(alone, linked, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id"))
+    return _merged(marked, of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
